@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from corpusmill.plans import data_queries, pipeline_queries, retrieval_queries  # noqa: F401
+from corpusmill.plans.registry import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
