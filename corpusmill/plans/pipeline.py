@@ -18,6 +18,7 @@ from corpusmill.operators.lexical import CANDIDATES, Index, search
 from corpusmill.operators.lookup import override, unique_rows
 from corpusmill.operators.rules import curated, guard
 from corpusmill.operators.sequence import first_wins, interleave, merge_in_order, prefix_budget
+from corpusmill.session import cut_lineage
 
 
 @dataclass
@@ -57,7 +58,7 @@ def retrieve(questions: DataFrame, corpus: Corpus, top_k: int | None = None, rea
     found = min_max(search(corpus.index, topical.select("query_id", "search"), "query_id", "search", CANDIDATES, corpus.verses)).select("query_id", "doc_id", F.col("norm").alias("score"), "rank")
     signals = dict(corpus.signals or {}) | {"direct": direct.select("query_id", "doc_id", F.lit(1.0).alias("value"))}
     best = rerank(found, signals, CANDIDATES)
-    listed = interleave([direct.select("query_id", "doc_id", "ord"), best.select("query_id", "doc_id", F.col("rank").alias("ord"))], "query_id", "doc_id", "ord", k)
+    listed = cut_lineage(interleave([direct.select("query_id", "doc_id", "ord"), best.select("query_id", "doc_id", F.col("rank").alias("ord"))], "query_id", "doc_id", "ord", k))  # k rows per question
     texts = corpus.verses.select("doc_id", "text")
     if corpus.guards is not None:
         listed = guard(questions, listed.join(texts, "doc_id").select("query_id", F.col("doc_id").alias("item"), "place", "text"), corpus.guards).withColumnRenamed("item", "doc_id")

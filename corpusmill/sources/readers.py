@@ -66,7 +66,7 @@ def cross_reference_lines(lines: DataFrame, line: str = "value") -> DataFrame:
     Lines with fewer than two fields, unreadable references and a header give no row; unreadable votes are null.
     """
     parts = F.split(F.col(line), "\t")
-    rows = lines.filter(F.size(parts) >= 2).select(expand_dotted(F.trim(parts[0])).alias("source"), expand_dotted(F.trim(parts[1])).alias("target"), prefix_int(F.get(parts, F.lit(2))).alias("votes"))
+    rows = lines.filter(F.size(parts) >= 2).select(expand_dotted(F.trim(F.get(parts, F.lit(0)))).alias("source"), expand_dotted(F.trim(F.get(parts, F.lit(1)))).alias("target"), prefix_int(F.get(parts, F.lit(2))).alias("votes"))
     return rows.filter("source is not null and target is not null").withColumn("source", F.explode("source")).withColumn("target", F.explode("target"))
 
 
