@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.text import clamp01, dot
 from corpusmill.operators.lexical import CANDIDATES, Index, ranked, search
+from corpusmill.session import cut_lineage
 
 RRF_K = 60
 #: The semantic step runs for questions of at least so many words whose first score leads the fifth by less than this.
@@ -66,7 +67,7 @@ def hybrid_search(index: Index, docs: DataFrame, vectors: DataFrame, questions:
     Questions whose gate is closed keep the normalised lexical score; only the candidates of open ones meet a vector.
     """
     k = clamp_top_k(top_k)
-    first = search(index, questions, query_id, text, CANDIDATES, docs, doc_id, doc_text)
+    first = cut_lineage(search(index, questions, query_id, text, CANDIDATES, docs, doc_id, doc_text))  # a few rows per question, read by the gate and both branches
     norm = min_max(first)
     opened = gate(first, questions, query_id, text, vector).filter("open").select("query_id")
     asked = questions.select(F.col(query_id).alias("query_id"), F.col(vector).alias("query_vector"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.text import clamp01, has_any, has_keyword_column, topic_tokens
 from corpusmill.operators.sets import prepend
+from corpusmill.session import spread
 
 TOPIC_LEAST, TOPICS_PER_ITEM = 0.4, 3
 #: A rule table is broadcast up to this many rows; a longer one is refused, since every row meets every rule.
@@ -28,7 +29,7 @@ def tag_rows(rows: DataFrame, rules: DataFrame, item: str, text: str, most: int
     0..1; topics below ``least`` are dropped; ties are ordered by topic. The rules are a small table, checked and
     broadcast, whose match with a text isn't an equality.
     """
-    met = rows.select(F.col(item).alias("item"), F.col(text).alias("text_")).join(_bounded(rules), has_keyword_column(F.col("text_"), F.col("keyword")))
+    met = spread(rows).select(F.col(item).alias("item"), F.col(text).alias("text_")).join(_bounded(rules), has_keyword_column(F.col("text_"), F.col("keyword")))
     best = met.groupBy("item", "topic_id").agg(F.max(clamp01(F.col("confidence"))).alias("confidence")).filter(F.col("confidence") >= least)
     by = Window.partitionBy("item").orderBy(F.col("confidence").desc(), F.col("topic_id"))
     return best.withColumn("place", F.row_number().over(by)).filter(F.col("place") <= most).withColumnRenamed("item", item)

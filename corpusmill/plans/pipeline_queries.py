@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import answers as an
 from corpusmill.functions import refs
-from corpusmill.operators.lexical import build_index, keep_index
+from corpusmill.operators.lexical import build_index
 from corpusmill.plans.pipeline import Corpus, retrieve, verse_corpus
 from corpusmill.plans.registry import query
 from corpusmill.session import cut_lineage
@@ -21,7 +21,7 @@ def _corpus(t) -> Corpus:
     verses = cut_lineage(verse_corpus(t("verses"), "BSB"))
     s, d = F.col("source"), F.col("target")
     links = t("cross_references").filter(s.isNotNull() & d.isNotNull()).select(refs.verse_id(s["book"], s["chapter"], s["verse"]).alias("source"), refs.verse_id(d["book"], d["chapter"], d["verse"]).alias("target"), "votes")
-    return Corpus(verses, keep_index(build_index(verses, "doc_id", "text")), links)
+    return Corpus(verses, build_index(verses, "doc_id", "text", keep=True), links)
 
 
 def _retrieved(t):

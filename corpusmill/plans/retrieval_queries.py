@@ -50,7 +50,7 @@ def _docs(t) -> DataFrame:
 
 
 def _index(t):
-    return build_index(_docs(t), "doc_id", "text")
+    return build_index(_docs(t), "doc_id", "text", keep=True)
 
 
 def _top(t, limit: int = 25) -> DataFrame:

@@ -37,3 +37,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         folder = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corpusmill-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+#: Input below so many bytes a core is worth spreading when it lies in few files.
+SPREAD_BYTES = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files are too few to occupy them and small; otherwise as it is.
+
+    A file's row group is read by one task, so a small table in one file would keep one core busy with work that
+    should be shared. A large input has many row groups and is never moved.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if not files or len(files) >= cores:
+        return df
+    total = 0
+    for file in files:
+        path = spark._jvm.org.apache.hadoop.fs.Path(file)
+        total += path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getLen()
+    return df.repartition(cores) if total < cores * SPREAD_BYTES else df
