@@ -15,6 +15,7 @@ pairwise. Every candidate is checked on its word sets.
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.session import cut_lineage
+from corpusmill.session import cut_lineage, spread
 
 #: Words are counted in so many hashed counters; their number bounds what the driver and each task hold.
 COUNTERS = 1 << 18
@@ -30,6 +31,8 @@ COUNTERS = 1 << 18
 FOLD = 4
 #: Rows of a shard's block. A larger shard is split into blocks that meet pairwise.
 BLOCK_ROWS = 4_096
+#: Shards of at most so many rows need no tree; many are compared at once.
+SHORT_RUN = 64
 #: Rows of a tree's leaf, compared directly.
 LEAF_ROWS = 192
 
@@ -87,7 +90,7 @@ def _postings(counts_value, threshold: float):
             size = np.diff(offsets)
             place = np.arange(len(flat)) - np.repeat(offsets[:-1], size)
             reach = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
-            kept = order[place < reach[row[order]]]
+            kept = order[(place < reach[row[order]]) & (often[order] > 1)]  # a word of one text alone joins nothing
             at, words, many = row[kept], flat[kept], often[kept]
             prints = fingerprints(flat, offsets)
             ids = np.asarray(batch.column("class_id"))
@@ -160,20 +163,56 @@ def tree_pairs(prints: np.ndarray, sizes: np.ndarray, threshold: float, leaf_row
     return np.concatenate(left), np.concatenate(right), work
 
 
+def _small_pairs(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All index pairs (i, j), i before j, within each of many short runs."""
+    own = np.repeat(np.arange(len(lengths)), lengths)
+    first = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    after = lengths[own] - first - 1
+    left = np.repeat(starts[own] + first, after)
+    step = np.arange(len(left)) - np.repeat(np.cumsum(after) - after, after)
+    return left, left + step + 1
+
+
 def _candidates(threshold: float):
-    """The candidate pairs of one block of a shard."""
-
-    def run(key, group):
-        block = key[1].as_py()
-        high = int((math.isqrt(8 * block + 1) - 1) // 2)
-        low = block - high * (high + 1) // 2
-        ids, sizes, part = (np.asarray(group.column(c)) for c in ("class_id", "size", "part"))
-        order = np.lexsort((ids, sizes))
-        ids, sizes, part = ids[order], sizes[order].astype(np.int64), part[order]
-        raw = b"".join(group.column("mark").combine_chunks().take(pa.array(order)).to_pylist())
-        prints = np.frombuffer(raw, dtype=np.uint64).reshape(-1, FOLD)
-        a, b, _ = tree_pairs(prints, sizes, threshold, sides=None if high == low else part == high)
-        return pa.table({"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b])})
+    """Candidate pairs (a, b) of a stream of postings sorted by (word, block); holds one block at a time."""
+    share = (1 - threshold) / (1 + threshold)
+
+    def blocks(rows: dict[str, np.ndarray], starts: np.ndarray, ends: np.ndarray):
+        ids, sizes, prints = rows["class_id"], rows["size"].astype(np.int64), rows["mark"]
+        lengths = ends - starts
+        short = (lengths > 1) & (lengths <= SHORT_RUN) & (rows["block"][starts] == 0)
+        at = np.flatnonzero(short)
+        for part in np.array_split(at, max(1, int((lengths[at].astype(np.int64) ** 2).sum()) // 2_000_000 + 1)):
+            i, j = _small_pairs(starts[part], lengths[part])
+            near = np.bitwise_count(prints[i] ^ prints[j]).sum(axis=1) <= np.floor(share * (sizes[i] + sizes[j]) + 1e-9)
+            yield ids[i[near]], ids[j[near]]
+        for k in np.flatnonzero((lengths > 1) & ~short):
+            run = np.arange(starts[k], ends[k])
+            block = int(rows["block"][starts[k]])
+            high = (math.isqrt(8 * block + 1) - 1) // 2
+            run = run[np.lexsort((ids[run], sizes[run]))]
+            sides = None if high * (high + 1) // 2 + high == block else rows["part"][run] == high
+            i, j, _ = tree_pairs(prints[run], sizes[run], threshold, sides=sides)
+            yield ids[run[i]], ids[run[j]]
+
+    def run(batches):
+        held: dict[str, np.ndarray] | None = None
+        for batch in itertools.chain(batches, (None,)):
+            if batch is not None:
+                new = {c: np.asarray(batch.column(c)) for c in ("word", "block", "part", "class_id", "size")}
+                new["mark"] = np.frombuffer(b"".join(batch.column("mark").to_pylist()), dtype=np.uint64).reshape(-1, FOLD)
+                held = new if held is None else {c: np.concatenate([held[c], v]) for c, v in new.items()}
+            if held is None or not len(held["word"]):
+                continue
+            fresh = (held["word"][1:] != held["word"][:-1]) | (held["block"][1:] != held["block"][:-1])
+            edges = np.concatenate([[0], np.flatnonzero(fresh) + 1, [len(held["word"])]])
+            edges = edges if batch is None else edges[:-1]  # the last run may go on in the next batch
+            if len(edges) > 1:
+                for a, b in blocks(held, edges[:-1], edges[1:]):
+                    if len(a):
+                        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+                        yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+                held = {c: v[edges[-1] :] for c, v in held.items()}
 
     return run
 
@@ -181,8 +220,9 @@ def _candidates(threshold: float):
 def class_links(classes: DataFrame, threshold: float) -> DataFrame:
     """(a, b, similarity): all pairs of classes, a < b, whose word sets reach the threshold."""
     counts = classes.sparkSession.sparkContext.broadcast(_counts(classes))
-    spread = classes.select("class_id", "words").mapInArrow(_postings(lambda: counts.value, threshold), "word long, block long, part int, class_id long, size int, mark binary")
-    near = spread.groupBy("word", "block").applyInArrow(_candidates(threshold), "a long, b long").distinct()
+    postings = classes.select("class_id", "words").mapInArrow(_postings(lambda: counts.value, threshold), "word long, block long, part int, class_id long, size int, mark binary")
+    shards = postings.repartition("word", "block").sortWithinPartitions("word", "block")
+    near = shards.mapInArrow(_candidates(threshold), "a long, b long").distinct()
     words = classes.select("class_id", "words")
     both = near.join(words.toDF("a", "words_a"), "a").join(words.toDF("b", "words_b"), "b")
     shared = F.size(F.array_intersect("words_a", "words_b"))
@@ -198,7 +238,7 @@ def near_duplicate_groups(df: DataFrame, item: str, text: str, threshold: float)
     exactly the threshold are links. Other columns are ignored, whatever their names. An empty table gives empty
     results. The classes are written once to the checkpoint folder, since three later steps read them.
     """
-    sets = word_sets(df.select(F.col(item).cast("long").alias("item_"), F.col(text).alias("text_")), "item_", "text_").distinct()
+    sets = word_sets(spread(df).select(F.col(item).cast("long").alias("item_"), F.col(text).alias("text_")), "item_", "text_").distinct()
     classes = cut_lineage(text_classes(sets))
     members = sets.join(classes.select("words", "class_id"), "words").select("item", "class_id")
     return members, classes, class_links(classes, threshold)
