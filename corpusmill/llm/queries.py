@@ -14,7 +14,7 @@ from corpusmill.llm.similar import mutual_pairs, similar_vectors
 from corpusmill.llm.splitting import split_oversized
 from corpusmill.llm.tokens import token_count
 from corpusmill.llm.topn import top_n_per_group
-from corpusmill.session import cut_lineage, table
+from corpusmill.session import cut_lineage, spread, table
 
 NEIGHBOURS = 5
 LEAST_COSINE = 0.80
@@ -91,7 +91,7 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def _document_tokens(spark: SparkSession, sf: str) -> DataFrame:
     """(doc_id, source, tokens), counted once and kept in the checkpoint folder."""
-    docs = table(spark, sf, "documents")
+    docs = spread(table(spark, sf, "documents"))
     return cut_lineage(docs.select("doc_id", "source", token_count(F.col("text")).alias("tokens")))
 
 
