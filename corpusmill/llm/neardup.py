@@ -38,18 +38,21 @@ LEAF_ROWS = 192
 
 
 def word_sets(df: DataFrame, item: str, text: str) -> DataFrame:
-    """(item, words): the sorted 64-bit hashes of the distinct words; rows without a word are left out.
+    """(item, words, mark, size_mark): the sorted 64-bit hashes of the distinct words and two digests of them.
+
+    Rows without a word are left out. Equal digests, 128 bits together, stand for equal word sets.
 
     A word is a longest run of letters in the text, lower-cased.
     """
     words = F.array_distinct(F.transform(F.regexp_extract_all(F.col(text), F.lit(r"(\p{L}+)"), F.lit(1)), F.lower))
     rows = df.select(F.col(item).alias("item"), F.array_sort(F.transform(words, lambda w: F.xxhash64(w))).alias("words"))
-    return rows.filter((F.size("words") > 0) & F.col("item").isNotNull())
+    rows = rows.filter((F.size("words") > 0) & F.col("item").isNotNull())
+    return rows.withColumn("mark", F.xxhash64("words")).withColumn("size_mark", F.xxhash64(F.lit("second"), "words", F.size("words")))
 
 
 def text_classes(sets: DataFrame) -> DataFrame:
-    """(class_id, words, copies): one row per distinct word set, named by its smallest item."""
-    return sets.groupBy("words").agg(F.min("item").alias("class_id"), F.count("*").alias("copies"))
+    """(mark, size_mark, class_id, words, copies): one row per distinct word set, named by its smallest item."""
+    return sets.groupBy("mark", "size_mark").agg(F.min("item").alias("class_id"), F.first("words").alias("words"), F.count("*").alias("copies"))
 
 
 def _counts(classes: DataFrame) -> np.ndarray:
@@ -238,10 +241,11 @@ def near_duplicate_groups(df: DataFrame, item: str, text: str, threshold: float)
     exactly the threshold are links. Other columns are ignored, whatever their names. An empty table gives empty
     results. The classes are written once to the checkpoint folder, since three later steps read them.
     """
-    sets = word_sets(spread(df).select(F.col(item).cast("long").alias("item_"), F.col(text).alias("text_")), "item_", "text_").distinct()
+    sets = word_sets(spread(df).select(F.col(item).cast("long").alias("item_"), F.col(text).alias("text_")), "item_", "text_")
     classes = cut_lineage(text_classes(sets))
-    members = sets.join(classes.select("words", "class_id"), "words").select("item", "class_id")
-    return members, classes, class_links(classes, threshold)
+    members = sets.select("item", "mark", "size_mark").distinct().join(classes.select("mark", "size_mark", "class_id"), ["mark", "size_mark"]).select("item", "class_id")
+    sizes = members.groupBy("class_id").agg(F.count("*").alias("copies"))
+    return members, classes.select("class_id", "words").join(sizes, "class_id"), class_links(classes.select("class_id", "words"), threshold)
 
 
 def near_duplicate_pairs(df: DataFrame, item: str, text: str, threshold: float) -> DataFrame:
