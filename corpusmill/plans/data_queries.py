@@ -18,6 +18,7 @@ from corpusmill.operators import rules as ru
 from corpusmill.operators import sequence as sq
 from corpusmill.operators import sets as st
 from corpusmill.plans.registry import query
+from corpusmill.session import cut_lineage
 from corpusmill.sources.readers import cross_reference_lines
 from corpusmill.streaming import cache as ca
 from corpusmill.streaming import limits as li
@@ -469,6 +470,23 @@ def r3_roll_up(t):
     return gr.roll_up(gr.components(edges, "src", "dst"), edges, "src", "votes")
 
 
+def _clustered(t) -> DataFrame:
+    """The edges that build clusters: all with more than ``VOTES_ABOVE`` votes."""
+    return _edges(t).filter(gr.votes_above(F.col("votes")) & (F.col("src") != F.col("dst")))
+
+
+@query()
+def r2_components_all(t):
+    """Components over all voted edges; recursive SQL is quadratic in the size of a component, so a test compares them with a union-find."""
+    return gr.components(_clustered(t), "src", "dst")
+
+
+@query()
+def r3_roll_up_all(t):
+    edges = cut_lineage(_clustered(t))
+    return gr.roll_up(gr.components(edges, "src", "dst"), edges, "src", "votes")
+
+
 @query(
     """WITH h AS (SELECT cluster_id, member_verse_ids AS m, vote_total, row_number() OVER (ORDER BY vote_total DESC NULLS LAST, cluster_id) AS rank FROM tsk_clusters QUALIFY rank <= 8),
     s AS (SELECT rank, unnest(m[1:12]) AS item, unnest(range(least(12, len(m)))) AS pos, least(1.0::DOUBLE, coalesce(vote_total, 0) / 250.0::DOUBLE) AS signal FROM h),
