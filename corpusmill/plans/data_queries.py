@@ -427,6 +427,12 @@ def u7_ordered_cross(t):
     return st.ordered_cross(rows, "a", "b")
 
 
+@query("SELECT passage_id, x AS a, y AS b FROM (SELECT passage_id, verse_ids, unnest(verse_ids) AS x FROM passage_windows), unnest(verse_ids) AS u(y)")
+def u7_ordered_cross_all(t):
+    rows = t("passage_windows").select("passage_id", F.col("verse_ids").alias("a"), F.col("verse_ids").alias("b"))
+    return st.ordered_cross(rows, "a", "b")
+
+
 GUARDS = [(1, ["covenant"], ["DOC 1", "DOC 2"], ["river"]), (2, ["shepherd", "flock"], ["DOC 3"], []), (3, ["bread"], ["DOC 1", "DOC 4"], ["king"])]
 
 

@@ -49,3 +49,10 @@ def test_components_over_all_voted_edges(spark):
     found = queries()["r3_roll_up_all"](spark, DATA).collect()
     assert {(r["root"], r["size"], r["vote_total"]) for r in found} == {(x, n, total.get(x, 0)) for x, n in size.items()}
     assert [r["root"] for r in sorted(found, key=lambda r: r["number"])] == sorted(size, key=lambda x: (-size[x], x))
+
+
+def test_ordered_cross_of_windows_of_any_size(spark):
+    rows = spark.read.parquet(f"{DATA}/passage_windows.parquet").collect()
+    want = sorted((r["passage_id"], a, b) for r in rows for a in r["verse_ids"] or [] for b in r["verse_ids"])
+    assert any(len(r["verse_ids"] or []) > 5 for r in rows)
+    assert sorted((r["passage_id"], r["a"], r["b"]) for r in queries()["u7_ordered_cross_all"](spark, DATA).collect()) == want
