@@ -188,6 +188,17 @@ def b16_nearest(t):
     return nearest(_question_vectors(t), _vectors(t), 10).withColumn("score", F.round("score", 6))
 
 
+@query(
+    """SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score,
+    row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id)::INT AS rank
+    FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 QUALIFY rank <= 10"""
+)
+def b16_nearest_all(t):
+    """The questions of all searches: every row whose id is divisible by 50, so their number grows with the table."""
+    asked = t("embeddings").filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return nearest(asked, _vectors(t), 10).withColumn("score", F.round("score", 6))
+
+
 @query(
     """WITH l AS (SELECT DISTINCT label FROM embeddings), r AS (
     SELECT a.vec_id AS query_id, b.vec_id, b.label = a.label AS hit, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) AS rank

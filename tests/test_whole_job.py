@@ -4,6 +4,7 @@ import os
 
 import pytest
 
+from corpusmill.operators import vectors
 from corpusmill.plans.queries import queries
 
 DATA = "/root/testdata/sf0.001"
@@ -56,3 +57,11 @@ def test_ordered_cross_of_windows_of_any_size(spark):
     want = sorted((r["passage_id"], a, b) for r in rows for a in r["verse_ids"] or [] for b in r["verse_ids"])
     assert any(len(r["verse_ids"] or []) > 5 for r in rows)
     assert sorted((r["passage_id"], r["a"], r["b"]) for r in queries()["u7_ordered_cross_all"](spark, DATA).collect()) == want
+
+
+def test_nearest_answers_every_question_in_blocks(spark, monkeypatch):
+    whole = sorted(map(tuple, queries()["b16_nearest_all"](spark, DATA).collect()))
+    ids = [r["vec_id"] for r in spark.read.parquet(f"{DATA}/embeddings.parquet").select("vec_id").collect()]
+    assert {r[0] for r in whole} == {i for i in ids if i % 50 == 0} and len(whole) == 10 * len({r[0] for r in whole})
+    monkeypatch.setattr(vectors, "QUESTION_BLOCK", 3)
+    assert sorted(map(tuple, queries()["b16_nearest_all"](spark, DATA).collect())) == whole
