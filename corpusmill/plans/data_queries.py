@@ -279,6 +279,16 @@ def w4_neighbours(t):
     return sq.neighbours(keys, _bsb(t), ["book", "chapter"], "verse").select("row_id")
 
 
+@query(
+    f"""WITH {BSB}, k AS (SELECT DISTINCT upper(split_part(primary_ref, ' ', 1)) AS book, split_part(split_part(primary_ref, ' ', 2), ':', 1)::INT AS chapter, split_part(primary_ref, ':', 2)::INT AS verse FROM documents WHERE primary_ref IS NOT NULL),
+    e AS (SELECT DISTINCT book, chapter, verse + d AS verse FROM k, (SELECT unnest([-1, 0, 1]) AS d) WHERE verse + d >= 1) SELECT b.row_id FROM e JOIN bsb b USING (book, chapter, verse)"""
+)
+def w4_neighbours_all(t):
+    at = refs.parse_verse(F.col("primary_ref"))
+    keys = t("documents").select(at["book"].alias("book"), at["chapter"].alias("chapter"), at["verse"].alias("verse"), F.col("doc_id").alias("ord")).filter("book is not null")
+    return sq.neighbours(keys, _bsb(t), ["book", "chapter"], "verse").select("row_id")
+
+
 RUNS = """i AS (SELECT book, chapter, verse, text, verse - row_number() OVER (PARTITION BY book, chapter ORDER BY verse) AS g FROM bsb)"""
 
 
@@ -408,6 +418,15 @@ def k6_insert_missing(t):
     return st.insert_missing(rows.filter("edge_id % 3 = 0"), rows.filter("edge_id % 2 = 0"), ["edge_id"])
 
 
+@query("""WITH old AS (SELECT edge_id, votes FROM cross_references WHERE loaded_at < TIMESTAMP '2025-04-01'), new AS (SELECT edge_id, min(votes) AS votes FROM cross_references WHERE loaded_at >= TIMESTAMP '2025-04-01' OR loaded_at IS NULL GROUP BY 1)
+    SELECT edge_id, votes FROM old UNION ALL SELECT edge_id, votes FROM new WHERE edge_id NOT IN (SELECT edge_id FROM old)""")
+def k6_insert_missing_all(t):
+    """Every link is on one side: those loaded before April exist, the later ones, with their re-deliveries, come in."""
+    rows = t("cross_references")
+    early = F.coalesce(F.col("loaded_at") < F.lit("2025-04-01").cast("timestamp"), F.lit(False))
+    return st.insert_missing(rows.filter(early).select("edge_id", "votes"), rows.filter(~early).select("edge_id", "votes"), ["edge_id"])
+
+
 @query(f"WITH {LATEST} SELECT book, chapter, verse, tr, row_id FROM latest WHERE tr = 'KJV' UNION ALL SELECT book, chapter, verse, tr, row_id FROM latest a WHERE tr = 'ASV' AND NOT EXISTS (SELECT 1 FROM latest b WHERE b.tr = 'KJV' AND a.book = b.book AND a.chapter = b.chapter AND a.verse = b.verse)")
 def u6_overwrite(t):
     rows = _latest(t).select("book", "chapter", "verse", "tr", "row_id")

@@ -65,3 +65,23 @@ def test_nearest_answers_every_question_in_blocks(spark, monkeypatch):
     assert {r[0] for r in whole} == {i for i in ids if i % 50 == 0} and len(whole) == 10 * len({r[0] for r in whole})
     monkeypatch.setattr(vectors, "QUESTION_BLOCK", 3)
     assert sorted(map(tuple, queries()["b16_nearest_all"](spark, DATA).collect())) == whole
+
+
+def test_every_link_is_inserted(spark):
+    rows = spark.read.parquet(f"{DATA}/cross_references.parquet").collect()
+    found = queries()["k6_insert_missing_all"](spark, DATA).collect()
+    assert {tuple(r) for r in found} == {(r["edge_id"], r["votes"]) for r in rows}
+    early = [r["edge_id"] for r in rows if r["loaded_at"].month < 4]
+    assert len(found) == len(early) + len({r["edge_id"] for r in rows} - set(early))
+
+
+def test_neighbours_of_every_document(spark):
+    keys = {r["primary_ref"].upper() for r in spark.read.parquet(f"{DATA}/documents.parquet").collect() if r["primary_ref"]}
+    latest = {}
+    for r in spark.read.parquet(f"{DATA}/verses.parquet").collect():
+        if (r["text"] or "").strip(" ") and (r["translation"] or "").strip(" ").upper() == "BSB":
+            at = (r["book"].strip(" ").upper(), r["chapter"], r["verse"])
+            if at not in latest or (r["loaded_at"], -r["row_id"]) > (latest[at]["loaded_at"], -latest[at]["row_id"]):
+                latest[at] = r
+    want = {r["row_id"] for (b, c, v), r in latest.items() if any(f"{b} {c}:{v + d}" in keys for d in (-1, 0, 1))}
+    assert {r["row_id"] for r in queries()["w4_neighbours_all"](spark, DATA).collect()} == want
