@@ -87,10 +87,15 @@ def decode_rows(codes: pa.Array | list[bytes], dim: int) -> np.ndarray:
 
 def unit_rows(block: np.ndarray) -> np.ndarray:
     """Rows scaled to length one; norms in double precision so that very large or small numbers are safe."""
+    return unit_rows_wide(block).astype(np.float32)
+
+
+def unit_rows_wide(block: np.ndarray) -> np.ndarray:
+    """``unit_rows`` in double precision."""
     wide = block.astype(np.float64)
     scale = np.abs(wide).max(axis=1, keepdims=True)
     wide /= scale
-    return (wide / np.sqrt(np.einsum("ij,ij->i", wide, wide))[:, None]).astype(np.float32)
+    return wide / np.sqrt(np.einsum("ij,ij->i", wide, wide))[:, None]
 
 
 # ---------------------------------------------------------------- building the lists
@@ -334,6 +339,10 @@ def hash_block(name: str, parts: int) -> int:
     return value % parts
 
 
+#: Above so many candidates of one visitor their exact cosines come from one product.
+DENSE = 256
+
+
 def _neighbours(k: int, least: float | None):
     """Per (dim, list, block), the k best postings for each visitor."""
 
@@ -345,28 +354,43 @@ def _neighbours(k: int, least: float | None):
         codes = group.column("code").combine_chunks()
         own, guests = np.flatnonzero(posted), np.flatnonzero(visits)
         own = own[np.argsort(place[own], kind="stable")]
-        rows = unit_rows(decode_rows(codes.take(pa.array(own)), dim))  # at most about block_rows postings
+        given = decode_rows(codes.take(pa.array(own)), dim)  # at most about block_rows postings
+        rows, wide = unit_rows(given), None
+        margin = 2 * (dim + 2) * 2.0**-24  # float32 products of equal cosines differ by less
         left, right, value = [], [], []
         for i in range(0, len(guests), 1024):
             who = guests[i : i + 1024]
-            asked = unit_rows(decode_rows(codes.take(pa.array(who)), dim))
-            near = asked @ rows.T
+            plain = decode_rows(codes.take(pa.array(who)), dim)
+            near = unit_rows(plain) @ rows.T
             width = min(k + 4, near.shape[1])
             if not width:
                 continue
             near[place[who][:, None] == place[own][None, :]] = -np.inf
             if least is not None:
                 worth = (near >= least - 1e-4).any(axis=1)
-                who, near, asked = who[worth], near[worth], asked[worth]
+                who, near, plain = who[worth], near[worth], plain[worth]
                 if not len(who):
                     continue
-            edge = -np.partition(-near, width - 1, axis=1)[:, width - 1]
+            edge = -np.partition(-near, width - 1, axis=1)[:, width - 1] - margin
             floor = np.maximum(edge, (least - 1e-4) if least is not None else -3.0)
-            r, c = np.nonzero(near >= floor[:, None])
-            finite = near[r, c] > -np.inf
-            r, c = r[finite], c[finite]
+            hit = near >= floor[:, None]
+            hit &= near > -np.inf
+            many = hit.sum(axis=1) > DENSE
+            if many.any() and wide is None:
+                wide = unit_rows_wide(given)
+            dense = np.flatnonzero(many)
+            for j in range(0, len(dense), 64):  # many equal products: whole rows at a time, the k best stay
+                part = dense[j : j + 64]
+                exact = np.round(unit_rows_wide(plain[part]) @ wide.T, 9)
+                exact[~hit[part]] = -np.inf
+                top = np.argsort(-exact, axis=1, kind="stable")[:, :k]
+                left.append(np.repeat(who[part], top.shape[1]))
+                right.append(own[top.ravel()])
+                value.append(np.take_along_axis(exact, top, 1).ravel())
+            hit[many] = False
+            r, c = np.nonzero(hit)
             for j in range(0, len(r), 8192):
-                a, b = asked[r[j : j + 8192]].astype(np.float64), rows[c[j : j + 8192]].astype(np.float64)
+                a, b = plain[r[j : j + 8192]].astype(np.float64), given[c[j : j + 8192]].astype(np.float64)
                 exact = np.einsum("ij,ij->i", a, b) / np.sqrt(np.einsum("ij,ij->i", a, a) * np.einsum("ij,ij->i", b, b))
                 left.append(who[r[j : j + 8192]])
                 right.append(own[c[j : j + 8192]])

@@ -90,3 +90,19 @@ def test_graph_finds_the_nearest_lists():
     square, lists = graph.search(rows, 10)
     exact = (rows @ centroids.T).argmax(axis=1)
     assert (lists[:, 0] == exact).mean() > 0.9 and (np.diff(square, axis=1) >= -1e-5).all()
+
+
+def parallel(count, dim=384, seed=5):
+    """Vectors of one direction and different norms, and some of other directions."""
+    rng = np.random.default_rng(seed)
+    v = rng.normal(size=dim)
+    rows = [(f"p{i:04d}", [float(x) for x in np.float32(v * s)]) for i, s in enumerate(rng.uniform(0.1, 9.0, count))]
+    return rows + [(f"z{i:04d}", [float(x) for x in np.float32(w)]) for i, w in enumerate(rng.normal(size=(20, dim)))]
+
+
+def test_parallel_vectors_are_ordered_by_id(spark):
+    for count in (12, 30, 300):
+        rows = parallel(count)
+        found = similar.similar_vectors(frame(spark, rows), 5, 0.8)
+        pairs = {tuple(r) for r in similar.mutual_pairs(found).collect()}
+        assert pairs == {(f"p{i:04d}", f"p{j:04d}") for i in range(6) for j in range(i + 1, 6)}
