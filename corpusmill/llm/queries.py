@@ -10,7 +10,7 @@ from corpusmill.llm.mixing import mix_sources
 from corpusmill.llm.neardup import near_duplicate_groups, near_duplicate_pairs
 from corpusmill.llm.packing import pack_items
 from corpusmill.llm.reading import reading_levels
-from corpusmill.llm.similar import mutual_pairs, similar_vectors
+from corpusmill.llm.similar import mutual_pairs, similar_to_all, similar_vectors
 from corpusmill.llm.splitting import split_oversized
 from corpusmill.llm.tokens import token_count
 from corpusmill.llm.topn import top_n_per_group
@@ -37,7 +37,7 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p1_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     """The most similar rows of every row, without a least similarity."""
-    return similar_vectors(vectors(spark, sf), NEIGHBOURS)
+    return similar_to_all(vectors(spark, sf), NEIGHBOURS)
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:

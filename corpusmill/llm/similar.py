@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.session import cut_lineage
@@ -422,7 +422,7 @@ def similar_vectors(rows: DataFrame, k: int = 5, least: float | None = None, con
     lengths are never compared. Equal cosines (nine digits) are ordered by id in binary order. A repeated id counts
     once if its vector repeats. An empty table gives an empty result. ``least`` drops similarities below it, before
     any exchange. Of exact copies the ``k + 1`` with the smallest ids are searched, since no other copy can be among
-    anyone's ``k``: further copies get no rows here, and ``copy_classes`` names the class whose rows are theirs.
+    anyone's ``k``: further copies may get no rows here; ``similar_to_all`` gives them theirs.
     """
     config = config or ListIndexConfig()
     own = rows.select(F.col("id").cast("string").alias("id"), "embedding").filter(F.col("id").isNotNull())
@@ -435,8 +435,8 @@ def similar_vectors(rows: DataFrame, k: int = 5, least: float | None = None, con
     return out if least is None else out.filter(F.col("cosine") >= least)
 
 
-def copy_classes(rows: DataFrame) -> DataFrame:
-    """(id, class_id, copies): the smallest id with the same vector, number for number, and how many rows share it."""
+def _marks(rows: DataFrame) -> DataFrame:
+    """(id, mark): a digest of every usable vector, equal for exact copies."""
 
     def digest(batches):
         import hashlib
@@ -447,11 +447,35 @@ def copy_classes(rows: DataFrame) -> DataFrame:
             marks = [hashlib.blake2b((values[offsets[i] : offsets[i + 1]] + 0.0).tobytes(), digest_size=16).digest() for i in at]
             yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at)), pa.array(marks, pa.binary())], ["id", "mark"])
 
-    marked = rows.select(F.col("id").cast("string").alias("id"), "embedding").filter(F.col("id").isNotNull()).mapInArrow(digest, "id string, mark binary").distinct()
+    return rows.select(F.col("id").cast("string").alias("id"), "embedding").filter(F.col("id").isNotNull()).mapInArrow(digest, "id string, mark binary").distinct()
+
+
+def copy_classes(rows: DataFrame) -> DataFrame:
+    """(id, class_id, copies): the smallest id with the same vector, number for number, and how many rows share it."""
+    marked = _marks(rows)
     heads = marked.groupBy("mark").agg(F.min("id").alias("class_id"), F.count("*").alias("copies"))
     return marked.join(heads, "mark").select("id", "class_id", "copies")
 
 
+def similar_to_all(rows: DataFrame, k: int = 5, config: ListIndexConfig | None = None) -> DataFrame:
+    """``similar_vectors`` with rows for every usable vector, however many copies it has.
+
+    The ``k`` first copies of a class stand before every later one, so all copies from the ``k + 1``-th on have the
+    same neighbours: those of the ``k + 1``-th, which is always searched. Classes are found over the whole table.
+    """
+    found = similar_vectors(rows, k, None, config)
+    best = cut_lineage(found.groupBy("id").agg(F.collect_list(F.struct((-F.col("cosine")).alias("far"), "other")).alias("best")))
+    marked = cut_lineage(_marks(rows))
+    by = Window.partitionBy("mark").orderBy("id")
+    last = marked.withColumn("at", F.row_number().over(by)).filter(F.col("at") <= k + 1).filter(F.col("at") == k + 1).select("mark", F.col("id").alias("model"))
+    shared = last.join(best.withColumnRenamed("id", "model"), "model").select("mark", "model", "best")
+    further = marked.join(shared, "mark").filter("id > model").select("id", "best")
+    every = best.unionByName(further).groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))).alias("best"))
+    every = every.withColumn("best", F.slice(F.filter("best", lambda x: x["other"] != F.col("id")), 1, k))
+    out = every.select("id", F.posexplode("best").alias("at", "hit"))
+    return out.select("id", F.col("hit.other").alias("other"), (-F.col("hit.far")).alias("cosine"), (F.col("at") + 1).alias("place"))
+
+
 def mutual_pairs(neighbours: DataFrame) -> DataFrame:
     """(id_a, id_b) with id_a < id_b where each names the other."""
     pairs = neighbours.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b"))

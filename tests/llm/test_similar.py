@@ -106,3 +106,13 @@ def test_parallel_vectors_are_ordered_by_id(spark):
         found = similar.similar_vectors(frame(spark, rows), 5, 0.8)
         pairs = {tuple(r) for r in similar.mutual_pairs(found).collect()}
         assert pairs == {(f"p{i:04d}", f"p{j:04d}") for i in range(6) for j in range(i + 1, 6)}
+
+
+def test_every_copy_has_its_neighbours(spark):
+    rows = [(f"c{i:03d}", [1.0, 2.0, 3.0]) for i in range(40)] + [("x", [3.0, 2.0, 1.0]), ("a", [1.0, 2.0, 3.5])]
+    want = brute(rows, 5)
+    for parts in (1, 3):
+        found = {}
+        for r in similar.similar_to_all(frame(spark, rows).repartition(parts), 5).orderBy("id", "place").collect():
+            found.setdefault(r["id"], []).append(r["other"])
+        assert found == want
