@@ -26,8 +26,35 @@ PASSES = 4
 Run = tuple[int, dict[int, int]]
 
 
+def dominated(use: dict[int, int], left: int, counts: dict[int, int], open_sizes: int) -> bool:
+    """Whether an item that is left over can take the place of smaller items of a filling with ``left`` tokens to spare.
+
+    ``open_sizes`` has a bit for every size in ``counts``. The sums of all subsets of the filling are the bits of a
+    number, so one shift adds an item. An item dominates a subset whose sum it exceeds by at most the spare room, or
+    equals if the subset has two items or more.
+    """
+    one = several = 0
+    for size, n in use.items():
+        for _ in range(n):
+            several |= (one | several) << size
+            one |= 1 << size
+        if n >= counts[size]:
+            open_sizes &= ~(1 << size)
+    reach, span, more = 1 | one | several, 1, 0
+    if left:
+        while span < left:  # bits of reach moved by 0 to left - 1
+            step = min(span, left - span)
+            reach |= reach << step
+            span += step
+        more = reach << 1
+    return bool((several | more) & open_sizes)
+
+
 def fillings(sizes: list[int], counts: dict[int, int], room: int, nodes: int = NODES) -> list[tuple[int, dict[int, int]]]:
-    """The best undominated fillings of ``room``, least waste first: (waste, size to number); at most four."""
+    """The best undominated fillings of ``room``, least waste first: (waste, size to number); at most four.
+
+    A branch is left when all items it may still use would leave more waste than the best filling has.
+    """
     greedy: dict[int, int] = {}
     left, at = room, bisect_right(sizes, room) - 1
     while at >= 0 and left > 0:
@@ -38,40 +65,54 @@ def fillings(sizes: list[int], counts: dict[int, int], room: int, nodes: int = N
         at = min(at - 1, bisect_right(sizes, left) - 1)
     found = [(left, greedy)]
     best, spent = left, 0
+    if best == 0 or not sizes:
+        return found
+    upto, total = [], 0  # tokens of all items up to each size, as far as they matter
+    for size in sizes:
+        total = min(room, total + size * counts[size])
+        upto.append(total)
+    open_sizes = sum(1 << size for size in sizes if size <= room)
+
+    def keep(rest: int, chosen: dict[int, int]) -> None:
+        nonlocal best
+        if (rest < best or (rest == best and len(found) < 4)) and chosen != greedy and not dominated(chosen, rest, counts, open_sizes):
+            found.append((rest, dict(chosen)))
+            best = min(best, rest)
 
     def walk(at: int, left: int, chosen: dict[int, int]) -> None:
-        nonlocal best, spent
+        nonlocal spent
         at = min(at, bisect_right(sizes, left) - 1)
         if at < 0:
-            if left < best or (left == best and len(found) < 4):
-                found.append((left, dict(chosen)))
-                best = min(best, left)
+            keep(left, chosen)
             return
         while at >= 0 and best > 0 and spent < nodes:
+            if left - upto[at] > best:
+                return
             spent += 1
             size = sizes[at]
             for use in range(min(counts[size], left // size), 0, -1):
                 rest = left - use * size
                 chosen[size] = use
                 if rest < sizes[0] or at == 0:
-                    if rest < best or (rest == best and len(found) < 4):
-                        found.append((rest, dict(chosen)))
-                        best = min(best, rest)
-                else:
+                    keep(rest, chosen)
+                elif rest - upto[at - 1] <= best:
                     walk(at - 1, rest, chosen)
                 del chosen[size]
                 if best == 0 or spent >= nodes:
                     return
             at -= 1
 
-    if best > 0 and sizes:
-        walk(len(sizes) - 1, room, {})
+    walk(len(sizes) - 1, room, {})
     found.sort(key=lambda x: x[0])
     return found[:4]
 
 
-def complete_bins(histogram: dict[int, int], capacity: int, deviate_at: int = -1) -> list[Run]:
-    """Runs (times, filling) that use up the histogram; at the run ``deviate_at`` the second-best filling is taken."""
+def complete_bins(histogram: dict[int, int], capacity: int, deviate_at: int = -1, allowed: int | None = None) -> list[Run] | None:
+    """Runs (times, filling) that use up the histogram; at the run ``deviate_at`` the second-best filling is taken.
+
+    None once more than ``allowed`` tokens of room are wasted.
+    """
+    wasted = 0
     counts = dict(histogram)
     sizes = sorted(counts)
     runs: list[Run] = []
@@ -92,6 +133,9 @@ def complete_bins(histogram: dict[int, int], capacity: int, deviate_at: int = -1
             counts[s] -= times * n
         sizes = [s for s in sizes if counts[s]]
         runs.append((times, use))
+        wasted += times * (capacity - sum(s * n for s, n in use.items()))
+        if allowed is not None and wasted > allowed:
+            return None
     return runs
 
 
@@ -126,18 +170,19 @@ def plan_packing(histogram: dict[int, int], capacity: int) -> list[Run]:
     histogram = {int(s): int(n) for s, n in histogram.items() if n > 0 and s > 0}
     if not histogram:
         return []
-    bound = -(-sum(s * n for s, n in histogram.items()) // capacity)
+    tokens = sum(s * n for s, n in histogram.items())
+    bound = -(-tokens // capacity)
     best = complete_bins(histogram, capacity)
     rival = best_fit_decreasing(histogram, capacity)
     best = rival if containers(rival) < containers(best) else best
     for i in range(PASSES - 1):
-        if containers(best) <= bound or len(histogram) > 600:
+        if containers(best) <= bound:
             break
         waste = [times * (capacity - sum(s * n for s, n in use.items())) for times, use in best[:-1]]
         if not waste:
             break
-        again = complete_bins(histogram, capacity, int(np.argsort(waste)[::-1][min(i, len(waste) - 1)]))
-        best = again if containers(again) < containers(best) else best
+        again = complete_bins(histogram, capacity, int(np.argsort(waste)[::-1][min(i, len(waste) - 1)]), (containers(best) - 1) * capacity - tokens)
+        best = best if again is None else again  # within the waste of one container less
     return best
 
 

@@ -185,3 +185,28 @@ def test_isotonic_is_monotone():
 
     x, y = reading.isotonic(np.array([3.0, 1.0, 2.0, 4.0]), np.array([2.0, 1.0, 3.0, 4.0]))
     assert (np.diff(y) >= 0).all() and np.interp(2.5, x, y) == 2.5
+
+
+def test_dominated_fillings():
+    counts = {3: 1, 4: 1, 7: 1, 8: 1}
+    mask = sum(1 << s for s in counts)
+    assert packing.dominated({3: 1, 4: 1}, 0, counts, mask)  # 7 takes the place of 3 and 4
+    assert packing.dominated({7: 1}, 1, counts, mask) and not packing.dominated({7: 1}, 0, counts, mask)
+    assert not packing.dominated({8: 1}, 2, counts, mask) and packing.dominated({8: 1}, 3, counts, mask)
+
+
+def test_packing_searches_histograms_of_any_size(monkeypatch):
+    rng = random.Random(8)
+    histogram = {s: rng.randrange(1, 4) for s in rng.sample(range(400, 2_000), 700)}
+    tried = []
+    real = packing.complete_bins
+    monkeypatch.setattr(packing, "complete_bins", lambda *a: tried.append(a) or real(*a))
+    runs = packing.plan_packing(histogram, 2_048)
+    bound = -(-sum(s * n for s, n in histogram.items()) // 2_048)
+    assert len(tried) == packing.PASSES or packing.containers(runs) == bound
+    left = dict(histogram)
+    for times, use in runs:
+        assert sum(s * n for s, n in use.items()) <= 2_048
+        for s, n in use.items():
+            left[s] -= times * n
+    assert not any(left.values())
