@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from corpusmill.functions.refs import book_name
 
-#: A citation by code or by name, not preceded by a book number.
+# A citation by code or by name, not preceded by a book number.
 CITATION = r"(?<![1-3]\s)\b(?:[1-3][A-Z]{2}|[A-Z]{2,3}|[1-3]\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*|[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\s+\d+:\d+(?:[-–]\d+)?\b"
 _BLANKS = r"[ \n\r\t\f\x0B]+"
 
@@ -50,32 +50,43 @@ def invalid_citations(answers: DataFrame, allowed: DataFrame, answer_id: str, te
     return cited.withColumn("key_", F.lower(long_citation(F.col("citation")))).join(good, [answer_id, "key_"], "left_anti").select(answer_id, "citation")
 
 
+CLOSERS = {"(": ")", "[": "]"}
+
+
 def without_citations(text: str, unwanted: list[str]) -> str:
-    """A text without the given citations, without the brackets that held them, and without the gaps that are left."""
-    if not unwanted:
+    """A text without the given citations, without the brackets that held them, and without the gaps that are left.
+
+    One pass over the brackets and citations of the text. Open brackets wait on a stack with the place where they began
+    and whether an unwanted citation stood in them; one that closes with such a citation in it takes all it holds away,
+    and so does one that holds nothing.
+    """
+    marks = sorted({c for c in unwanted if c}, key=len, reverse=True)
+    if not marks:
         return text
-    for c in unwanted:
-        for opening, closing in ("()", "[]"):
-            at = 0
-            while (at := text.find(c, at)) >= 0:
-                start, end = text.rfind(opening, 0, at + 1), text.find(closing, at + len(c))
-                closed = text.find(closing, start) if start >= 0 else -1
-                if start >= 0 and end >= 0 and not 0 <= closed < at:
-                    text, at = text[:start] + text[end + 1 :], start
-                else:
-                    at += len(c)
-        while c and c in text:
-            text = text.replace(c, "")
-    while "()" in text or "[]" in text:
-        text = text.replace("()", "").replace("[]", "")
-    text = re.sub(r"[ \t]+", " ", text)
-    text = re.sub(r"\n{3,}", "\n\n", text)
-    return re.sub(r" ([,.;:!?])", r"\1", text).strip()
+    kept: list[str] = []
+    waiting: list[tuple[str, int, bool]] = []
+    for part in re.split("(" + "|".join([*map(re.escape, marks), r"[()\[\]]"]) + ")", text):
+        if part in marks:
+            if waiting:
+                waiting[-1] = (*waiting[-1][:2], True)
+        elif part in CLOSERS:
+            waiting.append((CLOSERS[part], len(kept), False))
+            kept.append(part)
+        elif waiting and part == waiting[-1][0]:
+            _, began, spoiled = waiting.pop()
+            if spoiled or not "".join(kept[began + 1 :]):
+                del kept[began:]
+            else:
+                kept.append(part)
+        elif part:
+            kept.append(part)
+    lines = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", "".join(kept)))
+    return re.sub(r" (?=[,.;:!?])", "", lines).strip()
 
 
 @F.pandas_udf(T.StringType())
 def scrub(texts: pd.Series, unwanted: pd.Series) -> pd.Series:
-    """``without_citations`` over columns; the removal of one citation can open another's brackets, so it is a scan."""
+    """``without_citations`` over columns: nested brackets need a stack, which no expression has."""
     return pd.Series([None if t is None else without_citations(t, list(u) if u is not None else []) for t, u in zip(texts, unwanted, strict=True)])
 
 

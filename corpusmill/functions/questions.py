@@ -15,11 +15,13 @@ from corpusmill.functions.text import has_any, has_keyword, quote, strings
 
 # Prefixes without meaning, in the order in which they are tried.
 FILLERS = ("what does the bible say about", "what does scripture say about", "tell me about", "explain", "can you explain", "help me understand")
-# Short book names and what they stand for, in order. The second group needs a digit or space to follow.
-SHORT_NAMES = (("jn", "John"), ("jhn", "John"))
-SHORT_BEFORE_NUMBER = (("gen", "Genesis "), ("ge", "Genesis "), ("ex", "Exodus "), ("exo", "Exodus "), ("rom", "Romans "), ("psalm", "Psalms "), ("ps", "Psalms "), ("psa", "Psalms "))
-SHORT_NUMBERED = ((r"1\s*cor", "1 Corinthians"), (r"2\s*cor", "2 Corinthians"), (r"1\s*thess", "1 Thessalonians"), (r"2\s*thess", "2 Thessalonians"))
-COMPAT_BOOKS = ("john", "genesis", "exodus", "romans", "psalms", "1 corinthians", "2 corinthians", "1 thessalonians", "2 thessalonians")
+# Short book names as patterns and what they stand for, in the order in which they are replaced.
+SHORT_BOOKS = (
+    (r"jn\b", "John"), (r"jhn\b", "John"), (r"gen(?=\d|\s)", "Genesis "), (r"ge(?=\d|\s)", "Genesis "), (r"ex(?=\d|\s)", "Exodus "), (r"exo(?=\d|\s)", "Exodus "), (r"rom(?=\d|\s)", "Romans "),
+    (r"psalm(?=\d|\s)", "Psalms "), (r"ps(?=\d|\s)", "Psalms "), (r"psa(?=\d|\s)", "Psalms "), (r"1\s*cor\b", "1 Corinthians"), (r"2\s*cor\b", "2 Corinthians"), (r"1\s*thess\b", "1 Thessalonians"), (r"2\s*thess\b", "2 Thessalonians"),
+)
+#: The books that the narrow reading knows: those that the short names stand for.
+COMPAT_BOOKS = tuple(dict.fromkeys(name.strip().lower() for _, name in SHORT_BOOKS))
 # Domains and their keywords, first match wins.
 DOMAINS = (
     ("messianic", ("messiah", "son of god", "son of david", "suffering servant")),
@@ -70,12 +72,8 @@ def strip_filler(question: Column) -> Column:
 def space_references(question: Column) -> Column:
     """Short book names written out, and numbers set apart from names."""
     out = question
-    for short, name in SHORT_NAMES:
-        out = F.regexp_replace(out, rf"(?i)\b{short}\b", name)
-    for short, name in SHORT_BEFORE_NUMBER:
-        out = F.regexp_replace(out, rf"(?i)\b{short}(?=\d|\s)", name)
-    for short, name in SHORT_NUMBERED:
-        out = F.regexp_replace(out, rf"(?i)\b{short}\b", name)
+    for short, name in SHORT_BOOKS:
+        out = F.regexp_replace(out, rf"(?i)\b{short}", name)
     for pattern, to in ((r"\b([1-3])\s*([A-Za-z]+)", "$1 $2"), (r"\b([A-Za-z]+)\s*(\d+):(\d+)\b", "$1 $2:$3"), (r"\b([A-Za-z]+)\s*(\d+)\b", "$1 $2"), (r"\s+", " ")):
         out = F.regexp_replace(out, pattern, to)
     return F.trim(out)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,19 +27,37 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder and read back, so that lost executors never force a recomputation.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables that every executor can reach.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset, as in tests on one machine,
-    a temporary folder is chosen.
+    It is the session's ``spark.checkpoint.dir``. Only where that is unset and the session runs on this machine alone
+    a temporary folder is chosen; on a cluster a missing setting is an error, since executors would write to their own
+    disks.
     """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corpusmill-checkpoint-")
-        context.setCheckpointDir(folder)
+    context = spark.sparkContext
+    known = context._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if context.master.partition("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="corpusmill-checkpoint-")
+    context.setCheckpointDir(folder)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder and read back, so that lost executors never force a recomputation."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the checkpoint folder."""
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 #: Input below so many bytes a core is worth spreading when it lies in few files.
 SPREAD_BYTES = 64 << 20
 
@@ -47,15 +66,11 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores where its files are too few to occupy them and small; otherwise as it is.
 
     A file's row group is read by one task, so a small table in one file would keep one core busy with work that
-    should be shared. A large input has many row groups and is never moved.
+    should be shared. Result rows are the same either way. The sizes come from the plan's statistics, which the scan
+    has already; no file is listed.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    files = df.inputFiles()
-    if not files or len(files) >= cores:
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()))
+    if size >= cores * SPREAD_BYTES or size >= 2 * cores * int(df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()):
         return df
-    total = 0
-    for file in files:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file)
-        total += path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getLen()
-    return df.repartition(cores) if total < cores * SPREAD_BYTES else df
+    return df.repartition(cores)

@@ -105,15 +105,42 @@ def test_long_citations(one):
     assert one(citations.citations(F.lit("as 1 John 4:8, and ROM 8:28–30."))) == ["1 John 4:8", "ROM 8:28–30"]
 
 
-def test_answer_lines():
-    assert answers.artifact_lines("- `orig|λόγος|logos|G3056|word`") == ["- Greek: λόγος (G3056; logos)", "  Meaning: word"]
-    assert answers.artifact_lines("orig|x") == [] and answers.artifact_lines("plain") is None
-    tidy = answers.tidy_answer("Reference: JHN 3:16\n\n\n\n**Original key words:**\n- λόγος (word)\n- \"Next\"")
+def test_answer_lines(one):
+    assert one(answers.dump_lines(F.lit("- `orig|λόγος|logos|G3056|word`"))) == ["- Greek: λόγος (G3056; logos)", "  Meaning: word"]
+    assert one(answers.dump_lines(F.lit("orig|דבר|H1697|word"))) == ["- Hebrew: דבר (H1697)", "  Meaning: word"]
+    assert one(answers.dump_lines(F.lit("orig|x"))) == [] and one(answers.dump_lines(F.lit("plain"))) is None
+    tidy = one(answers.tidy_answer(F.lit("Reference: JHN 3:16\n\n\n\n**Original key words:**\n- λόγος (word)\n- \"Next\"")))
     assert tidy == "- **JHN 3:16**\n\n**Original language details:**\n- `λόγος` (word)\n- \"Next\""
-    assert answers.tidy_answer(None) is None and answers.tidy_answer(" ") == " "
-    before, after = answers.sections("Summary.\n- \"A verse\"\n  - sub\nEnd line")
-    assert before == "Summary." and after == "End line"
-    assert answers.summary("Summary.\n- \"A verse\"\nAll quotes from BSB.\nDone.") == "Summary. Done."
+    assert one(answers.tidy_answer(F.lit(None).cast("string"))) is None and one(answers.tidy_answer(F.lit(" "))) == " "
+    cut = one(answers.sections(F.lit("Summary.\n- \"A verse\"\n  - sub\nEnd line")))
+    assert cut["before"] == "Summary." and cut["after"] == "End line"
+    assert one(answers.summary(F.lit("Summary.\n- \"A verse\"\nAll quotes from BSB.\nDone."))) == "Summary. Done."
+    assert one(answers.summary(F.lit(""))) is None
+
+
+def test_blocks_end_and_begin_again(one):
+    head = "**Original language details:**"
+    lines = f"{head}\n- [λόγος] (word)\n- `done` x\norig|a|G1|b\nAll quotes from BSB\n- plain one\n{head}\n- θεός, god\n"
+    want = f"{head}\n- `λόγος` (word)\n- `done` x\n- Greek: a (G1)\n  Meaning: b\nAll quotes from BSB\n- plain one\n{head}\n- `θεός`, god"
+    assert one(answers.tidy_answer(F.lit(lines))) == want
+
+
+def test_answers_get_the_verses_they_lack(spark):
+    rows = spark.createDataFrame([("Said.", [("JHN 1:1", "BSB", [("λόγος", "G3056", "word", None, "logos"), ("x", "", "y", None, None)]), ("GEN 1:1", "KJV", [])])], f"a string, v array<struct<reference:string,translation:string,original:{WORDS}>>")
+    got = rows.select(answers.tidy_answer(F.col("a"), F.col("v")).alias("x")).first()["x"]
+    assert got == "Said.\n\n- **JHN 1:1 (BSB)**\n- **GEN 1:1 (KJV)**\n\n- **JHN 1:1**\n**Original language details:**\n- Greek: λόγος (G3056; logos)\n  Meaning: word"
+    assert rows.select(answers.tidy_answer(F.lit("- **JHN 1:1** **Original key words:**"), F.col("v")).alias("x")).first()["x"] == "- **JHN 1:1** **Original key words:**"
+
+
+@pytest.mark.parametrize(
+    ("given", "unwanted", "want"),
+    [
+        ("God loved [JHN 3:16].", [], "God loved [JHN 3:16]."), ("Claim [MAT 5:3].", ["MAT 5:3"], "Claim."), ("Valid [JHN 3:16] and phantom [MAT 5:3].", ["MAT 5:3"], "Valid [JHN 3:16] and phantom."),
+        ("(see MAT 5:3) a", ["MAT 5:3"], "a"), ("a (b [MAT 5:3] c) d", ["MAT 5:3"], "a (b c) d"), ("a (MAT 5:3", ["MAT 5:3"], "a ("), ("a MAT 5:3-7 b", ["MAT 5:3", "MAT 5:3-7"], "a b"), ("", ["x"], ""), ("x ([MAT 5:3])", ["MAT 5:3"], "x"),
+    ],
+)
+def test_citations_go_with_their_brackets(given, unwanted, want):
+    assert citations.without_citations(given, unwanted) == want
 
 
 def test_prompt_round_trip(spark):
