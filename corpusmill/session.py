@@ -70,7 +70,7 @@ def spread(df: DataFrame) -> DataFrame:
     has already; no file is listed.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size >= cores * SPREAD_BYTES or size >= 2 * cores * int(df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()):
         return df
     return df.repartition(cores)
