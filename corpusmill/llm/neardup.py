@@ -5,36 +5,37 @@ their indicator vectors, so similarity ``t`` (shared words over all words) means
 ``(1 - t) / (1 + t)`` times the sum of both sizes. Folding the indicator vector into 256 bits by parity can only shorten
 that distance, so the fold is a fingerprint whose Hamming distance never misses a pair.
 
-Vantage-point trees over these fingerprints find the pairs: a node splits its rows at the median distance to a vantage
-row, and a row visits a side only if the triangle inequality allows a partner there; rows near a boundary visit both.
-Over a whole collection the trees alone hardly prune, since distances between unrelated texts are nearly equal (see
-the README), so the trees are built over shards: rows that share one of their rarest words. A pair above the threshold
-always shares such a word, so no pair is lost. Shards beyond a bound are split into blocks of row sets that meet
-pairwise. Every candidate is checked on its word sets.
+Rows are sharded, and every shard holds a forest of vantage-point trees. A node splits its rows at the median distance
+to a vantage row; a row visits a side only if the triangle inequality allows a partner there, so rows near a boundary
+visit both. Trees over all rows would hardly prune, since distances between unrelated texts are nearly equal (see the
+README). Shards are therefore made of rows that share a rare word: words are ordered by their exact number of texts,
+and a pair above the threshold always shares one of the rarest ``n - ceil(t n) + 1`` words of either. A word of many
+texts makes no shard by itself: since a pair shares at least two words, its rows are sharded by that word together with
+a later one. A shard of more rows than a bound is cut into blocks that meet pairwise. The distance to the empty set is
+the size, the first vantage of all: sizes too far apart never meet. Every candidate is checked on its word sets.
 """
 
 from __future__ import annotations
 
 import itertools
-import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.session import cut_lineage, spread
 
-#: Words are counted in so many hashed counters; their number bounds what the driver and each task hold.
-COUNTERS = 1 << 18
+#: A word of more texts than this makes shards only together with a second word.
+COMMON_TEXTS = 512
 #: Words of the fingerprint, 64 bits each.
 FOLD = 4
 #: Rows of a shard's block. A larger shard is split into blocks that meet pairwise.
 BLOCK_ROWS = 4_096
-#: Shards of at most so many rows need no tree; many are compared at once.
-SHORT_RUN = 64
 #: Rows of a tree's leaf, compared directly.
-LEAF_ROWS = 192
+LEAF_ROWS = 16
+#: Comparisons that are held at once.
+HELD_PAIRS = 1_000_000
 
 
 def word_sets(df: DataFrame, item: str, text: str) -> DataFrame:
@@ -55,12 +56,47 @@ def text_classes(sets: DataFrame) -> DataFrame:
     return sets.groupBy("mark", "size_mark").agg(F.min("item").alias("class_id"), F.first("words").alias("words"), F.count("*").alias("copies"))
 
 
-def _counts(classes: DataFrame) -> np.ndarray:
-    """Texts per hashed counter; the order of words by these counts is the same for every text."""
-    spread = classes.select(F.explode("words").alias("w")).groupBy(F.pmod("w", F.lit(COUNTERS)).alias("c")).count().toArrow()
-    out = np.zeros(COUNTERS, dtype=np.int64)
-    out[np.asarray(spread.column("c"))] = np.asarray(spread.column("count"))
-    return out
+def _least_shared(size: Column, threshold: float) -> Column:
+    """The words that a set of this size shares at least with any partner."""
+    return F.ceil(size * threshold - 1e-9).cast("int")
+
+
+def ordered_words(classes: DataFrame, threshold: float) -> DataFrame:
+    """(class_id, size, start, rare): the rarest words of each set, array<struct<n, w>> by the number of texts n.
+
+    Words are counted exactly, over all classes. Words of one text alone join nothing and are left out; ``start`` says
+    how many they are, since they hold the first places. One word more is kept than a shard by single words needs.
+    """
+    each = classes.select("class_id", F.size("words").alias("size"), F.explode("words").alias("w"))
+    counts = each.groupBy("w").agg(F.count("*").alias("n")).filter("n > 1")
+    kept = each.join(counts, "w").groupBy("class_id", "size").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("rare"))
+    start = F.col("size") - F.size("rare")
+    reach = F.col("size") - _least_shared(F.col("size"), threshold) + 2 - start
+    return kept.select("class_id", "size", start.alias("start"), F.slice("rare", F.lit(1), F.greatest(F.lit(0), reach)).alias("rare")).filter(F.size("rare") > 0)
+
+
+def shard_keys(ordered: DataFrame, threshold: float, *further: str) -> DataFrame:
+    """(class_id, size, further..., shard, place, counted): the shards of every set; place is that of the shard's first word.
+
+    ``counted`` marks shards that may have more than ``COMMON_TEXTS`` rows. A set so small that one shared word can be
+    enough is in the shard of each common word too.
+    """
+    least = _least_shared(F.col("size"), threshold)
+    kind = "array<struct<shard:bigint,place:int,counted:boolean>>"
+
+    def keys(x: Column, i: Column) -> Column:
+        place = (F.col("start") + i).cast("int")
+
+        def shard(counted: Column, *words: Column) -> Column:
+            return F.struct(F.xxhash64(*words).alias("shard"), place.alias("place"), counted.alias("counted"))
+
+        rest = F.slice("rare", i + 2, F.greatest(F.lit(0), F.size("rare") - i - 1))
+        single = F.when((x["n"] <= COMMON_TEXTS) | (least < 2), F.array(shard(x["n"] > COMMON_TEXTS, x["w"]))).otherwise(F.array().cast(kind))
+        double = F.when(x["n"] > COMMON_TEXTS, F.transform(rest, lambda y: shard(F.lit(True), x["w"], y["w"]))).otherwise(F.array().cast(kind))
+        return F.when(place > F.col("size") - least, F.array().cast(kind)).otherwise(F.concat(single, double))
+
+    made = ordered.select("class_id", "size", *further, F.explode(F.flatten(F.transform("rare", keys))).alias("k"))
+    return made.select("class_id", "size", *further, "k.shard", "k.place", "k.counted")
 
 
 def fingerprints(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -76,145 +112,136 @@ def fingerprints(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def _postings(counts_value, threshold: float):
-    """A mapper from (class_id, words) to rows (word, block, class_id, size, print) for the rarest words of each set."""
-
-    def run(batches):
-        counts = counts_value()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+def _prints(batches):
+    """(class_id, f0..) of (class_id, words)."""
+    for batch in batches:
+        if batch.num_rows:
             column = batch.column("words")
             offsets = np.concatenate([[0], np.cumsum(np.asarray(column.value_lengths(), dtype=np.int64))])
-            flat = np.asarray(column.flatten(), dtype=np.int64)
-            row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
-            often = counts[flat % COUNTERS]
-            order = np.lexsort((flat, often, row))
-            size = np.diff(offsets)
-            place = np.arange(len(flat)) - np.repeat(offsets[:-1], size)
-            reach = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
-            kept = order[(place < reach[row[order]]) & (often[order] > 1)]  # a word of one text alone joins nothing
-            at, words, many = row[kept], flat[kept], often[kept]
-            prints = fingerprints(flat, offsets)
-            ids = np.asarray(batch.column("class_id"))
-            parts = np.maximum(1, -(-many // BLOCK_ROWS))
-            own = (ids[at].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)).astype(np.int64) % parts
-            # a row of part p meets the rows of every other part once, in the block of the two parts
-            fan = np.repeat(np.arange(len(at)), parts)
-            other = np.arange(len(fan)) - np.repeat(np.cumsum(parts) - parts, parts)
-            low, high = np.minimum(own[fan], other), np.maximum(own[fan], other)
-            block = np.where(parts[fan] == 1, 0, high * (high + 1) // 2 + low)
-            raw = np.ascontiguousarray(prints[at[fan]]).tobytes()
-            width = 8 * FOLD
-            column = pa.Array.from_buffers(pa.binary(), len(fan), [None, pa.py_buffer(np.arange(0, len(raw) + 1, width, dtype=np.int32)), pa.py_buffer(raw)]) if len(fan) else pa.array([], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(words[fan]), pa.array(block), pa.array(own[fan].astype(np.int32)), pa.array(ids[at[fan]]), pa.array(size[at[fan]].astype(np.int32)), column], ["word", "block", "part", "class_id", "size", "mark"])
+            found = fingerprints(np.asarray(column.flatten(), dtype=np.int64), offsets).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("class_id"), *(pa.array(found[:, k]) for k in range(FOLD))], ["class_id", *(f"f{k}" for k in range(FOLD))])
 
-    return run
 
-
-def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Distances of every row of ``a`` to every row of ``b``."""
-    out = np.bitwise_count(a[:, None, 0] ^ b[None, :, 0]).astype(np.int16)
-    for k in range(1, a.shape[1]):
-        out += np.bitwise_count(a[:, None, k] ^ b[None, :, k])
+def distances(prints: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distances of the rows ``a`` to the rows ``b``, one by one."""
+    out = np.bitwise_count(prints[a, 0] ^ prints[b, 0]).astype(np.int16)
+    for k in range(1, prints.shape[1]):
+        out += np.bitwise_count(prints[a, k] ^ prints[b, k])
     return out
 
 
-def tree_pairs(prints: np.ndarray, sizes: np.ndarray, threshold: float, leaf_rows: int = LEAF_ROWS, sides: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
-    """Index pairs (i, j), i before j, whose fingerprints allow the threshold, and how many distances were computed.
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... counts[0] of them, then those of the next."""
+    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+
+
+def forest_pairs(prints: np.ndarray, sizes: np.ndarray, node: np.ndarray, threshold: float, places: np.ndarray | None = None, sides: np.ndarray | None = None, leaf_rows: int = LEAF_ROWS):
+    """Yields index pairs (i, j, distances computed) of rows of one node whose fingerprints allow the threshold.
 
-    With ``sides``, a truth value per row, only pairs of a true and a false row are sought.
+    ``node`` numbers the tree of every row, rising. All trees are walked together, level by level. With ``sides``, a
+    truth value per row, only pairs of a true and a false row are sought. ``places``, where the shard's word stands in
+    each row's order, rules out pairs that share too few words from there on.
 
-    A partner of a row of size n has at most n / t words, so no pair of the row is farther than the radius
-    floor(c (n + n / t)) with c = (1 - t) / (1 + t). The tree is walked for all rows together.
+    Of a pair the row of the larger size, of equals the later one, visits the tree as a guest, so a guest of size n
+    finds its partners within floor(2 c n), c = (1 - t) / (1 + t); between sides every false row is a guest, and its
+    partner may be larger, up to n / t.
     """
     share = (1 - threshold) / (1 + threshold)
-    radius = np.floor(share * (sizes + np.floor(sizes / threshold + 1e-9)) + 1e-9).astype(np.int64)
-    left, right, work = [], [], 0
-    every = np.arange(len(prints))
-    stack = [(every, every) if sides is None else (every[sides], every[~sides])]
-    while stack:
-        rows, guests = stack.pop()
-        if not len(rows) or not len(guests):
-            continue
-        if len(rows) <= leaf_rows:
-            for i in range(0, len(guests), 2048):
-                who = guests[i : i + 2048]
-                apart = hamming(prints[who], prints[rows])
-                work += apart.size
-                a, b = np.nonzero(apart <= np.floor(share * (sizes[who][:, None] + sizes[rows][None, :]) + 1e-9))
-                first = who[a] < rows[b] if sides is None else slice(None)
-                left.append(who[a[first]])
-                right.append(rows[b[first]])
-            continue
-        vantage = prints[rows[:1]]
-        to_rows, to_guests = hamming(prints[rows], vantage)[:, 0], hamming(prints[guests], vantage)[:, 0]
-        work += len(rows) + len(guests)
-        middle = int(np.median(to_rows))
-        inner = to_rows <= middle
-        if inner.all():
-            inner = to_rows < middle
-            if not inner.any():  # all at one distance: halve, every guest visits both
-                half = len(rows) // 2
-                stack += [(rows[:half], guests), (rows[half:], guests)]
+    most = sizes if sides is None else np.floor(sizes / threshold + 1e-9)
+    radius = np.floor(share * (sizes + most) + 1e-9).astype(np.int64)
+    every = np.arange(len(node))
+    rows, guests = (every, every) if sides is None else (every[sides], every[~sides])
+    at, seat = node[rows].astype(np.int64), node[guests].astype(np.int64)
+    work = 0
+    while len(rows) and len(guests):
+        names, first, at, count = np.unique(at, return_index=True, return_inverse=True, return_counts=True)
+        own = np.searchsorted(names, seat)
+        there = (own < len(names)) & (names[np.minimum(own, len(names) - 1)] == seat)
+        guests, seat = guests[there], own[there]
+        small = count <= leaf_rows
+        home = np.flatnonzero(small[seat])
+        for part in np.array_split(home, max(1, -(-int(count[seat[home]].sum()) // HELD_PAIRS))):
+            if not len(part):
                 continue
-            middle -= 1
-        stack.append((rows[inner], guests[to_guests - radius[guests] <= middle]))
-        stack.append((rows[~inner], guests[to_guests + radius[guests] > middle]))
-    if not left:
-        return np.array([], dtype=int), np.array([], dtype=int), work
-    return np.concatenate(left), np.concatenate(right), work
-
-
-def _small_pairs(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All index pairs (i, j), i before j, within each of many short runs."""
-    own = np.repeat(np.arange(len(lengths)), lengths)
-    first = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    after = lengths[own] - first - 1
-    left = np.repeat(starts[own] + first, after)
-    step = np.arange(len(left)) - np.repeat(np.cumsum(after) - after, after)
-    return left, left + step + 1
+            g = np.repeat(guests[part], count[seat[part]])
+            r = rows[_ranges(first[seat[part]], count[seat[part]])]
+            if sides is None:
+                due = (sizes[r] < sizes[g]) | ((sizes[r] == sizes[g]) & (r < g))
+                g, r = g[due], r[due]
+            due = np.minimum(sizes[g], sizes[r]) >= threshold * np.maximum(sizes[g], sizes[r]) - 1e-9
+            if places is not None:
+                due &= np.minimum(sizes[g] - places[g], sizes[r] - places[r]) >= threshold / (1 + threshold) * (sizes[g] + sizes[r]) - 1e-9
+            g, r = g[due], r[due]
+            near = distances(prints, g, r) <= np.floor(share * (sizes[g] + sizes[r]) + 1e-9)
+            work += len(g)
+            yield g[near], r[near], work
+            work = 0
+        stay, go = ~small[at], ~small[seat]
+        rows, at, guests, seat = rows[stay], at[stay], guests[go], seat[go]
+        if not len(rows):
+            return
+        vantage = np.full(len(names), -1)
+        starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        vantage[at[starts]] = rows[starts]
+        to_rows, to_guests = distances(prints, rows, vantage[at]), distances(prints, guests, vantage[seat])
+        work += len(rows) + len(guests)
+        order = np.lexsort((to_rows, at))
+        rows, at, to_rows = rows[order], at[order], to_rows[order]
+        length = np.diff(np.concatenate([starts, [len(at)]]))
+        middle, low, high = to_rows[starts + (length - 1) // 2], to_rows[starts], to_rows[starts + length - 1]
+        middle = np.where(middle == high, middle - 1, middle)  # else no row would lie outside
+        flat = low == high  # all at one distance: halve by place, every guest visits both
+        segment = np.repeat(np.arange(len(starts)), length)
+        outer = np.where(flat[segment], np.arange(len(at)) - starts[segment] >= length[segment] // 2, to_rows > middle[segment])
+        place = np.zeros(len(names), dtype=np.int64)
+        place[at[starts]] = np.arange(len(starts))
+        sits = place[seat]
+        inside = flat[sits] | (to_guests - radius[guests] <= middle[sits])
+        outside = flat[sits] | (to_guests + radius[guests] > middle[sits])
+        at = 2 * segment + outer
+        order = np.argsort(at, kind="stable")
+        rows, at = rows[order], at[order]
+        seat = np.concatenate([2 * sits[inside], 2 * sits[outside] + 1])
+        guests = np.concatenate([guests[inside], guests[outside]])
 
 
 def _candidates(threshold: float):
-    """Candidate pairs (a, b) of a stream of postings sorted by (word, block); holds one block at a time."""
-    share = (1 - threshold) / (1 + threshold)
-
-    def blocks(rows: dict[str, np.ndarray], starts: np.ndarray, ends: np.ndarray):
-        ids, sizes, prints = rows["class_id"], rows["size"].astype(np.int64), rows["mark"]
-        lengths = ends - starts
-        short = (lengths > 1) & (lengths <= SHORT_RUN) & (rows["block"][starts] == 0)
-        at = np.flatnonzero(short)
-        for part in np.array_split(at, max(1, int((lengths[at].astype(np.int64) ** 2).sum()) // 2_000_000 + 1)):
-            i, j = _small_pairs(starts[part], lengths[part])
-            near = np.bitwise_count(prints[i] ^ prints[j]).sum(axis=1) <= np.floor(share * (sizes[i] + sizes[j]) + 1e-9)
-            yield ids[i[near]], ids[j[near]]
-        for k in np.flatnonzero((lengths > 1) & ~short):
-            run = np.arange(starts[k], ends[k])
-            block = int(rows["block"][starts[k]])
-            high = (math.isqrt(8 * block + 1) - 1) // 2
-            run = run[np.lexsort((ids[run], sizes[run]))]
-            sides = None if high * (high + 1) // 2 + high == block else rows["part"][run] == high
-            i, j, _ = tree_pairs(prints[run], sizes[run], threshold, sides=sides)
-            yield ids[run[i]], ids[run[j]]
+    """Candidate pairs (a, b) of a stream of postings sorted by (shard, block); holds one stretch of shards at a time."""
+
+    def pairs(rows: dict[str, np.ndarray], edges: np.ndarray):
+        length = np.diff(edges)
+        block = rows["block"][edges[:-1]]
+        high = np.floor((np.sqrt(8.0 * block + 1) - 1) / 2).astype(np.int64)
+        alone = high * (high + 1) // 2 + high == block  # rows of one part, or of a shard that isn't split
+        for sided in (False, True):
+            use = np.flatnonzero((length > 1) & (alone != sided))
+            for part in np.array_split(use, max(1, -(-int(length[use].sum()) // (8 * BLOCK_ROWS)))):
+                if not len(part):
+                    continue
+                run = _ranges(edges[:-1][part], length[part])
+                own = np.repeat(np.arange(len(part)), length[part])
+                prints, sizes, ids = rows["prints"][run], rows["size"][run].astype(np.int64), rows["class_id"][run]
+                sides = rows["part"][run] == high[part][own] if sided else None
+                for i, j, _ in forest_pairs(prints, sizes, own, threshold, rows["place"][run].astype(np.int64), sides):
+                    if len(i):
+                        yield np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
 
     def run(batches):
         held: dict[str, np.ndarray] | None = None
         for batch in itertools.chain(batches, (None,)):
             if batch is not None:
-                new = {c: np.asarray(batch.column(c)) for c in ("word", "block", "part", "class_id", "size")}
-                new["mark"] = np.frombuffer(b"".join(batch.column("mark").to_pylist()), dtype=np.uint64).reshape(-1, FOLD)
+                new = {c: np.asarray(batch.column(c)) for c in ("shard", "block", "part", "class_id", "size", "place")}
+                new["prints"] = np.stack([np.asarray(batch.column(f"f{k}")).view(np.uint64) for k in range(FOLD)], axis=1)
                 held = new if held is None else {c: np.concatenate([held[c], v]) for c, v in new.items()}
-            if held is None or not len(held["word"]):
+            if held is None or not len(held["shard"]):
                 continue
-            fresh = (held["word"][1:] != held["word"][:-1]) | (held["block"][1:] != held["block"][:-1])
-            edges = np.concatenate([[0], np.flatnonzero(fresh) + 1, [len(held["word"])]])
+            fresh = (held["shard"][1:] != held["shard"][:-1]) | (held["block"][1:] != held["block"][:-1])
+            edges = np.concatenate([[0], np.flatnonzero(fresh) + 1, [len(held["shard"])]])
             edges = edges if batch is None else edges[:-1]  # the last run may go on in the next batch
             if len(edges) > 1:
-                for a, b in blocks(held, edges[:-1], edges[1:]):
-                    if len(a):
-                        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-                        yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+                for a, b in pairs(held, edges):
+                    both = np.unique(np.stack([a, b]), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
                 held = {c: v[edges[-1] :] for c, v in held.items()}
 
     return run
@@ -222,10 +249,18 @@ def _candidates(threshold: float):
 
 def class_links(classes: DataFrame, threshold: float) -> DataFrame:
     """(a, b, similarity): all pairs of classes, a < b, whose word sets reach the threshold."""
-    counts = classes.sparkSession.sparkContext.broadcast(_counts(classes))
-    postings = classes.select("class_id", "words").mapInArrow(_postings(lambda: counts.value, threshold), "word long, block long, part int, class_id long, size int, mark binary")
-    shards = postings.repartition("word", "block").sortWithinPartitions("word", "block")
-    near = shards.mapInArrow(_candidates(threshold), "a long, b long").distinct()
+    folds = [f"f{k}" for k in range(FOLD)]
+    prints = classes.select("class_id", "words").mapInArrow(_prints, "class_id long, " + ", ".join(f"{f} long" for f in folds))
+    ordered = cut_lineage(ordered_words(classes, threshold).join(prints, "class_id"))
+    large = shard_keys(ordered, threshold).filter("counted").groupBy("shard").agg(F.count("*").alias("rows")).filter(F.col("rows") > BLOCK_ROWS)
+    parts = F.coalesce(F.ceil(F.col("rows") / BLOCK_ROWS), F.lit(1)).cast("int")
+    rows = shard_keys(ordered, threshold, *folds).join(large, "shard", "left").withColumn("parts", parts).drop("rows", "counted")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("class_id"), F.col("parts")).cast("int"))
+    # a row of part p meets the rows of every other part once, in the block of the two parts
+    low, high = F.least("part", "other"), F.greatest("part", "other")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.withColumn("block", (high.cast("long") * (high + 1) / 2).cast("long") + low).drop("parts", "other")
+    near = rows.repartition("shard", "block").sortWithinPartitions("shard", "block").mapInArrow(_candidates(threshold), "a long, b long").distinct()
     words = classes.select("class_id", "words")
     both = near.join(words.toDF("a", "words_a"), "a").join(words.toDF("b", "words_b"), "b")
     shared = F.size(F.array_intersect("words_a", "words_b"))

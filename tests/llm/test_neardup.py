@@ -47,10 +47,11 @@ def test_pairs_match_brute_force(spark):
 
 def test_blocks_match_too(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK_ROWS", 16)
-    monkeypatch.setattr(neardup, "LEAF_ROWS", 8)
+    monkeypatch.setattr(neardup, "COMMON_TEXTS", 4)
     rows = texts(250, seed=8, vocabulary=40)
-    got = {tuple(r) for r in neardup.near_duplicate_pairs(frame(spark, rows), "id", "body", 0.6).collect()}
-    assert got == brute(rows, 0.6)
+    for threshold in (0.3, 0.6):
+        got = {tuple(r) for r in neardup.near_duplicate_pairs(frame(spark, rows), "id", "body", threshold).collect()}
+        assert got == brute(rows, threshold)
 
 
 def test_edges(spark):
@@ -78,19 +79,46 @@ def test_fingerprints_never_lengthen_the_distance():
     pool = rng.integers(-(2**62), 2**62, 60)
     chosen = [np.sort(rng.choice(pool, rng.integers(1, 40), replace=False)) for _ in range(40)]
     prints = neardup.fingerprints(np.concatenate(chosen), np.concatenate([[0], np.cumsum([len(c) for c in chosen])]))
-    folded = neardup.hamming(prints, prints)
-    for i, a in enumerate(chosen):
-        for j, b in enumerate(chosen):
-            assert folded[i, j] <= len(set(a) ^ set(b))
+    i, j = (x.ravel() for x in np.indices((40, 40)))
+    folded = neardup.distances(prints, i, j)
+    assert all(d <= len(set(chosen[a]) ^ set(chosen[b])) for a, b, d in zip(i, j, folded, strict=True))
 
 
-def test_tree_prunes_and_loses_nothing():
-    rng = np.random.default_rng(5)
-    middles = rng.integers(0, 2**63, (40, 4), dtype=np.uint64)
-    prints = np.repeat(middles, 50, axis=0)
+def clustered(seed, trees=3):
+    """(prints, sizes, node) of rows near forty middles, in several trees."""
+    rng = np.random.default_rng(seed)
+    prints = np.repeat(rng.integers(0, 2**63, (40, 4), dtype=np.uint64), 50, axis=0)
     prints[:, 0] ^= np.uint64(1) << rng.integers(0, 64, len(prints)).astype(np.uint64)
-    sizes = np.full(len(prints), 20)
-    a, b, work = neardup.tree_pairs(prints, sizes, 0.6, leaf_rows=32)
-    full = neardup.hamming(prints, prints) <= 10
-    assert {(int(min(x, y)), int(max(x, y))) for x, y in zip(a, b, strict=True)} == {(i, j) for i, j in zip(*np.nonzero(full), strict=True) if i < j}
-    assert work < len(prints) ** 2 / 2
+    return prints, rng.integers(14, 27, len(prints)), np.sort(rng.integers(0, trees, len(prints)))
+
+
+def allowed(prints, sizes, node, i, j):
+    near = neardup.distances(prints, i, j) <= np.floor(0.25 * (sizes[i] + sizes[j]) + 1e-9)
+    return near & (node[i] == node[j]) & (np.minimum(sizes[i], sizes[j]) >= 0.6 * np.maximum(sizes[i], sizes[j]) - 1e-9)
+
+
+def test_trees_prune_and_lose_nothing():
+    prints, sizes, node = clustered(5)
+    found, work = set(), 0
+    for a, b, n in neardup.forest_pairs(prints, sizes, node, 0.6):
+        found |= {(int(min(x, y)), int(max(x, y))) for x, y in zip(a, b, strict=True)}
+        work += n
+    i, j = np.triu_indices(len(prints), 1)
+    met = allowed(prints, sizes, node, i, j)
+    assert found == set(zip(i[met].tolist(), j[met].tolist(), strict=True))
+    assert work < (node[i] == node[j]).sum()
+
+
+def test_two_sides_meet_once():
+    prints, sizes, node = clustered(9)
+    sides = np.random.default_rng(2).random(len(prints)) < 0.5
+    found = [(int(min(x, y)), int(max(x, y))) for a, b, _ in neardup.forest_pairs(prints, sizes, node, 0.6, sides=sides) for x, y in zip(a, b, strict=True)]
+    i, j = np.triu_indices(len(prints), 1)
+    met = allowed(prints, sizes, node, i, j) & (sides[i] != sides[j])
+    assert sorted(found) == sorted(zip(i[met].tolist(), j[met].tolist(), strict=True))
+
+
+def test_rows_at_one_distance_are_split():
+    prints = np.repeat(np.arange(3, dtype=np.uint64)[:, None], 4, axis=1)[np.array([0] * 100)]
+    pairs = sum(len(a) for a, _, _ in neardup.forest_pairs(prints, np.full(100, 5), np.zeros(100, dtype=int), 0.6))
+    assert pairs == 100 * 99 // 2
