@@ -11,6 +11,7 @@ The sample only places the lists: every row is posted and every row is a query.
 from __future__ import annotations
 
 import math
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,18 +26,19 @@ from corpusmill.session import cut_lineage
 class ListIndexConfig:
     """Parameters of the index. ``sample_rows`` and ``max_lists`` bound what the driver and each task hold.
 
-    How many lists a query visits is set by the index itself: the fewest with which ``recall`` of the neighbours of
-    ``probes`` sample rows, found by brute force within the sample, are met.
+    How many lists a query visits, and up to which ratio of distances, is set by the index itself: the cheapest pair
+    with which ``recall`` of the neighbours of ``probes`` sample rows, found by brute force within the sample, are met.
     """
 
     list_rows: int = 1_280
-    sample_rows: int = 24_000
-    max_lists: int = 4_096
+    least_lists: int = 8
+    sample_rows: int = 12_000
+    max_lists: int = 3_000
     post_lists: int = 2
     post_ratio: float = 1.05
-    visit_lists: int = 24
-    visit_ratio: float = 1.10
-    recall: float = 0.97
+    visit_lists: int = 64
+    visit_ratios: tuple[float, ...] = (1.05, 1.1, 1.15, 1.2, 1.3, 1.45, 1.7, 2.5, 10.0)
+    recall: float = 0.99
     probes: int = 500
     graph_degree: int = 16
     beam: int = 10
@@ -101,45 +103,68 @@ def unit_rows_wide(block: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- building the lists
 
 
+def _halves(rows: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Whether each row lies in the upper half: two means, cut at the widest gap between the 30 % and 70 % ranks."""
+    pick = rng.choice(len(rows), 2, replace=False)
+    a, b = rows[pick[0]], rows[pick[1]]
+    for _ in range(5):
+        side = rows @ (a - b) >= 0
+        if side.all() or not side.any():
+            break
+        a, b = rows[side].mean(axis=0), rows[~side].mean(axis=0)
+    along = rows @ (a - b)
+    order = np.argsort(along, kind="stable")
+    low, high = max(1, int(0.3 * len(order))), max(2, int(math.ceil(0.7 * len(order))))
+    gaps = np.diff(along[order])[low - 1 : high]
+    cut = low + int(gaps.argmax()) if len(gaps) else len(order) // 2
+    upper = np.zeros(len(rows), dtype=bool)
+    upper[order[cut:]] = True
+    return upper
+
+
 def balanced_centroids(sample: np.ndarray, lists: int, seed: int = 7) -> np.ndarray:
     """Centroids of ``lists`` balanced groups of unit vectors.
 
-    Groups are halved along the line between two means, at the widest gap between the 30 % and 70 % ranks, the
-    largest group first; two rounds of reassignment follow.
+    The largest group is halved until there are enough. Then rows go to their nearest centroid, and while that leaves
+    a group of more than twice the mean it is halved again and the smallest group, of less than half the mean, given
+    up: balance is judged by where rows really go.
     """
     if lists <= 1 or len(sample) <= 1:
         return unit_rows(sample.mean(axis=0, keepdims=True) + 1e-12)
     rng = np.random.default_rng(seed)
     groups = [np.arange(len(sample))]
-    while len(groups) < min(lists, len(sample)):
+    lists = min(lists, len(sample))
+    while len(groups) < lists:
         groups.sort(key=len)
         members = groups.pop()
         if len(members) < 2:
             groups.append(members)
             break
-        rows = sample[members]
-        pick = rng.choice(len(members), 2, replace=False)
-        a, b = rows[pick[0]], rows[pick[1]]
-        for _ in range(5):
-            side = rows @ (a - b) >= 0
-            if side.all() or not side.any():
-                break
-            a, b = rows[side].mean(axis=0), rows[~side].mean(axis=0)
-        along = rows @ (a - b)
-        order = np.argsort(along, kind="stable")
-        low, high = max(1, int(0.3 * len(order))), max(2, int(math.ceil(0.7 * len(order))))
-        gaps = np.diff(along[order])[low - 1 : high]
-        cut = low + int(gaps.argmax()) if len(gaps) else len(order) // 2
-        groups += [members[order[:cut]], members[order[cut:]]]
-    centroids = unit_rows(np.stack([sample[g].mean(axis=0) for g in groups]))
-    for _ in range(2):
+        upper = _halves(sample[members], rng)
+        groups += [members[~upper], members[upper]]
+
+    def centre(rows: np.ndarray) -> np.ndarray:
+        mean = sample[rows].mean(axis=0)
+        return mean / max(float(np.sqrt(mean @ mean)), 1e-9)  # a mixed list's mean is short, and would be nearest to every isolated vector
+
+    centroids = np.stack([centre(g) for g in groups]).astype(np.float32)
+    fair = len(sample) / len(groups)
+    for _ in range(6):
         nearest = _nearest(sample, centroids)
-        sums = np.zeros_like(centroids)
-        np.add.at(sums, nearest, sample)
-        counts = np.bincount(nearest, minlength=len(centroids))
-        kept = counts > 0
-        centroids[kept] = unit_rows(sums[kept])
-    return unit_rows(centroids)  # a mixed list's mean is short, and would be nearest to every isolated vector
+        count = np.bincount(nearest, minlength=len(centroids))
+        wide, thin = np.argsort(-count, kind="stable"), np.argsort(count, kind="stable")
+        moves = min(int((count[wide] > 2 * fair).sum()), int((count[thin] < fair / 2).sum()))
+        order = np.argsort(nearest, kind="stable")
+        ends = np.cumsum(count)
+        rows_of = [order[end - n : end] for end, n in zip(ends, count, strict=True)]
+        fresh = [centre(rows) if len(rows) else c for rows, c in zip(rows_of, centroids, strict=True)]
+        for big, small in zip(wide[:moves], thin[:moves], strict=True):
+            upper = _halves(sample[rows_of[big]], rng)
+            fresh[big], fresh[small] = centre(rows_of[big][~upper]), centre(rows_of[big][upper])
+        centroids = np.stack(fresh).astype(np.float32)
+        if not moves:
+            break
+    return centroids
 
 
 def _nearest(rows: np.ndarray, centroids: np.ndarray, step: int = 4096) -> np.ndarray:
@@ -181,70 +206,108 @@ class CentroidGraph:
         rest = [i for i in range(len(candidates)) if i not in set(kept)]
         return candidates[np.array((kept + rest)[:degree], dtype=int)]
 
-    def search(self, rows: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """Squared distances and list numbers of the nearest lists found, ascending, ``beam`` per row at most."""
-        count, total = len(self.centroids), len(rows)
-        score = np.full((total, count), -np.inf, dtype=np.float32)
-        score[:, self.entries] = rows @ self.centroids[self.entries].T - self.half[self.entries]
-        keep = min(beam, count)
-        if self.links.shape[1] and len(self.entries) < count:
-            opened = np.zeros((total, count), dtype=bool)
-            active = np.arange(total)
-            while len(active):
-                part = score[active]
-                top = np.argpartition(-part, keep - 1, axis=1)[:, :keep]
-                value = np.where(np.take_along_axis(opened[active], top, 1), -np.inf, np.take_along_axis(part, top, 1))
-                best = value.argmax(axis=1)
-                left = value[np.arange(len(active)), best] > -np.inf
-                active, node = active[left], top[np.arange(len(left)), best][left]
-                if not len(active):
-                    break
-                opened[active, node] = True
-                for i in range(0, len(active), 512):
-                    who, to = active[i : i + 512], self.links[node[i : i + 512]]
-                    fresh = np.einsum("ijk,ik->ij", self.centroids[to], rows[who], optimize=False) - self.half[to]
-                    score[who[:, None], to] = fresh
-        top = np.argpartition(-score, keep - 1, axis=1)[:, :keep]
-        value = np.take_along_axis(score, top, 1)
-        order = np.argsort(-value, axis=1, kind="stable")
-        squares = np.einsum("ij,ij->i", rows, rows)
-        return np.maximum(squares[:, None] - 2 * np.take_along_axis(value, order, 1), 0), np.take_along_axis(top, order, 1)
-
-
-def chosen_lists(graph: CentroidGraph, block: np.ndarray, visits: int, config: ListIndexConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The nearest lists of unit rows, and which of them hold the row's posting and are visited by it."""
-    square, lists = graph.search(block, max(config.beam, visits))
-    ratio = np.sqrt(square) / np.maximum(np.sqrt(square[:, :1]), 1e-6)
-    ratio[:, 0] = 1
+    def search(self, rows: np.ndarray, beam: int, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Squared distances and list numbers of the nearest lists found, ascending, ``width`` per row.
+
+        Rows that share their nearest entry walk the graph together: a node is opened once any of them has it among its
+        ``beam`` nearest, and a round multiplies the group's rows with the newly met centroids alone. A group ends when
+        all its beams are open. Rows for which fewer than ``width`` lists were met get infinite distances for the rest.
+        """
+        width = min(width or beam, len(self.centroids))
+        square = np.full((len(rows), width), np.inf, dtype=np.float32)
+        lists = np.zeros((len(rows), width), dtype=np.int64)
+        start = self.entries[(rows @ self.centroids[self.entries].T - self.half[self.entries]).argmax(axis=1)]
+        order = np.argsort(start, kind="stable")
+        for who in np.split(order, np.flatnonzero(np.diff(start[order])) + 1):
+            if len(who):
+                score, met = self._walk(rows[who], int(start[who[0]]), beam, width)
+                near = min(width, len(met))
+                top = np.argpartition(-score, near - 1, axis=1)[:, :near]
+                value = np.take_along_axis(score, top, 1)
+                by = np.argsort(-value, axis=1, kind="stable")
+                own = np.einsum("ij,ij->i", rows[who], rows[who])
+                square[who, :near] = np.maximum(own[:, None] - 2 * np.take_along_axis(value, by, 1), 0)
+                lists[who, :near] = met[np.take_along_axis(top, by, 1)]
+        return square, lists
+
+    def _walk(self, rows: np.ndarray, start: int, beam: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of a group of rows for the lists that were met, and their numbers."""
+        seen, opened = np.zeros(len(self.centroids), dtype=bool), np.zeros(len(self.centroids), dtype=bool)
+        met = np.array([start])
+        seen[start] = True
+        score = rows @ self.centroids[met].T - self.half[met]
+        while True:
+            reach = beam if len(met) >= width else width  # goes on until every row has met enough lists
+            top = np.argpartition(-score, reach - 1, axis=1)[:, :reach] if len(met) > reach else np.arange(len(met))
+            front = np.unique(met[top])
+            front = front[~opened[front]]
+            if not len(front):
+                return score, met
+            opened[front] = True
+            fresh = np.unique(self.links[front])
+            fresh = fresh[~seen[fresh]]
+            if len(fresh):
+                seen[fresh] = True
+                met = np.concatenate([met, fresh])
+                score = np.hstack([score, rows @ self.centroids[fresh].T - self.half[fresh]])
+
+
+@dataclass
+class ListIndex:
+    """The lists of one vector length: graph, blocks of postings and parts of visitors per list, and how to visit."""
+
+    graph: CentroidGraph
+    visits: int = 1
+    ratio: float = 1.0
+    blocks: np.ndarray | None = None
+    parts: np.ndarray | None = None
+
+    def chosen(self, block: np.ndarray, config: ListIndexConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The nearest lists of unit rows, and which of them hold the row's posting and are visited by it."""
+        return chosen_lists(self.graph, block, self.visits, self.ratio, config)
+
+
+def chosen_lists(graph: CentroidGraph, block: np.ndarray, visits: int, ratio: float, config: ListIndexConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    square, lists = graph.search(block, config.beam, max(config.post_lists, visits))
+    far = np.sqrt(square) / np.maximum(np.sqrt(square[:, :1]), 1e-6)
+    far[:, 0] = 1
     rank = np.arange(lists.shape[1])[None, :]
-    return lists, (ratio <= config.post_ratio) & (rank < config.post_lists), (ratio <= config.visit_ratio) & (rank < visits)
+    return lists, (far <= config.post_ratio) & (rank < config.post_lists), (far <= ratio) & (rank < visits)
+
 
+def calibrated_visits(graph: CentroidGraph, block: np.ndarray, config: ListIndexConfig, k: int = 5) -> tuple[int, float]:
+    """The lists to visit at most and the ratio of distances up to which, with the fewest visits that reach the recall.
 
-def calibrated_visits(graph: CentroidGraph, block: np.ndarray, config: ListIndexConfig, k: int = 5) -> int:
-    """The fewest visited lists that reach the wanted recall among the sample's own neighbours."""
+    Recall is that of the sample's own neighbours, which are farther off than those in the whole collection. Where no
+    pair reaches it, all of ``visit_lists`` are visited.
+    """
     if len(graph.centroids) == 1 or len(block) <= k:
-        return 1
+        return 1, 1.0
     probes = np.unique(np.linspace(0, len(block) - 1, min(config.probes, len(block))).astype(int))
     near = block[probes] @ block.T
     near[np.arange(len(probes)), probes] = -np.inf
     near = np.argpartition(-near, k - 1, axis=1)[:, :k]
     most = min(config.visit_lists, len(graph.centroids))
-    lists, _, visit = chosen_lists(graph, block[probes], most, config)
-    homes, post, _ = chosen_lists(graph, block[near.ravel()], 1, config)
+    homes, post, _ = chosen_lists(graph, block[near.ravel()], 1, 1.0, config)
     homes = np.where(post, homes, -1).reshape(*near.shape, -1)
-    met = np.zeros(near.shape, dtype=bool)
-    for count in range(1, most + 1):
-        met |= (homes == lists[:, count - 1][:, None, None]).any(axis=2) & visit[:, count - 1][:, None]
-        if met.mean() >= config.recall:
-            return count
-    return most
-
-
-def build_index(rows: DataFrame, config: ListIndexConfig) -> dict[int, tuple[CentroidGraph, np.ndarray, int]]:
-    """Per vector length, the centroid graph, the blocks of each list and the lists to visit. ``rows`` has (id, embedding).
-
-    Reads a hash sample of about ``sample_rows`` rows; list sizes are estimated from it, so that a list that would
-    exceed ``block_rows`` postings is spread over several blocks.
+    best, least = (most, config.visit_ratios[-1]), math.inf
+    for ratio in config.visit_ratios:
+        lists, _, visit = chosen_lists(graph, block[probes], most, ratio, config)
+        met = np.zeros(near.shape, dtype=bool)
+        for count in range(1, most + 1):
+            met |= (homes == lists[:, count - 1][:, None, None]).any(axis=2) & visit[:, count - 1][:, None]
+            cost = visit[:, :count].sum(axis=1).mean()
+            if met.mean() >= config.recall and cost < least:
+                best, least = (count, ratio), cost
+    return best
+
+
+def build_index(rows: DataFrame, config: ListIndexConfig) -> dict[int, ListIndex]:
+    """The lists per vector length. ``rows`` has (id, embedding).
+
+    Reads a hash sample of about ``sample_rows`` rows. The postings and the visitors of each list are estimated from
+    it: a list that would hold more than ``block_rows`` of either is spread over blocks of postings and parts of
+    visitors, and each block meets each part in a task of its own.
     """
     total = rows.count()
     if not total:
@@ -266,13 +329,18 @@ def build_index(rows: DataFrame, config: ListIndexConfig) -> dict[int, tuple[Cen
     for dim in np.unique(dims):
         at = np.flatnonzero(dims == dim)
         block = unit_rows(decode_rows(sample.column("code").take(pa.array(at)), int(dim)))
-        block = np.unique(block, axis=0)
+        every, block = block, block[np.unique(np.round(block, 4), axis=0, return_index=True)[1]]  # one direction, one row
         rows_here = len(at) / share
-        lists = int(max(1, min(config.max_lists, rows_here / config.list_rows, len(block) / 4)))
+        lists = int(max(1, min(config.max_lists, max(config.least_lists, rows_here / config.list_rows), len(block) / 4)))
         graph = CentroidGraph(balanced_centroids(block, lists, config.seed), config.graph_degree, config.seed)
-        sizes = np.bincount(_nearest(block, graph.centroids), minlength=len(graph.centroids)) / share
-        blocks = np.maximum(1, np.ceil(config.post_lists * sizes / config.block_rows)).astype(np.int32)
-        out[int(dim)] = (graph, blocks, calibrated_visits(graph, block, config))
+        own = ListIndex(graph, *calibrated_visits(graph, block, config))
+        counts = np.zeros((2, lists))
+        for i in range(0, len(every), 4096):
+            near, *kinds = own.chosen(every[i : i + 4096], config)
+            for kind, chosen in enumerate(kinds):
+                counts[kind] += np.bincount(near[chosen], minlength=lists)
+        own.blocks, own.parts = (np.maximum(1, np.ceil(c / share / config.block_rows)).astype(np.int64) for c in counts)
+        out[int(dim)] = own
     return out
 
 
@@ -280,7 +348,7 @@ def build_index(rows: DataFrame, config: ListIndexConfig) -> dict[int, tuple[Cen
 
 
 def _postings(index_value, config: ListIndexConfig, copies: int):
-    """A mapper from (id, embedding) to rows (dim, list, block, id, code, posted, visits)."""
+    """A mapper from (id, embedding) to rows (dim, list, block, part, id, code, posted, visits)."""
 
     def run(batches):
         index = index_value()
@@ -299,52 +367,45 @@ def _postings(index_value, config: ListIndexConfig, copies: int):
                     seen[code] = seen.get(code, 0) + 1
                     if seen[code] <= copies:
                         kept.append(i)
-                names = ids.take(pa.array(at[kept])).to_pylist()
-                codes = [codes[i] for i in kept]
+                names = ids.take(pa.array(at[kept]))
+                codes = pa.array([codes[i] for i in kept], pa.binary())
+                hashed = np.array([zlib.crc32(n.encode()) for n in names.to_pylist()], dtype=np.int64)
                 block = unit_rows(block[kept])
-                graph, blocks, visits = index.get(int(dim), (None, None, 1))
-                out: tuple[list, ...] = ([], [], [], [], [])
-                for i in range(0, len(block), 1024):
-                    part = block[i : i + 1024]
-                    if graph is None:  # a length that the sample lacks: one list
+                own = index.get(int(dim))
+                for i in range(0, len(block), 4096):
+                    part = block[i : i + 4096]
+                    if own is None:  # a length that the sample lacks: one list
                         lists, post, visit = np.zeros((len(part), 1), int), np.ones((len(part), 1), bool), np.ones((len(part), 1), bool)
                     else:
-                        lists, post, visit = chosen_lists(graph, part, visits, config)
-                    for r, k in zip(*np.nonzero(post | visit), strict=True):
-                        name, number = i + int(r), int(lists[r, k])
-                        parts = 1 if blocks is None else int(blocks[number])
-                        home = hash_block(names[name], parts)
-                        for at_block in range(parts):
-                            posted = bool(post[r, k]) and at_block == home
-                            if posted or visit[r, k]:
-                                for column, value in zip(out, (number, at_block, name, posted, bool(visit[r, k])), strict=True):
-                                    column.append(value)
-                for i in range(0, len(out[0]), 8192):
-                    number, where, name, posted, guest = (c[i : i + 8192] for c in out)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([int(dim)] * len(number), pa.int32()), pa.array(number, pa.int32()), pa.array(where, pa.int32()), pa.array([names[n] for n in name], pa.string()), pa.array([codes[n] for n in name], pa.binary()), pa.array(posted), pa.array(guest)],
-                        ["dim", "list", "block", "id", "code", "posted", "visits"],
-                    )
+                        lists, post, visit = own.chosen(part, config)
+                    r, k = np.nonzero(post | visit)
+                    number, row = lists[r, k], i + r
+                    blocks, parts = (np.ones(len(r), np.int64), np.ones(len(r), np.int64)) if own is None else (own.blocks[number], own.parts[number])
+                    # every posting lies in one block and meets all parts, every visitor in one part and meets all blocks
+                    cells = blocks * parts
+                    pair = np.repeat(np.arange(len(r)), cells)
+                    cell = np.arange(len(pair)) - np.repeat(np.cumsum(cells) - cells, cells)
+                    at_block, at_part = cell % blocks[pair], cell // blocks[pair]
+                    posted = post[r, k][pair] & (at_block == hashed[row[pair]] % blocks[pair])
+                    guest = visit[r, k][pair] & (at_part == hashed[row[pair]] // 65_521 % parts[pair])
+                    use = np.flatnonzero(posted | guest)
+                    for j in range(0, len(use), 8192):
+                        u = use[j : j + 8192]
+                        which = pa.array(row[pair[u]])
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(len(u), dim, dtype=np.int32)), pa.array(number[pair[u]].astype(np.int32)), pa.array(at_block[u].astype(np.int32)), pa.array(at_part[u].astype(np.int32)), names.take(which), codes.take(which), pa.array(posted[u]), pa.array(guest[u])],
+                            ["dim", "list", "block", "part", "id", "code", "posted", "visits"],
+                        )
 
     return run
 
 
-def hash_block(name: str, parts: int) -> int:
-    """The block of a list that holds a posting."""
-    if parts <= 1:
-        return 0
-    value = 1469598103934665603
-    for byte in name.encode():
-        value = ((value ^ byte) * 1099511628211) & 0xFFFFFFFFFFFFFFFF
-    return value % parts
-
-
 #: Above so many candidates of one visitor their exact cosines come from one product.
 DENSE = 256
 
 
 def _neighbours(k: int, least: float | None):
-    """Per (dim, list, block), the k best postings for each visitor."""
+    """Per (dim, list, block, part), the k best postings for each visitor."""
 
     def run(key, group):
         dim = key[0].as_py()
@@ -354,7 +415,7 @@ def _neighbours(k: int, least: float | None):
         codes = group.column("code").combine_chunks()
         own, guests = np.flatnonzero(posted), np.flatnonzero(visits)
         own = own[np.argsort(place[own], kind="stable")]
-        given = decode_rows(codes.take(pa.array(own)), dim)  # at most about block_rows postings
+        given = decode_rows(codes.take(pa.array(own)), dim)  # about block_rows at most, and as many visitors
         rows, wide = unit_rows(given), None
         margin = 2 * (dim + 2) * 2.0**-24  # float32 products of equal cosines differ by less
         left, right, value = [], [], []
@@ -427,8 +488,8 @@ def similar_vectors(rows: DataFrame, k: int = 5, least: float | None = None, con
     config = config or ListIndexConfig()
     own = rows.select(F.col("id").cast("string").alias("id"), "embedding").filter(F.col("id").isNotNull())
     index = own.sparkSession.sparkContext.broadcast(build_index(own, config))
-    spread = own.mapInArrow(_postings(lambda: index.value, config, k + 1), "dim int, list int, block int, id string, code binary, posted boolean, visits boolean")
-    found = spread.groupBy("dim", "list", "block").applyInArrow(_neighbours(k, least), "id string, found array<struct<far:double,other:string>>")
+    spread = own.mapInArrow(_postings(lambda: index.value, config, k + 1), "dim int, list int, block int, part int, id string, code binary, posted boolean, visits boolean")
+    found = spread.groupBy("dim", "list", "block", "part").applyInArrow(_neighbours(k, least), "id string, found array<struct<far:double,other:string>>")
     best = found.groupBy("id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, k).alias("best"))
     out = best.select("id", F.posexplode("best").alias("at", "hit"))
     out = out.select("id", F.col("hit.other").alias("other"), (-F.col("hit.far")).alias("cosine"), (F.col("at") + 1).alias("place"))

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from corpusmill.llm import similar
@@ -45,8 +46,8 @@ def test_recall_against_brute_force(spark):
 
 def test_blocks_give_the_same_rows(spark):
     rows = clustered(400, seed=4)
-    wide = similar.ListIndexConfig(list_rows=1000)
-    narrow = similar.ListIndexConfig(list_rows=1000, block_rows=90)
+    wide = similar.ListIndexConfig(list_rows=1000, least_lists=1)
+    narrow = similar.ListIndexConfig(list_rows=1000, least_lists=1, block_rows=90)
     one, two = (sorted(map(tuple, similar.similar_vectors(frame(spark, rows), 4, None, c).collect())) for c in (wide, narrow))
     assert one == two and {(i, o) for i, o, *_ in one} == {(i, o) for i, w in brute(rows, 4).items() for o in w}
 
@@ -116,3 +117,38 @@ def test_every_copy_has_its_neighbours(spark):
         for r in similar.similar_to_all(frame(spark, rows).repartition(parts), 5).orderBy("id", "place").collect():
             found.setdefault(r["id"], []).append(r["other"])
         assert found == want
+
+
+def test_lists_are_balanced_by_where_rows_go():
+    rng = np.random.default_rng(4)
+    middles = rng.normal(size=(30, 24))
+    rows = similar.unit_rows((middles[np.minimum(rng.geometric(0.15, 6000) - 1, 29)] + 0.4 * rng.normal(size=(6000, 24))).astype(np.float32))
+    centroids = similar.balanced_centroids(rows, 60)
+    count = np.bincount(similar._nearest(rows, centroids), minlength=60)
+    assert len(centroids) == 60 and count.max() <= 3 * 100 and count.min() >= 100 // 5
+
+
+def test_calibration_widens_the_ratio():
+    rng = np.random.default_rng(6)
+    rows = similar.unit_rows(rng.normal(size=(3000, 32)).astype(np.float32))  # no clusters: neighbours lie in many lists
+    config = similar.ListIndexConfig()
+    graph = similar.CentroidGraph(similar.balanced_centroids(rows, 40), 16)
+    visits, ratio = similar.calibrated_visits(graph, rows, config)
+    assert ratio > 1.1 and visits > 8
+
+
+def test_large_lists_are_split_for_postings_and_visitors():
+    rng = np.random.default_rng(7)
+    rows = np.float32(rng.normal(size=(600, 8)) * 0.01 + 1)
+    config = similar.ListIndexConfig(least_lists=1, block_rows=100)
+    graph = similar.CentroidGraph(similar.balanced_centroids(similar.unit_rows(rows), 1), 16)
+    index = {8: similar.ListIndex(graph, 1, 1.0, np.array([6]), np.array([6]))}
+    batch = pa.RecordBatch.from_arrays([pa.array([f"r{i:04d}" for i in range(600)]), pa.array([r.tolist() for r in rows], pa.list_(pa.float32()))], ["id", "embedding"])
+    cells = {}
+    for out in similar._postings(lambda: index, config, 6)([batch]):
+        for b, p, i, posted, visits in zip(*(out.column(c).to_pylist() for c in ("block", "part", "id", "posted", "visits")), strict=True):
+            cells.setdefault((b, p), []).append((i, posted, visits))
+    assert len(cells) == 36 and max(map(len, cells.values())) < 300
+    assert all(len({p for (b, p), rows in cells.items() for n, posted, _ in rows if n == i and posted}) == 6 for i in ("r0000", "r0599"))
+    met = {(a, c) for rows in cells.values() for a, posted, _ in rows if posted for c, _, visits in rows if visits}
+    assert len(met) == 600 * 600
