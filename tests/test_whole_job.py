@@ -63,7 +63,7 @@ def test_nearest_answers_every_question_in_blocks(spark, monkeypatch):
     whole = sorted(map(tuple, queries()["b16_nearest_all"](spark, DATA).collect()))
     ids = [r["vec_id"] for r in spark.read.parquet(f"{DATA}/embeddings.parquet").select("vec_id").collect()]
     assert {r[0] for r in whole} == {i for i in ids if i % 50 == 0} and len(whole) == 10 * len({r[0] for r in whole})
-    monkeypatch.setattr(vectors, "QUESTION_BLOCK", 3)
+    monkeypatch.setattr(vectors, "QUESTIONS_A_PASS", 3)
     assert sorted(map(tuple, queries()["b16_nearest_all"](spark, DATA).collect())) == whole
 
 
