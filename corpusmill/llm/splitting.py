@@ -1,8 +1,10 @@
 """Splitting oversized passages at natural boundaries.
 
-The starts of verses and sentences are sorted offset arrays. A piece ends at the last verse start within both limits,
-found by binary search; where no verse start fits, at the last sentence start; else at the last white space; else hard
-at the limit. After a cut between verses the next piece steps back by the overlap.
+A text is a sequence of tokens, words with the white space after them; prefix sums of their lengths are the offsets at
+which it can be cut between words. Some of these are starts of sentences, and some starts of verses. Each kind is a
+sorted array of boundaries: a piece ends at the last verse start within both limits, found by binary search; where no
+verse start fits, at the last sentence start; else between words; else hard at the limit. From a cut where a verse
+starts the next piece steps back by the overlap.
 """
 
 from __future__ import annotations
@@ -10,21 +12,33 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SENTENCE_END = re.compile(r"[.!?…]+[\"'”’)\]]*\s+")
-SPACE = re.compile(r"\s+")
+TOKEN = re.compile(r"\S+\s*|\s+")
 PIECE = "array<struct<piece int, char_from int, char_to int, verse_from int, verse_to int, cut string>>"
 
 
-def verse_starts(text: str, count: int, openings: list[tuple[int, str]]) -> list[int]:
-    """Offsets where each of ``count`` verses starts; the first is 0.
+def word_offsets(text: str) -> list[int]:
+    """Where each token but the first starts: prefix sums of the tokens' lengths."""
+    lengths = [len(t) for t in TOKEN.findall(text)]
+    return np.cumsum(lengths[:-1]).tolist() if len(lengths) > 1 else []
+
+
+def sentence_offsets(text: str) -> list[int]:
+    return [m.end() for m in SENTENCE_END.finditer(text) if m.end() < len(text)]
+
+
+def verse_starts(text: str, count: int, openings: list[tuple[int, str]]) -> tuple[list[int], list[bool]]:
+    """Offsets where each of ``count`` verses starts, and whether each is a boundary that the text shows.
 
     ``openings`` are possible first words of verses, (verse number from 0, words). Their occurrences at the start of a
-    word form the longest chain rising in both verse and offset. Verses without an occurrence are placed between their
-    neighbours, on sentence starts where there are enough, else on word starts, else evenly.
+    word form the longest chain rising in both verse and offset. A verse without an occurrence is only placed between
+    its neighbours, on sentence starts where there are enough, else on word starts, else evenly: such a place says
+    which verses a piece is likely to hold, but isn't a boundary between verses.
     """
     hits: list[tuple[int, int]] = []
     for number, words in openings:
@@ -47,9 +61,10 @@ def verse_starts(text: str, count: int, openings: list[tuple[int, str]]) -> list
         known[hits[i][0]] = hits[i][1]
         i = back[i]
     known[0] = 0
+    shown = [k in known for k in range(count)]
     known[count] = len(text)
     marks = sorted(known)
-    sentences, words = [m.end() for m in SENTENCE_END.finditer(text)], [m.end() for m in SPACE.finditer(text)]
+    sentences, words = sentence_offsets(text), word_offsets(text)
     for a, b in zip(marks, marks[1:], strict=False):
         missing, low, high = b - a - 1, known[a], known[b]
         if not missing:
@@ -61,21 +76,28 @@ def verse_starts(text: str, count: int, openings: list[tuple[int, str]]) -> list
         for k in range(1, missing + 1):
             place = (k * (len(inside) + 1)) // (missing + 1) - 1
             known[a + k] = inside[max(0, place)] if len(inside) else min(low, len(text))
-    return [known[k] for k in range(count)]
+    return [known[k] for k in range(count)], shown
 
 
-def cut_pieces(text: str, starts: list[int], max_chars: int, max_verses: int, overlap: int) -> list[tuple[int, int, int, int, str]]:
+def _last_within(grid: list[int], low: int, high: int) -> int | None:
+    """The last offset of a sorted array above ``low`` and up to ``high``."""
+    k = bisect_right(grid, high) - 1
+    return grid[k] if k >= 0 and grid[k] > low else None
+
+
+def cut_pieces(text: str, starts: list[int], max_chars: int, max_verses: int, overlap: int, shown: list[bool] | None = None) -> list[tuple[int, int, int, int, str]]:
     """Pieces (char_from, char_to, verse_from, verse_to, cut) within both limits; ends are exclusive.
 
-    ``cut`` says what the piece ends at: verse, sentence, space, hard, or end. Pieces cover the whole text and all
-    verses. After a cut between verses the next piece repeats ``overlap`` verses, fewer where they and the next verse
-    don't fit together.
+    ``cut`` says what the piece ends at: verse, sentence, space, hard, or end; only starts that are ``shown`` (all by
+    default) count as verse boundaries. Pieces cover the whole text and all verses. After a cut where a verse starts
+    the next piece repeats ``overlap`` verses, fewer where they and the next verse don't fit together.
     """
     max_chars, max_verses = max(1, max_chars), max(1, max_verses)
     size, count = len(text), len(starts)
     overlap = max(0, min(overlap, max_verses - 1))
-    sentences, spaces = [m.end() for m in SENTENCE_END.finditer(text)], [m.end() for m in SPACE.finditer(text)]
     edges = [*starts, size]
+    sure = [e for e, s in zip(starts, shown if shown is not None else [True] * count, strict=True) if s]
+    grids = (("verse", sure), ("sentence", sentence_offsets(text)), ("space", word_offsets(text)))
     out: list[tuple[int, int, int, int, str]] = []
     at, verse = 0, 0
     while True:
@@ -83,22 +105,21 @@ def cut_pieces(text: str, starts: list[int], max_chars: int, max_verses: int, ov
         limit = min(at + max_chars, edges[reach])
         if limit >= size and reach == count:
             return [*out, (at, size, verse, count, "end")]
-        cut = min(bisect_right(edges, limit, lo=verse, hi=reach + 1) - 1, reach)
-        if cut > verse:
-            out.append((at, edges[cut], verse, cut, "verse"))
-            step = max(cut - overlap, verse + 1)
-            while step < cut and edges[min(cut + 1, count)] - edges[step] > max_chars:
+        end, kind = limit, "hard"
+        for name, grid in grids:
+            found = _last_within(grid, at, limit)
+            if found is not None:
+                end, kind = found, name
+                break
+        ahead = min(reach, bisect_right(edges, end, lo=verse) - 1)  # verses that start up to the end
+        if ahead > verse and edges[ahead] == end:
+            out.append((at, end, verse, ahead, kind))
+            step = max(ahead - overlap, verse + 1)
+            while step < ahead and edges[min(ahead + 1, count)] - edges[step] > max_chars:
                 step += 1
             at, verse = edges[step], step
             continue
-        for grid, kind in ((sentences, "sentence"), (spaces, "space")):
-            k = bisect_right(grid, limit) - 1
-            if k >= 0 and grid[k] > at:
-                end = grid[k]
-                break
-        else:
-            end, kind = limit, "hard"
-        out.append((at, end, verse, verse + 1 if count else 0, kind))
+        out.append((at, end, verse, min(max(ahead, verse) + 1, count), kind))
         at = end
         while verse + 1 < count and edges[verse + 1] <= at:
             verse += 1
@@ -136,8 +157,8 @@ def split_oversized(passages: DataFrame, limits: DataFrame, verses: DataFrame |
     def pieces(text: pd.Series, ids: pd.Series, openings: pd.Series, chars: pd.Series, most: pd.Series, overlap: pd.Series) -> pd.Series:
         out = []
         for t, i, o, c, m, v in zip(text, ids, openings, chars, most, overlap, strict=True):
-            starts = verse_starts(t, len(i), sorted((x["number"], x["opening"]) for x in o) if o is not None else [])
-            cuts = cut_pieces(t, starts, int(c) if c == c and c is not None else 1 << 60, int(m) if m == m and m is not None else 1 << 30, int(v) if v == v and v is not None else 0)
+            starts, shown = verse_starts(t, len(i), sorted((x["number"], x["opening"]) for x in o) if o is not None else [])
+            cuts = cut_pieces(t, starts, int(c) if c == c and c is not None else 1 << 60, int(m) if m == m and m is not None else 1 << 30, int(v) if v == v and v is not None else 0, shown)
             out.append([{"piece": k, "char_from": x[0], "char_to": x[1], "verse_from": x[2], "verse_to": x[3], "cut": x[4]} for k, x in enumerate(cuts)])
         return pd.Series(out)
 

@@ -104,6 +104,36 @@ def test_fallbacks_in_order():
     assert [c[4] for c in splitting.cut_pieces("x" * 25, [0], 10, 9, 0)] == ["hard", "hard", "end"]
 
 
+def test_unknown_starts_are_no_boundaries():
+    text = "aaaaabbbbbcccccddddd"
+    starts, shown = splitting.verse_starts(text, 4, [])
+    assert shown == [True, False, False, False]
+    cuts = splitting.cut_pieces(text, starts, 10, 9, 0, shown)
+    assert all(kind in ("hard", "end") for *_, kind in cuts) and "".join(text[a:b] for a, b, *_ in cuts) == text
+    text = "Aa bb. Cc dd. Ee ff. Gg hh."
+    starts, shown = splitting.verse_starts(text, 4, [(2, "Ee ff.")])
+    assert shown == [True, False, True, False]
+    kinds = [kind for *_, kind in splitting.cut_pieces(text, starts, 7, 9, 0, shown)]
+    assert kinds == ["sentence", "verse", "sentence", "end"]
+    assert [c[2:4] for c in splitting.cut_pieces(text, starts, 99, 2, 1, shown)] == [(0, 2), (1, 2), (2, 4)]
+
+
+def test_word_offsets_are_prefix_sums():
+    assert splitting.word_offsets(" a  bc d") == [1, 4, 7] and splitting.word_offsets("") == [] == splitting.word_offsets("x")
+
+
+def test_more_verses_than_text():
+    cuts = splitting.cut_pieces("", [0] * 8, 50, 3, 1)
+    assert max(b - a for _, _, a, b, _ in cuts) <= 3 and cuts[-1][3] == 8 and cuts[0][2] == 0
+    assert all(x[3] >= y[2] for x, y in zip(cuts, cuts[1:], strict=False))
+
+
+def test_every_assigned_character_has_its_prototype(spark, table):
+    checker = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+    for c in ("\U0001d400", "\U00016f08", "\U000118a9", "\U0001f74c"):
+        assert table.get(c, c) == checker.getSkeleton(c)
+
+
 def test_empty_passages(spark):
     assert splitting.split_oversized(passages(spark, []), limits(spark)).count() == 0
 
