@@ -1,9 +1,9 @@
 """Top N items within every group, split into hot and cold groups.
 
-Exact group counts separate the few heavy groups from the rest. Light groups go through one ordinary window. Rows of
-heavy groups are first cut by range: a score that at least N items of the group reach is taken from the group's
-quantiles and checked by an exact count, and only rows at or above it move on (a group that fails the check moves
-whole). What is left of a heavy group is ranked in salted parts, and the parts' winners are ranked again.
+Exact group counts separate the few heavy groups from the rest. Light groups go through one ordinary window. The score
+range of every heavy group is cut at quantiles, and each range, salted, is sorted as a part of its own, so no task sorts
+a heavy group; the at most N winners of each part are ranked again. Parts beyond the first N rows of a task are
+dropped before the exchange, by the limit of the ranking.
 """
 
 from __future__ import annotations
@@ -11,33 +11,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: At most so many groups are heavy, which bounds the broadcast of their keys.
-MAX_HEAVY_GROUPS = 10_000
+from corpusmill.session import cut_lineage
 
+#: At most so many groups are heavy, which bounds the broadcast of their keys and ranges.
+MAX_HEAVY_GROUPS = 50_000
+#: Shares of a heavy group's rows at which its score range is cut.
+RANGE_CUTS = (0.5, 0.9, 0.99, 0.999)
 
-def top_n_per_group(df: DataFrame, groups: list[str], score: str, item: str, n: int, heavy_rows: int = 20_000, salts: int = 32) -> DataFrame:
+
+def top_n_per_group(df: DataFrame, groups: list[str], score: str, item: str, n: int, heavy_rows: int = 1_000, salts: int = 16) -> DataFrame:
     """The ``n`` items of each group with the highest score: (groups..., item, score, place), place from 1.
 
     Rows with a null score, item or group column take no part; NaN scores count as null. Equal scores are ordered by
     item, smallest first. A repeated (group, item, score) counts once; an item that repeats with another score is
     another entry. Fewer than ``n`` items give all; an empty table gives an empty result. Columns other than those
-    named are ignored, whatever their names.
+    named are ignored, whatever their names. Groups of more than ``heavy_rows`` rows are heavy, of more where that would
+    make over ``MAX_HEAVY_GROUPS``; both ways give the same rows.
     """
     keys = [f"g{i}" for i in range(len(groups))]
     rows = df.select(*[F.col(g).alias(k) for g, k in zip(groups, keys, strict=True)], F.col(item).alias("item"), F.col(score).alias("score"))
     rows = rows.dropna(how="any")
     counts = rows.groupBy(*keys).agg(F.count("*").alias("rows"))
-    total = counts.agg(F.sum("rows").alias("rows"), F.max("rows").alias("top")).first()
-    if total["rows"] is None:
-        best = _ranked(rows, keys, n)
-    else:
-        limit = max(heavy_rows, -(-total["rows"] // MAX_HEAVY_GROUPS))
-        if total["top"] <= limit:
-            best = _ranked(rows, keys, n)
-        else:
-            heavy = F.broadcast(counts.filter(F.col("rows") > limit))
-            light = rows.join(heavy.select(*keys), keys, "left_anti")
-            best = _ranked(light, keys, n).unionByName(_heavy(rows.join(heavy, keys), keys, n, salts))
+    total = counts.agg(F.sum("rows")).first()[0] or 0
+    heavy = counts.filter(F.col("rows") > max(heavy_rows, -(-total // MAX_HEAVY_GROUPS))).select(*keys)
+    heavy = cut_lineage(heavy)
+    found = rows.join(F.broadcast(heavy), keys)
+    edges = found.groupBy(*keys).agg(F.percentile_approx("score", list(RANGE_CUTS), 1_000).alias("edges"))
+    best = _ranked(rows.join(F.broadcast(heavy), keys, "left_anti"), keys, n).unionByName(_heavy(found, edges, keys, n, salts))
     return best.select(*[F.col(k).alias(g) for g, k in zip(groups, keys, strict=True)], F.col("item").alias(item), F.col("score").alias(score), "place")
 
 
@@ -45,23 +45,19 @@ def _order() -> list[Column]:
     return [F.col("score").desc(), F.col("item").asc()]
 
 
+def _near(rows: DataFrame, parts: list[str], keys: list[str], n: int) -> DataFrame:
+    """The distinct first ``n`` entries of each part; the limit is applied before and after the exchange."""
+    place = F.dense_rank().over(Window.partitionBy(*parts).orderBy(*_order()))
+    return rows.withColumn("near", place).filter(F.col("near") <= n).dropDuplicates([*parts, "item", "score"]).select(*keys, "item", "score", "near")
+
+
 def _ranked(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
-    """Ranks by a window whose limit is applied before and after the exchange; copies share a rank and are merged."""
-    by = Window.partitionBy(*keys).orderBy(*_order())
-    first = rows.withColumn("near", F.dense_rank().over(by)).filter(F.col("near") <= n).select(*keys, "item", "score").distinct()
-    return first.withColumn("place", F.row_number().over(by)).filter(F.col("place") <= n)
-
-
-def _heavy(rows: DataFrame, keys: list[str], n: int, salts: int) -> DataFrame:
-    share = F.greatest(F.lit(0.0), 1.0 - (4.0 * n) / F.col("rows"))
-    edges = rows.groupBy(*keys).agg(F.percentile_approx("score", [0.5, 0.9, 0.99, 0.999, 0.9999], 10_000).alias("edges"), F.first("rows").alias("rows"))
-    at = F.when(share >= 0.9999, 4).when(share >= 0.999, 3).when(share >= 0.99, 2).when(share >= 0.9, 1).otherwise(0)
-    edges = edges.select(*keys, F.get("edges", at).alias("edge"))
-    reached = rows.join(F.broadcast(edges), keys).filter(F.col("score") >= F.col("edge"))
-    enough = reached.groupBy(*keys).agg(F.countDistinct("item", "score").alias("items")).filter(F.col("items") >= n).select(*keys)
-    cuts = edges.join(enough, keys, "left_semi").select(*keys, F.col("edge").alias("least"))
-    moved = rows.join(F.broadcast(cuts), keys, "left").filter(F.col("least").isNull() | (F.col("score") >= F.col("least")))
-    moved = moved.select(*keys, "item", "score", F.pmod(F.xxhash64("item"), F.lit(salts)).alias("salt"))
-    by = Window.partitionBy(*keys, "salt").orderBy(*_order())
-    parts = moved.withColumn("near", F.dense_rank().over(by)).filter(F.col("near") <= n).select(*keys, "item", "score").distinct()
-    return _ranked(parts, keys, n)
+    """Copies share a dense rank, so it is the place among distinct entries."""
+    return _near(rows, keys, keys, n).withColumnRenamed("near", "place")
+
+
+def _heavy(rows: DataFrame, edges: DataFrame, keys: list[str], n: int, salts: int) -> DataFrame:
+    ranged = rows.join(F.broadcast(edges), keys)  # one row per heavy group
+    ranged = ranged.withColumn("range", F.size(F.filter("edges", lambda e: F.col("score") >= e))).drop("edges")
+    ranged = ranged.withColumn("salt", F.pmod(F.xxhash64("item"), F.lit(salts)))
+    return _ranked(_near(ranged, [*keys, "range", "salt"], keys, n).drop("near"), keys, n)
