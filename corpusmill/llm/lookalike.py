@@ -2,8 +2,7 @@
 
 A text is decomposed, characters that don't show are dropped, every character is replaced by its prototype from a
 look-alike table, and the result is decomposed again. Texts with equal skeletons may look the same. The table is read
-from the Unicode confusables data of the ICU library that Spark ships, one look-up for every code point below
-U+11000. Since those data also join characters that differ visibly (capital and small theta, points on either side of
+from the Unicode confusables data of the ICU library that Spark ships, one look-up for every assigned code point. Since those data also join characters that differ visibly (capital and small theta, points on either side of
 a letter), texts with equal skeletons are then compared character by character: two different letters or two different
 marks of one script never look the same.
 """
@@ -11,45 +10,52 @@ marks of one script never look the same.
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LAST_CODE_POINT = 0x11000
 #: Compatibility decompositions that change the width or the shape variant of a character, not what is seen.
 SAME_LOOK = ("<wide>", "<narrow>", "<font>", "<noBreak>", "<isolated>", "<initial>", "<medial>", "<final>")
+_TABLES: dict[str, dict[str, str]] = {}
 
 
 def lookalike_table(spark: SparkSession) -> dict[str, str]:
-    """Character to prototype, for every character that isn't its own."""
-    checker = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
-    chars = [chr(i) for i in range(33, LAST_CODE_POINT) if not 0xD800 <= i < 0xE000]
-    images = checker.getSkeleton("\n".join(chars)).split("\n")
-    if len(images) != len(chars):
-        raise RuntimeError("the look-alike data don't map character by character")
-    return {c: s for c, s in zip(chars, images, strict=True) if c != s and unicodedata.category(c) not in ("Zs", "Cf", "Cc")}
+    """Character to prototype, for every assigned character that isn't its own; read once per application."""
+    key = spark.sparkContext.applicationId
+    if key not in _TABLES:
+        checker = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+        chars = [c for c in map(chr, range(33, 0x110000)) if unicodedata.category(c) not in ("Cn", "Cs", "Co", "Zs", "Zl", "Zp", "Cf", "Cc")]
+        images = checker.getSkeleton("\n".join(chars)).split("\n")
+        if len(images) != len(chars):
+            raise RuntimeError("the look-alike data don't map character by character")
+        _TABLES.clear()
+        _TABLES[key] = {c: s for c, s in zip(chars, images, strict=True) if c != s}
+    return _TABLES[key]
+
+
+@lru_cache(maxsize=1 << 16)
+def _shown_character(c: str) -> str:
+    """How one decomposed character is displayed: one kind of space, nothing invisible, no width."""
+    kind = unicodedata.category(c)
+    if kind in ("Zs", "Zl", "Zp") or c in "\t\n\r\x0b\x0c\x85":
+        return " "
+    if kind in ("Cf", "Cc") or c == "\u034f" or "\ufe00" <= c <= "\ufe0f":
+        return ""
+    how = unicodedata.decomposition(c)
+    letterlike = how.startswith("<compat>") and len(how.split()) == 2 and kind == "Lo"
+    return unicodedata.normalize("NFKD", c) if how.startswith(SAME_LOOK) or letterlike else c
 
 
 def _shown(text: str) -> str:
-    """The text as it is displayed: decomposed, one kind of space, no outer spaces, nothing invisible, no width."""
-    out = []
-    for c in unicodedata.normalize("NFD", text):
-        kind = unicodedata.category(c)
-        if kind in ("Zs", "Zl", "Zp") or c in "\t\n\r\x0b\x0c\x85":
-            out.append(" ")
-        elif kind in ("Cf", "Cc") or c == "\u034f" or "\ufe00" <= c <= "\ufe0f":
-            continue
-        else:
-            how = unicodedata.decomposition(c)
-            letterlike = how.startswith("<compat>") and len(how.split()) == 2 and kind == "Lo"
-            out.append(unicodedata.normalize("NFKD", c) if how.startswith(SAME_LOOK) or letterlike else c)
-    return unicodedata.normalize("NFD", "".join(out)).strip(" ")
+    """The text as it is displayed: decomposed, characters as shown, no outer spaces."""
+    return unicodedata.normalize("NFD", "".join(map(_shown_character, unicodedata.normalize("NFD", text)))).strip(" ")
 
 
 def skeleton(text: str, table: dict[str, str]) -> str:
     """Decompose, replace by prototypes, decompose again."""
-    return unicodedata.normalize("NFD", "".join(table.get(c, c) for c in _shown(text)))
+    return unicodedata.normalize("NFD", "".join([table.get(c, c) for c in _shown(text)]))
 
 
 def _script(c: str) -> str:
