@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 from corpusmill.llm.tokens import rank_within
 from corpusmill.session import cut_lineage
 
-STEPS = 40
+#: Newton steps; a bracket of 2 BRACKET is halved to nothing within fewer, so more are never needed.
+STEPS = 120
+BRACKET = 1e5
 TOLERANCE = 1e-6
 
 
@@ -55,7 +57,7 @@ def mix_sources(docs: DataFrame, item: str, source: str, tokens: str, weights: D
     wanted = min(total, most) if total else most
     targets = {s: wanted * r["share"] / shares for s, r in have.items()}
     means = {s: r["tokens"] / r["n"] for s, r in have.items()}
-    bracket = {s: [-200.0, 200.0] for s in have}
+    bracket = {s: [-BRACKET, BRACKET] for s in have}
     multiplier = {s: 0.0 for s in have}
     full = {s for s, r in have.items() if targets[s] >= r["cap"] * r["tokens"] * (1 - 1e-9)}
     multiplier |= {s: 1e9 for s in full}
@@ -82,6 +84,10 @@ def mix_sources(docs: DataFrame, item: str, source: str, tokens: str, weights: D
             low, high = bracket[s]
             step = multiplier[s] - gap / r["d"] if r["d"] > 0 else math.nan
             multiplier[s] = step if low < step < high else (low + high) / 2
+            if high - low < 1e-12:  # the rates jump over the target within one rounding of the multiplier
+                open_.discard(s)
+    if open_:
+        raise RuntimeError(f"the mix did not settle for {', '.join(sorted(open_))}")
     solved = rates(multiplier)
     along = Window.partitionBy("source").orderBy("tokens")
     sums = F.sum(F.col("n") * F.col("rate")).over(along)
