@@ -160,9 +160,14 @@ def chunks(text: Column, size: int = CHUNK_CHARS) -> Column:
     return F.when(text.isNotNull(), F.transform(starts, lambda i: F.substring(text, i + 1, F.lit(size))))
 
 
+def trim_any(text: Column) -> Column:
+    """Without white space of any kind, Unicode's included, and byte-order marks at either end."""
+    return F.regexp_replace(text, r"(?U)^[\s\uFEFF]+|[\s\uFEFF]+$", "")
+
+
 def packed_fields(text: Column, separator: str = "｜") -> Column:
     """The parts of a field packed in tortoise-shell brackets, each trimmed."""
-    return F.transform(F.split(F.regexp_replace(text, "[〔〕]", ""), separator), F.trim)
+    return F.transform(F.split(F.regexp_replace(text, "[〔〕]", ""), separator), trim_any)
 
 
 def prefix_int(text: Column) -> Column:

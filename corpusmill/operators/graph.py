@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.operators.ranking import place_in_parts
 from corpusmill.session import cut_lineage
 
 VOTES_ABOVE = 10
@@ -17,48 +18,61 @@ def votes_above(votes: Column, least: int = VOTES_ABOVE) -> Column:
     return F.coalesce(votes, F.lit(0)) > least
 
 
-def strongest_links(edges: DataFrame, source: str, target: str, votes: str) -> DataFrame:
-    """(source, target, votes, place): each pair once with its most votes, ranked per source.
+def strongest_links(edges: DataFrame, source: str, target: str, votes: str, limit: int | None = None) -> DataFrame:
+    """(source, target, votes, place): each pair once with its most votes, ranked per source; the first ``limit``.
 
-    Null votes stay null and rank as 0; ties are ordered by target. Pairs are merged before they are ranked, so a source
-    with a large share of all edges is reduced in parallel first.
+    Null votes stay null and rank as 0; ties are ordered by target. Pairs are merged before they are ranked. With a
+    limit it is applied before the exchange; without one a source's pairs are ranked in parts of equal votes and equal
+    beginnings of the target, so a source with a third of all edges is never sorted by one task.
     """
     best = edges.groupBy(source, target).agg(F.max(votes).alias(votes))
-    by = Window.partitionBy(source).orderBy(F.coalesce(votes, F.lit(0)).desc(), F.col(target))
-    return best.withColumn("place", F.row_number().over(by))
+    counted = F.coalesce(votes, F.lit(0))
+    if limit is not None:
+        by = Window.partitionBy(source).orderBy(counted.desc(), F.col(target))
+        return best.withColumn("place", F.row_number().over(by)).filter(F.col("place") <= limit)
+    return place_in_parts(best, [source], [(counted, True), (F.substring(target, 1, 6), False)], [F.col(target)])
 
 
 def expand_links(primary: DataFrame, edges: DataFrame, within: str, item: str, source: str, target: str, votes: str, limit: int = 3) -> DataFrame:
     """(within, target, votes, place): for each group of primary items the best targets that aren't among them."""
-    found = primary.select(within, F.col(item).alias(source)).distinct().join(edges.filter(votes_above(F.col(votes))), source)
+    strong = edges.filter(votes_above(F.col(votes))).groupBy(source, target).agg(F.max(votes).alias(votes))
+    found = primary.select(within, F.col(item).alias(source)).distinct().join(strong, source)
     best = found.groupBy(within, target).agg(F.max(votes).alias(votes))
     best = best.join(primary.select(within, F.col(item).alias(target)), [within, target], "left_anti")
     by = Window.partitionBy(within).orderBy(F.col(votes).desc(), F.col(target))
     return best.withColumn("place", F.row_number().over(by)).filter(F.col("place") <= limit)
 
 
+def _digest(links: DataFrame) -> tuple:
+    """The number of links and two sums over hashes of them, equal for equal sets of links."""
+    one, two = (F.sum(F.xxhash64(F.lit(salt), "a", "b").cast("decimal(38,0)")) for salt in (1, 2))
+    return tuple(links.agg(F.count("*"), one, two).first())
+
+
 def components(edges: DataFrame, source: str, target: str) -> DataFrame:
     """(node, root): the smallest node of each node's connected component.
 
     Large-star and small-star rounds (every node links its greater neighbours, then its smaller ones, to the least it
     knows) over distinct edges, each round written to the checkpoint folder; the rounds grow with the logarithm of the
     longest chain. Self loops make a node a component of its own; edges with a null end are ignored. A node with very
-    many edges is never collected: its minimum is an aggregation with a map-side part.
+    many edges is never collected: its minimum is an aggregation with a map-side part, and the join that hands it on is
+    split by the engine where it is skewed. The rounds end when the links' digest stays.
     """
     ends = edges.select(F.col(source).alias("a"), F.col(target).alias("b")).dropna()
     nodes = ends.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     links = cut_lineage(ends.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    last = _digest(links)
     for _ in range(MOST_ROUNDS):
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        after = cut_lineage(small)
-        changed = after.join(links, ["a", "b"], "left_anti").limit(1).count() + links.join(after, ["a", "b"], "left_anti").limit(1).count()
-        links = after
-        if not changed:
+        links = cut_lineage(small)
+        now = _digest(links)
+        if now == last:
             break
+        last = now
     else:
         raise RuntimeError("the components did not settle")
     return nodes.join(links.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("root"))

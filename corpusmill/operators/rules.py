@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import clamp01, has_any, has_keyword_column, topic_tokens
+from corpusmill.functions.text import clamp01, dot, has_any, has_keyword_column, tokens, topic_tokens
 from corpusmill.operators.sets import prepend
 from corpusmill.session import spread
 
 TOPIC_LEAST, TOPICS_PER_ITEM = 0.4, 3
 #: A rule table is broadcast up to this many rows; a longer one is refused, since every row meets every rule.
 MOST_RULES = 20_000
+#: Phrases are looked for in every text, so they are fewer.
+MOST_PHRASES = 1_000
 # Steps of topic detection: a strong share of words, a weak one, a similarity.
 STRONG_SHARE, WEAK_SHARE, LEAST_SIMILARITY = 0.4, 0.2, 0.35
 
@@ -26,18 +28,29 @@ def tag_rows(rows: DataFrame, rules: DataFrame, item: str, text: str, most: int
     """(item, topic_id, confidence, place): the best topics of each row.
 
     ``rules`` has (topic_id, keyword, confidence). A topic's confidence is that of its best matching keyword, limited to
-    0..1; topics below ``least`` are dropped; ties are ordered by topic. The rules are a small table, checked and
-    broadcast, whose match with a text isn't an equality.
+    0..1; topics below ``least`` are dropped; ties are ordered by topic. Keywords of one word are met by an equi-join
+    with the distinct words of each text; only phrases, at most ``MOST_PHRASES``, are looked for in every text.
     """
-    met = spread(rows).select(F.col(item).alias("item"), F.col(text).alias("text_")).join(_bounded(rules), has_keyword_column(F.col("text_"), F.col("keyword")))
-    best = met.groupBy("item", "topic_id").agg(F.max(clamp01(F.col("confidence"))).alias("confidence")).filter(F.col("confidence") >= least)
+    known = _bounded(rules.select("topic_id", F.lower("keyword").alias("keyword"), clamp01(F.col("confidence")).alias("confidence")).filter(F.col("confidence") >= least))
+    single = F.rlike("keyword", F.lit(r"^\w+$"))
+    texts = spread(rows).select(F.col(item).alias("item"), F.col(text).alias("text_"))
+    words = texts.select("item", F.explode(F.array_distinct(tokens(F.col("text_")))).alias("keyword"))
+    met = words.join(known.filter(single), "keyword").select("item", "topic_id", "confidence")
+    phrases = known.filter(~single)
+    many = phrases.limit(MOST_PHRASES + 1).count()
+    if many > MOST_PHRASES:
+        raise ValueError(f"more than {MOST_PHRASES} phrases")
+    if many:
+        found = texts.join(F.broadcast(phrases), has_keyword_column(F.col("text_"), F.col("keyword")))  # counted above
+        met = met.unionByName(found.select("item", "topic_id", "confidence"))
+    best = met.groupBy("item", "topic_id").agg(F.max("confidence").alias("confidence"))
     by = Window.partitionBy("item").orderBy(F.col("confidence").desc(), F.col("topic_id"))
     return best.withColumn("place", F.row_number().over(by)).filter(F.col("place") <= most).withColumnRenamed("item", item)
 
 
 def items_of_topics(tags: DataFrame, item: str) -> DataFrame:
-    """(topic_id, items): the items of each topic, sorted."""
-    return tags.groupBy("topic_id").agg(F.array_sort(F.collect_set(item)).alias("items"))
+    """(topic_id, item): the items of each topic, each once; a topic of any size is never gathered into one row."""
+    return tags.select("topic_id", item).distinct()
 
 
 def tag_array(text: Column, rules: list[tuple[str, list[str]]]) -> Column:
@@ -63,24 +76,26 @@ def detect_topics(questions: DataFrame, topics: DataFrame, most: int = 3) -> Dat
     ``questions`` has (query_id, text) and may have query_vector; ``topics`` has (topic_id, words) and may have
     topic_vector, used where no topic shares enough words. A topic's score is the share of its words in the question.
     """
-    asked = questions.withColumn("asked", F.array_distinct(topic_tokens(F.col("text"))))
-    met = asked.crossJoin(_bounded(topics))
-    words = F.array_distinct("words")
-    met = met.withColumn("score", F.when(F.size(words) > 0, F.size(F.array_intersect(words, "asked")) / F.size(words)).otherwise(0.0))
+    asked = questions.select("query_id", F.explode(F.array_distinct(topic_tokens(F.col("text")))).alias("word")).distinct()
+    sized = topics.select("topic_id", F.array_distinct("words").alias("words"))
+    words = _bounded(sized.select("topic_id", F.size("words").alias("size"), F.explode("words").alias("word")))
+    shared = asked.join(words, "word").groupBy("query_id", "topic_id").agg((F.count("*") / F.first("size")).alias("score"))
     best = F.max("score").over(Window.partitionBy("query_id"))
-    limit = F.when(best >= STRONG_SHARE, STRONG_SHARE).when(best >= WEAK_SHARE, F.lit(1e-9))
-    kept = met.withColumn("limit_", limit)
+    kept = shared.withColumn("best", best).filter((F.col("best") >= WEAK_SHARE) & ((F.col("best") < STRONG_SHARE) | (F.col("score") >= STRONG_SHARE))).select("query_id", "topic_id", "score")
     if "query_vector" in questions.columns and "topic_vector" in topics.columns:
-        from corpusmill.functions.text import dot
-
-        similar = dot(F.col("query_vector"), F.col("topic_vector"))
-        kept = kept.withColumn("score", F.when(F.col("limit_").isNull(), similar).otherwise(F.col("score")))
-        kept = kept.withColumn("limit_", F.coalesce("limit_", F.lit(LEAST_SIMILARITY)))
-    kept = kept.filter(F.col("score") >= F.col("limit_"))
+        rest = questions.join(kept.select("query_id"), "query_id", "left_anti").select("query_id", "query_vector")
+        close = rest.join(_bounded(topics.select("topic_id", "topic_vector")), F.size("query_vector") == F.size("topic_vector"))
+        close = close.select("query_id", "topic_id", dot(F.col("query_vector"), F.col("topic_vector")).alias("score"))
+        kept = kept.unionByName(close.filter(F.col("score") >= LEAST_SIMILARITY))
     by = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("topic_id"))
     return kept.withColumn("place", F.row_number().over(by)).filter(F.col("place") <= most).select("query_id", "topic_id", "score", "place")
 
 
+def rules_hit(questions: DataFrame, rules: DataFrame) -> DataFrame:
+    """(query_id, the rule's columns...): the rules of which a question (query_id, text) contains any keyword."""
+    return questions.select("query_id", F.lower("text").alias("asked")).join(_bounded(rules), F.exists("keywords", lambda k: F.contains(F.col("asked"), F.lower(k)))).drop("asked")
+
+
 def guard(questions: DataFrame, retrieved: DataFrame, rules: DataFrame) -> DataFrame:
     """(query_id, item, place): retrieved lists with the priority items of matching rules first and excluded texts gone.
 
@@ -88,7 +103,7 @@ def guard(questions: DataFrame, retrieved: DataFrame, rules: DataFrame) -> DataF
     items, excludes): a rule matches a question that contains any keyword; its items come first in rule order (``rule``)
     and rows whose text contains any of its excludes are dropped, unless they are priority items.
     """
-    hit = questions.select("query_id", F.lower("text").alias("asked")).join(_bounded(rules), F.exists("keywords", lambda k: F.contains(F.col("asked"), F.lower(k))))
+    hit = rules_hit(questions, rules)
     first = hit.select("query_id", "rule", F.posexplode("items").alias("at", "item")).groupBy("query_id", "item").agg(F.min(F.struct("rule", "at")).alias("first_"))
     first = first.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("first_"))).drop("first_")
     parts = hit.select("query_id", F.explode("excludes").alias("part")).distinct()
@@ -101,7 +116,7 @@ def curated(questions: DataFrame, retrieved: DataFrame, rules: DataFrame) -> Dat
 
     ``rules`` has (rule, keywords, items, mode) with mode ``replace`` or ``prepend``.
     """
-    hit = questions.select("query_id", F.lower("text").alias("asked")).join(_bounded(rules), F.exists("keywords", lambda k: F.contains(F.col("asked"), F.lower(k))))
+    hit = rules_hit(questions, rules)
     chosen = hit.groupBy("query_id").agg(F.min_by(F.struct("items", "mode"), "rule").alias("list"))
     first = chosen.select("query_id", F.posexplode("list.items").alias("place", "item"))
     kept = retrieved.join(chosen.filter("list.mode = 'replace'"), "query_id", "left_anti")

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import collapse, token_estimate
+from corpusmill.operators.ranking import range_part
 
 WINDOW_REACH = 2
 MERGE_OVERLAP = 0.6
@@ -76,13 +77,24 @@ def merge_in_order(rows: DataFrame, within: str, order: str, position: str, keys
 def prefix_budget(rows: DataFrame, within: list[str], order: list[str], text: str, budget: int) -> DataFrame:
     """The rows of each group that fit a token budget: the first always, then while the running sum stays within it.
 
-    Adds tokens and used, the running sum. A null or blank text needs no tokens.
+    Adds tokens and used, the running sum. A null or blank text needs no tokens. The group's rows are cut into ranges
+    of the first order column; the ranges' sums tell where the budget ends, and only ranges that begin within it are
+    sorted, each by itself, so a group with a third of all rows costs no more than its part that fits.
     """
-    by = Window.partitionBy(*within).orderBy(*order)
     sized = rows.withColumn("tokens", F.coalesce(token_estimate(F.col(text)), F.lit(0)))
-    run = sized.withColumn("used", F.sum("tokens").over(by.rowsBetween(Window.unboundedPreceding, 0))).withColumn("place_", F.row_number().over(by))
-    over = F.max((F.col("used") > budget) & (F.col("place_") > 1)).over(by.rowsBetween(Window.unboundedPreceding, 0))
-    return run.withColumn("over_", over).filter(~F.col("over_")).drop("place_", "over_")
+    sized = sized.withColumn("part_", range_part(rows, order[0]))
+    sums = sized.groupBy(*within, "part_").agg(F.sum("tokens").alias("sum_"))
+    upto = Window.partitionBy(*within).orderBy(F.col("part_").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    begins = sums.withColumn("before_", F.coalesce(F.sum("sum_").over(upto), F.lit(0))).withColumn("head_", F.row_number().over(Window.partitionBy(*within).orderBy(F.col("part_").asc_nulls_first())) == 1)
+    begins = begins.filter(F.col("before_") <= budget).drop("sum_")
+    same = F.lit(True)
+    for c in [*within, "part_"]:
+        same = same & F.col(c).eqNullSafe(F.col(f"o_{c}"))
+    near = sized.join(begins.select(*[F.col(c).alias(f"o_{c}") for c in [*within, "part_"]], "before_", "head_"), same)
+    by = Window.partitionBy(*within, "part_").orderBy(*order)
+    run = near.withColumn("used", F.col("before_") + F.sum("tokens").over(by.rowsBetween(Window.unboundedPreceding, 0))).withColumn("place_", F.row_number().over(by))
+    first = F.col("head_") & (F.col("place_") == 1)
+    return run.filter((F.col("used") <= budget) | first).drop("part_", "place_", "before_", "head_", *[f"o_{c}" for c in [*within, "part_"]])
 
 
 def numbered_within(rows: DataFrame, groups: list[str], *order: str) -> DataFrame:

@@ -43,10 +43,15 @@ def _bsb(t) -> DataFrame:
     return _latest(t).filter("tr = 'BSB'")
 
 
-def _edges(t) -> DataFrame:
+def _links(t) -> DataFrame:
+    """Every delivery of a link; for operators that take the most votes of a pair, so that repeats don't matter."""
     s, d = F.col("source"), F.col("target")
     rows = t("cross_references").filter(s.isNotNull() & d.isNotNull())
-    return rows.select("edge_id", refs.verse_id(s["book"], s["chapter"], s["verse"]).alias("src"), refs.verse_id(d["book"], d["chapter"], d["verse"]).alias("dst"), "votes").distinct()
+    return rows.select("edge_id", refs.verse_id(s["book"], s["chapter"], s["verse"]).alias("src"), refs.verse_id(d["book"], d["chapter"], d["verse"]).alias("dst"), "votes")
+
+
+def _edges(t) -> DataFrame:
+    return _links(t).distinct()
 
 
 # ---------------------------------------------------------------- scalar text functions
@@ -165,7 +170,7 @@ def j4_override(t):
 
 @query(f"WITH {EDGES} SELECT src, dst, max(votes) AS votes, row_number() OVER (PARTITION BY src ORDER BY coalesce(max(votes), 0) DESC, dst)::INT AS place FROM edges GROUP BY 1, 2")
 def j6_strongest_links(t):
-    return gr.strongest_links(_edges(t), "src", "dst", "votes")
+    return gr.strongest_links(_links(t), "src", "dst", "votes")
 
 
 @query(
@@ -174,7 +179,7 @@ def j6_strongest_links(t):
 )
 def j7_expand_links(t):
     primary = t("documents").filter("primary_ref is not null").select("doc_id", "primary_ref")
-    return gr.expand_links(primary, _edges(t), "doc_id", "primary_ref", "src", "dst", "votes")
+    return gr.expand_links(primary, _links(t), "doc_id", "primary_ref", "src", "dst", "votes")
 
 
 WORD_TABLES = """n AS (SELECT *, regexp_replace(regexp_replace(coalesce(w, ''), '[\\x{0591}-\\x{05C7}]', '', 'g'), '[^\\x{0590}-\\x{05FF}]', '', 'g') AS p FROM gloss_words)"""
@@ -269,21 +274,11 @@ def w3_passage_windows(t):
     return sq.frames(rows, ["book", "chapter"], "verse", "id", "text").select("row_id", F.col("window_ids").alias("ids"), F.md5("window_text").alias("digest"))
 
 
-@query(
-    f"""WITH {BSB}, k AS (SELECT DISTINCT upper(split_part(primary_ref, ' ', 1)) AS book, split_part(split_part(primary_ref, ' ', 2), ':', 1)::INT AS chapter, split_part(primary_ref, ':', 2)::INT AS verse FROM documents WHERE primary_ref IS NOT NULL AND source = 'hymn'),
-    e AS (SELECT DISTINCT book, chapter, verse + d AS verse FROM k, (SELECT unnest([-1, 0, 1]) AS d) WHERE verse + d >= 1) SELECT b.row_id FROM e JOIN bsb b USING (book, chapter, verse)"""
-)
-def w4_neighbours(t):
-    at = refs.parse_verse(F.col("primary_ref"))
-    keys = t("documents").filter("source = 'hymn'").select(at["book"].alias("book"), at["chapter"].alias("chapter"), at["verse"].alias("verse"), F.col("doc_id").alias("ord")).filter("book is not null")
-    return sq.neighbours(keys, _bsb(t), ["book", "chapter"], "verse").select("row_id")
-
-
 @query(
     f"""WITH {BSB}, k AS (SELECT DISTINCT upper(split_part(primary_ref, ' ', 1)) AS book, split_part(split_part(primary_ref, ' ', 2), ':', 1)::INT AS chapter, split_part(primary_ref, ':', 2)::INT AS verse FROM documents WHERE primary_ref IS NOT NULL),
     e AS (SELECT DISTINCT book, chapter, verse + d AS verse FROM k, (SELECT unnest([-1, 0, 1]) AS d) WHERE verse + d >= 1) SELECT b.row_id FROM e JOIN bsb b USING (book, chapter, verse)"""
 )
-def w4_neighbours_all(t):
+def w4_neighbours(t):
     at = refs.parse_verse(F.col("primary_ref"))
     keys = t("documents").select(at["book"].alias("book"), at["chapter"].alias("chapter"), at["verse"].alias("verse"), F.col("doc_id").alias("ord")).filter("book is not null")
     return sq.neighbours(keys, _bsb(t), ["book", "chapter"], "verse").select("row_id")
@@ -351,7 +346,7 @@ def w13_top_topics(t):
     return _tags(t)
 
 
-@query(f"WITH {TAGGED} SELECT topic_id, list(DISTINCT doc_id ORDER BY doc_id) AS items FROM top GROUP BY 1")
+@query(f"WITH {TAGGED} SELECT DISTINCT topic_id, doc_id FROM top")
 def g21_items_of_topics(t):
     return ru.items_of_topics(_tags(t), "doc_id")
 
@@ -394,33 +389,29 @@ def g20_chapter_texts(t):
 # ---------------------------------------------------------------- sets and upserts
 
 
-@query("SELECT min(doc_id) AS doc_id FROM documents WHERE source IN ('hymn', 'commentary') AND primary_ref IS NOT NULL GROUP BY primary_ref HAVING bool_or(source = 'commentary') AND NOT bool_or(source = 'hymn') UNION ALL SELECT min(CASE WHEN source = 'hymn' THEN doc_id END) FROM documents WHERE source IN ('hymn', 'commentary') AND primary_ref IS NOT NULL GROUP BY primary_ref HAVING bool_or(source = 'hymn')")
+@query("SELECT coalesce(min(CASE WHEN lower(trim(source)) = 'hymn' THEN doc_id END), min(doc_id)) AS doc_id FROM documents WHERE primary_ref IS NOT NULL GROUP BY primary_ref")
 def u1_append_distinct(t):
-    rows = t("documents").filter("primary_ref is not null").select("doc_id", "primary_ref", "source")
-    return st.append_distinct(rows.filter("source = 'hymn'"), rows.filter("source = 'commentary'"), [F.col("primary_ref")], "doc_id").select("doc_id")
+    """Hymns first, then all other documents, each verse once."""
+    rows = t("documents").filter("primary_ref is not null").select("doc_id", "primary_ref", F.coalesce(F.lower(F.trim("source")) == "hymn", F.lit(False)).alias("hymn"))
+    return st.append_distinct(rows.filter("hymn"), rows.filter("not hymn"), [F.col("primary_ref")], "doc_id").select("doc_id")
 
 
 @query(
-    """WITH base AS (SELECT o_orderkey, o_totalprice, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderpriority END AS prio FROM orders WHERE o_orderkey % 4 <> 0),
-    inc AS (SELECT o_orderkey, o_totalprice + 1 AS o_totalprice, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE 'NEW' END AS prio FROM orders WHERE o_orderkey % 2 = 0)
+    """WITH base AS (SELECT o_orderkey, o_totalprice, CASE WHEN o_orderstatus <> 'F' THEN o_orderpriority END AS prio FROM orders WHERE o_orderdate < TIMESTAMP '2000-01-01'),
+    inc AS (SELECT o_orderkey, o_totalprice + 1 AS o_totalprice, CASE WHEN o_orderstatus <> 'O' THEN 'NEW' END AS prio FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01')
     SELECT coalesce(i.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN i.o_orderkey IS NOT NULL THEN i.o_totalprice ELSE b.o_totalprice END AS o_totalprice, coalesce(i.prio, b.prio) AS prio FROM base b FULL JOIN inc i USING (o_orderkey)"""
 )
 def k5_upsert(t):
-    rows = t("orders")
-    base = rows.filter("o_orderkey % 4 <> 0").select("o_orderkey", "o_totalprice", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderpriority")).alias("prio"))
-    new = rows.filter("o_orderkey % 2 = 0").select("o_orderkey", (F.col("o_totalprice") + 1).alias("o_totalprice"), F.when(F.col("o_orderkey") % 5 != 0, F.lit("NEW")).alias("prio"))
+    """Orders before 2000 exist, those from 1998 on come in: every order is on one side or both."""
+    rows, day = t("orders"), F.col("o_orderdate")
+    base = rows.filter(day < F.lit("2000-01-01").cast("timestamp")).select("o_orderkey", "o_totalprice", F.when(F.col("o_orderstatus") != "F", F.col("o_orderpriority")).alias("prio"))
+    new = rows.filter(day >= F.lit("1998-01-01").cast("timestamp")).select("o_orderkey", (F.col("o_totalprice") + 1).alias("o_totalprice"), F.when(F.col("o_orderstatus") != "O", F.lit("NEW")).alias("prio"))
     return st.upsert(base, new, ["o_orderkey"], ["o_totalprice"], ["prio"])
 
 
-@query("SELECT edge_id, votes FROM (SELECT edge_id, votes FROM cross_references WHERE edge_id % 3 = 0 UNION ALL (SELECT DISTINCT ON (edge_id) edge_id, votes FROM cross_references WHERE edge_id % 2 = 0 AND edge_id % 3 <> 0))")
-def k6_insert_missing(t):
-    rows = t("cross_references").select("edge_id", "votes")
-    return st.insert_missing(rows.filter("edge_id % 3 = 0"), rows.filter("edge_id % 2 = 0"), ["edge_id"])
-
-
 @query("""WITH old AS (SELECT edge_id, votes FROM cross_references WHERE loaded_at < TIMESTAMP '2025-04-01'), new AS (SELECT edge_id, min(votes) AS votes FROM cross_references WHERE loaded_at >= TIMESTAMP '2025-04-01' OR loaded_at IS NULL GROUP BY 1)
     SELECT edge_id, votes FROM old UNION ALL SELECT edge_id, votes FROM new WHERE edge_id NOT IN (SELECT edge_id FROM old)""")
-def k6_insert_missing_all(t):
+def k6_insert_missing(t):
     """Every link is on one side: those loaded before April exist, the later ones, with their re-deliveries, come in."""
     rows = t("cross_references")
     early = F.coalesce(F.col("loaded_at") < F.lit("2025-04-01").cast("timestamp"), F.lit(False))
@@ -440,14 +431,8 @@ def u4_overlap_ratio(t):
     return a.join(b, "head").filter("a < b").select("a", "b", F.round(tx.jaccard_by_larger(F.col("ids_a"), F.col("ids_b")), 6).alias("overlap"))
 
 
-@query("SELECT passage_id, x AS a, y AS b FROM (SELECT passage_id, verse_ids, unnest(verse_ids) AS x FROM passage_windows WHERE len(verse_ids) <= 5), unnest(verse_ids) AS u(y)")
-def u7_ordered_cross(t):
-    rows = t("passage_windows").filter(F.size("verse_ids") <= 5).select("passage_id", F.col("verse_ids").alias("a"), F.col("verse_ids").alias("b"))
-    return st.ordered_cross(rows, "a", "b")
-
-
 @query("SELECT passage_id, x AS a, y AS b FROM (SELECT passage_id, verse_ids, unnest(verse_ids) AS x FROM passage_windows), unnest(verse_ids) AS u(y)")
-def u7_ordered_cross_all(t):
+def u7_ordered_cross(t):
     rows = t("passage_windows").select("passage_id", F.col("verse_ids").alias("a"), F.col("verse_ids").alias("b"))
     return st.ordered_cross(rows, "a", "b")
 
@@ -455,7 +440,16 @@ def u7_ordered_cross_all(t):
 GUARDS = [(1, ["covenant"], ["DOC 1", "DOC 2"], ["river"]), (2, ["shepherd", "flock"], ["DOC 3"], []), (3, ["bread"], ["DOC 1", "DOC 4"], ["king"])]
 
 
-@query()
+ASKED_LABELS = "asked AS (SELECT cluster_id AS query_id, lower(cluster_label) AS text FROM tsk_clusters WHERE cluster_label IS NOT NULL), listed AS (SELECT cluster_id AS query_id, lower(cluster_label) AS text, unnest(member_verse_ids) AS item, unnest(range(len(member_verse_ids))) AS place FROM tsk_clusters)"
+GUARD_SQL = f"""WITH rules(rule, keywords, items, excludes) AS (VALUES {", ".join(f"({r}, {k}, {i}, {x}::VARCHAR[])" for r, k, i, x in GUARDS)}), {ASKED_LABELS},
+    hit AS (SELECT query_id, rule, items, excludes FROM asked, rules WHERE len([k FOR k IN keywords IF contains(text, k)]) > 0),
+    f AS (SELECT query_id, item, min(struct_pack(r := rule, a := pos)) AS first FROM (SELECT query_id, rule, unnest(items) AS item, unnest(range(len(items))) AS pos FROM hit) GROUP BY 1, 2),
+    gone AS (SELECT DISTINCT l.query_id, l.item FROM listed l JOIN (SELECT DISTINCT query_id, unnest(excludes) AS part FROM hit) USING (query_id) WHERE contains(l.text, part)),
+    u AS (SELECT query_id, item, 0 AS list, row_number() OVER (PARTITION BY query_id ORDER BY first) AS ord FROM f UNION ALL SELECT query_id, item, 1, min(place) FROM listed l WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.query_id = l.query_id AND f.item = l.item) AND NOT EXISTS (SELECT 1 FROM gone g WHERE g.query_id = l.query_id AND g.item = l.item) GROUP BY 1, 2)
+    SELECT query_id, item, row_number() OVER (PARTITION BY query_id ORDER BY list, ord, item)::INT AS place FROM u"""
+
+
+@query(GUARD_SQL)
 def u2_guards(t):
     rules = t.spark.createDataFrame(GUARDS, "rule int, keywords array<string>, items array<string>, excludes array<string>")
     asked = t("tsk_clusters").select(F.col("cluster_id").alias("query_id"), F.col("cluster_label").alias("text"))
@@ -463,10 +457,18 @@ def u2_guards(t):
     return ru.guard(asked, listed, rules)
 
 
-@query()
+LISTS = [(1, ["covenant"], ["DOC 1", "DOC 2"], "replace"), (2, ["shepherd", "night"], ["DOC 3"], "prepend")]
+
+
+@query(
+    f"""WITH rules(rule, keywords, items, mode) AS (VALUES {", ".join(f"({r}, {k}, {i}, '{m}')" for r, k, i, m in LISTS)}), {ASKED_LABELS},
+    hit AS (SELECT query_id, arg_min(items, rule) AS items, arg_min(mode, rule) AS mode FROM asked, rules WHERE len([k FOR k IN keywords IF contains(text, k)]) > 0 GROUP BY 1),
+    f AS (SELECT query_id, unnest(items) AS item, unnest(range(len(items))) AS ord FROM hit),
+    u AS (SELECT query_id, item, 0 AS list, ord FROM f UNION ALL SELECT query_id, item, 1, min(place) FROM listed l WHERE NOT EXISTS (SELECT 1 FROM hit h WHERE h.query_id = l.query_id AND mode = 'replace') AND NOT EXISTS (SELECT 1 FROM f WHERE f.query_id = l.query_id AND f.item = l.item) GROUP BY 1, 2)
+    SELECT query_id, item, row_number() OVER (PARTITION BY query_id ORDER BY list, ord, item)::INT AS place FROM u"""
+)
 def u3_curated(t):
-    lists = [(1, ["covenant"], ["DOC 1", "DOC 2"], "replace"), (2, ["shepherd", "night"], ["DOC 3"], "prepend")]
-    rules = t.spark.createDataFrame(lists, "rule int, keywords array<string>, items array<string>, mode string")
+    rules = t.spark.createDataFrame(LISTS, "rule int, keywords array<string>, items array<string>, mode string")
     asked = t("tsk_clusters").select(F.col("cluster_id").alias("query_id"), F.col("cluster_label").alias("text"))
     listed = t("tsk_clusters").select(F.col("cluster_id").alias("query_id"), F.posexplode("member_verse_ids").alias("place", "item"))
     return ru.curated(asked, listed, rules)
@@ -475,39 +477,26 @@ def u3_curated(t):
 # ---------------------------------------------------------------- graph
 
 
-@query(
-    f"""WITH RECURSIVE {EDGES}, e AS (SELECT DISTINCT src AS a, dst AS b FROM edges WHERE votes > 60 AND src <> dst), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-    r(node, root) AS (SELECT a, a FROM s UNION SELECT s.b, r.root FROM r JOIN s ON s.a = r.node) SELECT node, min(root) AS root FROM r GROUP BY 1"""
-)
-def r2_components(t):
-    edges = _edges(t).filter("votes > 60 and src <> dst")
-    return gr.components(edges, "src", "dst")
-
-
-@query(
-    f"""WITH RECURSIVE {EDGES}, f AS (SELECT src, dst, votes FROM edges WHERE votes > 60 AND src <> dst), s AS (SELECT src AS a, dst AS b FROM f UNION SELECT dst, src FROM f),
-    r(node, root) AS (SELECT a, a FROM s UNION SELECT s.b, r.root FROM r JOIN s ON s.a = r.node), c AS (SELECT node, min(root) AS root FROM r GROUP BY 1),
-    z AS (SELECT root, count(*) AS size FROM c GROUP BY 1), v AS (SELECT root, sum(votes)::BIGINT AS vote_total FROM f JOIN c ON src = node GROUP BY 1)
-    SELECT root, size, vote_total, 'general' AS label, row_number() OVER (ORDER BY size DESC, root)::INT AS number FROM z JOIN v USING (root)"""
-)
-def r3_roll_up(t):
-    edges = _edges(t).filter("votes > 60 and src <> dst")
-    return gr.roll_up(gr.components(edges, "src", "dst"), edges, "src", "votes")
+#: Components by the smallest label that reaches each node, over all edges that build clusters.
+COMPONENTS = f"""{EDGES}, f AS (SELECT src, dst, votes FROM edges WHERE votes > 10 AND src <> dst), s AS (SELECT src AS a, dst AS b FROM f UNION SELECT dst, src FROM f),
+    cc(node, root) USING KEY (node) AS (SELECT DISTINCT a, a FROM s UNION SELECT s.b, min(cc.root) FROM cc JOIN s ON s.a = cc.node JOIN recurring.cc AS own ON own.node = s.b WHERE cc.root < own.root GROUP BY s.b)"""
 
 
 def _clustered(t) -> DataFrame:
     """The edges that build clusters: all with more than ``VOTES_ABOVE`` votes."""
-    return _edges(t).filter(gr.votes_above(F.col("votes")) & (F.col("src") != F.col("dst")))
+    return _links(t).filter(gr.votes_above(F.col("votes")) & (F.col("src") != F.col("dst"))).distinct()
 
 
-@query()
-def r2_components_all(t):
-    """Components over all voted edges; recursive SQL is quadratic in the size of a component, so a test compares them with a union-find."""
+@query(f"WITH RECURSIVE {COMPONENTS} SELECT node, root FROM cc")
+def r2_components(t):
     return gr.components(_clustered(t), "src", "dst")
 
 
-@query()
-def r3_roll_up_all(t):
+@query(
+    f"""WITH RECURSIVE {COMPONENTS}, z AS (SELECT root, count(*) AS size FROM cc GROUP BY 1), v AS (SELECT root, sum(votes)::BIGINT AS vote_total FROM f JOIN cc ON src = node GROUP BY 1)
+    SELECT root, size, coalesce(vote_total, 0) AS vote_total, 'general' AS label, row_number() OVER (ORDER BY size DESC, root)::INT AS number FROM z LEFT JOIN v USING (root)"""
+)
+def r3_roll_up(t):
     edges = cut_lineage(_clustered(t))
     return gr.roll_up(gr.components(edges, "src", "dst"), edges, "src", "votes")
 

@@ -5,22 +5,28 @@ Every stage is a DataFrame keyed by query_id; nothing is collected, so one quest
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.questions import add_synonyms, understand
 from corpusmill.functions.refs import parse_verse, reference_ids, references_in, verse_id
+from corpusmill.functions.text import fallback_tokens
 from corpusmill.operators.fusion import clamp_top_k, min_max, rerank
-from corpusmill.operators.graph import expand_links
+from corpusmill.operators.graph import cluster_boost, expand_links
 from corpusmill.operators.lexical import CANDIDATES, Index, search
 from corpusmill.operators.lookup import override, unique_rows
-from corpusmill.operators.rules import curated, guard
+from corpusmill.operators.rules import curated, detect_topics, guard
 from corpusmill.operators.sequence import first_wins, interleave, merge_in_order, prefix_budget
 from corpusmill.session import cut_lineage
 
 
+#: A signal made for a search: from questions (query_id, text), candidates (query_id, doc_id, ...) and direct references.
+Signal = Callable[[DataFrame, DataFrame, DataFrame], DataFrame]
+
+
 @dataclass
 class Corpus:
     """Verses (doc_id, book, chapter, verse, text, translation), one row per doc_id; and what refers to them."""
@@ -28,7 +34,7 @@ class Corpus:
     verses: DataFrame
     index: Index
     links: DataFrame | None = None  # source, target, votes
-    signals: dict[str, DataFrame] | None = None
+    signals: dict[str, DataFrame | Signal] | None = None
     translations: DataFrame | None = None  # book, chapter, verse, text, translation
     guards: DataFrame | None = None
     lists: DataFrame | None = None
@@ -56,7 +62,9 @@ def retrieve(questions: DataFrame, corpus: Corpus, top_k: int | None = None, rea
     direct = direct.join(known, "doc_id", "left_semi")
     topical = asked.filter("intent <> 'DIRECT_REFERENCE'").withColumn("search", add_synonyms(F.col("expanded"), F.size("negations") > 0, 2))
     found = min_max(search(corpus.index, topical.select("query_id", "search"), "query_id", "search", CANDIDATES, corpus.verses)).select("query_id", "doc_id", F.col("norm").alias("score"), "rank")
-    signals = dict(corpus.signals or {}) | {"direct": direct.select("query_id", "doc_id", F.lit(1.0).alias("value"))}
+    found, direct = cut_lineage(found), cut_lineage(direct)  # a few rows per question, read by every signal
+    made = {n: s if isinstance(s, DataFrame) else s(questions, found, direct) for n, s in (corpus.signals or {}).items()}
+    signals = made | {"direct": direct.select("query_id", "doc_id", F.lit(1.0).alias("value"))}
     best = rerank(found, signals, CANDIDATES)
     listed = cut_lineage(interleave([direct.select("query_id", "doc_id", "ord"), best.select("query_id", "doc_id", F.col("rank").alias("ord"))], "query_id", "doc_id", "ord", k))  # k rows per question
     texts = corpus.verses.select("doc_id", "text")
@@ -82,5 +90,47 @@ def retrieve(questions: DataFrame, corpus: Corpus, top_k: int | None = None, rea
     span = F.when(F.col("first") == F.col("last"), F.lit("")).otherwise(F.concat(F.lit("-"), F.col("last").cast("string")))
     out = merged.withColumn("reference", F.concat("book", F.lit(" "), F.col("chapter").cast("string"), F.lit(":"), F.col("first").cast("string"), span))
     if budget is not None:
-        out = prefix_budget(out, ["query_id"], ["ord"], "text", budget)
+        out = prefix_budget(cut_lineage(out), ["query_id"], ["ord"], "text", budget)
     return out.select("query_id", "ord", "reference", "book", "chapter", "first", "last", "text", "related")
+
+
+def topic_signal(verse_topics: DataFrame, topics: DataFrame) -> Signal:
+    """Candidates that share a topic with the question, with its confidence: made from the candidates alone.
+
+    ``verse_topics`` has (doc_id, topic_id, confidence), ``topics`` (topic_id, words).
+    """
+
+    def make(questions: DataFrame, candidates: DataFrame, direct: DataFrame) -> DataFrame:
+        asked = detect_topics(questions, topics).select("query_id", "topic_id")
+        met = candidates.select("query_id", "doc_id").join(verse_topics, "doc_id").join(asked, ["query_id", "topic_id"], "left_semi")
+        return met.select("query_id", "doc_id", F.col("confidence").alias("value"))
+
+    return make
+
+
+def cluster_signal(clusters: DataFrame, most: int = 8) -> Signal:
+    """Members of the clusters, by votes, of whose label the question has a word.
+
+    ``clusters`` has (cluster_id, label, members, votes).
+    """
+
+    def make(questions: DataFrame, candidates: DataFrame, direct: DataFrame) -> DataFrame:
+        words = questions.select("query_id", F.explode(F.array_distinct(fallback_tokens(F.col("text")))).alias("word"))
+        labels = clusters.select("cluster_id", F.explode(F.array_distinct(fallback_tokens(F.col("label")))).alias("word"))
+        met = words.join(labels, "word").select("query_id", "cluster_id").distinct().join(clusters.select("cluster_id", "votes"), "cluster_id")
+        by = Window.partitionBy("query_id").orderBy(F.col("votes").desc_nulls_last(), "cluster_id")
+        top = met.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= most).join(clusters.select("cluster_id", "members"), "cluster_id")
+        boost = cluster_boost(top, "members", "votes", "rank", "query_id")
+        return boost.select("query_id", F.col("item").alias("doc_id"), F.col("signal").alias("value"))
+
+    return make
+
+
+def link_signal(links: DataFrame) -> Signal:
+    """The strongest cross-references of the verses that the question names."""
+
+    def make(questions: DataFrame, candidates: DataFrame, direct: DataFrame) -> DataFrame:
+        more = expand_links(direct.select("query_id", "doc_id"), links, "query_id", "doc_id", "source", "target", "votes")
+        return more.select("query_id", F.col("target").alias("doc_id"), F.lit(1.0).alias("value"))
+
+    return make

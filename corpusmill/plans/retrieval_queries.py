@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions.text import coverage, dot, fallback_tokens, phrase_text, tokens, topic_tokens
 from corpusmill.operators import evaluate as ev
 from corpusmill.operators import fusion as fu
-from corpusmill.operators.lexical import build_index, scores, search
+from corpusmill.operators.lexical import build_index, search
 from corpusmill.operators.rules import detect_topics
 from corpusmill.operators.vectors import LexicalStore, nearest
 from corpusmill.plans.registry import query
@@ -90,20 +90,17 @@ def b2_corpus_stats(t):
 
 @query(f"WITH {ASKED}, {INDEX} SELECT query_id, doc_id, round(score, 6) AS score, rank::INT AS rank FROM lex WHERE rank <= 10")
 def b4_bm25_top(t):
-    found = scores(_index(t), _asked(t), "query_id", "text")
-    by = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "first_at", "ord")
-    ranked = found.withColumn("rank", F.row_number().over(by)).filter("rank <= 10")
-    return ranked.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return search(_index(t), _asked(t), "query_id", "text", 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query(f"WITH {ASKED}, {BOOSTED} SELECT query_id, count(*) AS n, round(sum(score), 5) AS total, round(max(score), 6) AS best FROM top GROUP BY 1")
+@query(f"WITH {ASKED}, {BOOSTED} SELECT query_id, doc_id, round(score, 6) AS score, rank::INT AS rank FROM top")
 def b5_phrase_boost(t):
-    return _top(t).groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.sum("score"), 5).alias("total"), F.round(F.max("score"), 6).alias("best"))
+    return _top(t).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query(f"WITH {ASKED}, {NORM} SELECT query_id, rank::INT AS rank, round(norm, 5) AS norm FROM norm")
+@query(f"WITH {ASKED}, {NORM} SELECT query_id, doc_id, rank::INT AS rank, round(norm, 5) AS norm FROM norm")
 def b8_min_max(t):
-    return fu.min_max(_top(t)).select("query_id", "rank", F.round("norm", 5).alias("norm"))
+    return fu.min_max(_top(t)).select("query_id", "doc_id", "rank", F.round("norm", 5).alias("norm"))
 
 
 @query(
@@ -127,10 +124,10 @@ SEMANTIC = f"""{NORM},
     semr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC NULLS LAST, rank) AS rank_sem FROM sem)"""
 
 
-@query(f"WITH {ASKED}, {SEMANTIC} SELECT query_id, rank::INT AS rank, rank_sem::INT AS rank_sem, round(similarity, 6) AS similarity FROM semr")
+@query(f"WITH {ASKED}, {SEMANTIC} SELECT query_id, doc_id, rank::INT AS rank, rank_sem::INT AS rank_sem, round(similarity, 6) AS similarity FROM semr")
 def b11_semantic_rank(t):
     near = fu.semantic_rank(_top(t), _question_vectors(t), _vectors(t))
-    return near.select("query_id", "rank", "rank_sem", F.round("similarity", 6).alias("similarity"))
+    return near.select("query_id", "doc_id", "rank", "rank_sem", F.round("similarity", 6).alias("similarity"))
 
 
 @query(f"WITH {ASKED}, {SEMANTIC} SELECT query_id, doc_id, round(1.0::DOUBLE / (60 + rank) + 1.0::DOUBLE / (60 + rank_sem), 9) AS score FROM semr")
@@ -172,20 +169,10 @@ def b14_rerank(t):
     return fu.rerank(norm, signals, 8).select("query_id", "rank", F.round("score", 5).alias("score"))
 
 
-@query(f"WITH {ASKED}, {NORM} SELECT query_id, doc_id, round(norm, 5) AS score, rank::INT AS rank FROM norm WHERE rank <= 10 AND norm > 0.2")
+@query(f"WITH {ASKED}, {NORM} SELECT query_id, doc_id, round(norm, 5) AS score, rank::INT AS rank FROM norm")
 def b15_lexical_store(t):
     store = LexicalStore(_index(t), _docs(t))
-    found = store.query(_asked(t), 25).filter("rank <= 10")
-    return found.select("query_id", "doc_id", F.round("score", 5).alias("score"), "rank").filter("score > 0.2")
-
-
-@query(
-    """SELECT a.vec_id::INT AS query_id, b.vec_id AS doc_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score,
-    row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id)::INT AS rank
-    FROM embeddings a, embeddings b WHERE a.vec_id BETWEEN 1 AND 8 QUALIFY rank <= 10"""
-)
-def b16_nearest(t):
-    return nearest(_question_vectors(t), _vectors(t), 10).withColumn("score", F.round("score", 6))
+    return store.query(_asked(t), 25).select("query_id", "doc_id", F.round("score", 5).alias("score"), "rank")
 
 
 @query(
@@ -193,7 +180,7 @@ def b16_nearest(t):
     row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id)::INT AS rank
     FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 QUALIFY rank <= 10"""
 )
-def b16_nearest_all(t):
+def b16_nearest(t):
     """The questions of all searches: every row whose id is divisible by 50, so their number grows with the table."""
     asked = t("embeddings").filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
     return nearest(asked, _vectors(t), 10).withColumn("score", F.round("score", 6))

@@ -66,11 +66,11 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores where its files are too few to occupy them and small; otherwise as it is.
 
     A file's row group is read by one task, so a small table in one file would keep one core busy with work that
-    should be shared. Result rows are the same either way. The sizes come from the plan's statistics, which the scan
-    has already; no file is listed.
+    should be shared. Result rows are the same either way. A large input is told by the plan's statistics, which the
+    scan has already; only a small one's files are listed.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size >= cores * SPREAD_BYTES or size >= 2 * cores * int(df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()):
         return df
-    return df.repartition(cores)
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusmill.functions.refs import expand_dotted
-from corpusmill.functions.text import decode_entities, packed_fields, prefix_int, strip_notes, strongs_of_lemma
+from corpusmill.functions.text import decode_entities, packed_fields, prefix_int, strip_notes, strongs_of_lemma, trim_any
 
 VERSE_MAP = T.MapType(T.StringType(), T.MapType(T.StringType(), T.StringType()))
 #: Header spellings of verse files, the first that is there wins.
@@ -42,8 +42,13 @@ def whole_texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def translation_books(spark: SparkSession, path: str) -> DataFrame:
-    """(translation, book, chapter, verse, text) of files named ``TRANSLATION-BOOK.json`` with chapter and verse maps."""
-    files = whole_texts(spark, path).withColumn("chapters", F.from_json("text", VERSE_MAP))
+    """``translation_book_rows`` of files."""
+    return translation_book_rows(whole_texts(spark, path))
+
+
+def translation_book_rows(files: DataFrame) -> DataFrame:
+    """(translation, book, chapter, verse, text) of texts named ``TRANSLATION-BOOK.json`` with chapter and verse maps."""
+    files = files.withColumn("chapters", F.from_json("text", VERSE_MAP))
     name = F.regexp_extract("path", r"([^/]+?)\.json(?:\.gz)?$", 1)
     rows = files.select(F.upper(F.split_part(name, F.lit("-"), F.lit(1))).alias("translation"), F.upper(F.split_part(name, F.lit("-"), F.lit(-1))).alias("book"), F.explode("chapters").alias("chapter", "verses"))
     rows = rows.select("translation", "book", "chapter", F.explode("verses").alias("verse", "text"))
@@ -51,9 +56,14 @@ def translation_books(spark: SparkSession, path: str) -> DataFrame:
 
 
 def layer_words(spark: SparkSession, path: str, fields: str) -> DataFrame:
-    """(book, chapter, verse, at, fields...) of files ``layer-BOOK.json``: chapter and verse maps of arrays of words."""
+    """``layer_word_rows`` of files."""
+    return layer_word_rows(whole_texts(spark, path), fields)
+
+
+def layer_word_rows(files: DataFrame, fields: str) -> DataFrame:
+    """(book, chapter, verse, at, fields...) of texts named ``layer-BOOK.json``: chapter and verse maps of arrays of words."""
     schema = f"map<string,map<string,array<struct<{fields}>>>>"
-    files = whole_texts(spark, path).withColumn("chapters", F.from_json("text", schema))
+    files = files.withColumn("chapters", F.from_json("text", schema))
     book = F.upper(F.regexp_extract("path", r"([^/-]+)\.json(?:\.gz)?$", 1))
     rows = files.select(book.alias("book"), F.explode("chapters").alias("chapter", "verses")).select("book", "chapter", F.explode("verses").alias("verse", "words"))
     rows = rows.select("book", F.col("chapter").try_cast("int").alias("chapter"), F.col("verse").try_cast("int").alias("verse"), F.posexplode("words").alias("at", "word"))
@@ -111,8 +121,13 @@ def osis_words(files: DataFrame, text: str = "text") -> DataFrame:
 
 def packed_table(spark: SparkSession, path: str, packed: int, names: list[str]) -> DataFrame:
     """A tab-separated table whose column ``packed`` holds several bracketed fields; (others as c0.., names...)."""
+    return packed_rows(spark.read.text(path), packed, names)
+
+
+def packed_rows(lines: DataFrame, packed: int, names: list[str]) -> DataFrame:
+    """``packed_table`` of lines in a column value."""
     parts = F.split("value", "\t")
-    rows = spark.read.text(path).select(F.transform(parts, F.trim).alias("c"), packed_fields(F.get(parts, F.lit(packed))).alias("p"))
+    rows = lines.select(F.transform(parts, lambda p: trim_any(p)).alias("c"), packed_fields(F.get(parts, F.lit(packed))).alias("p"))
     return rows.select("c", *[F.get("p", F.lit(i)).alias(n) for i, n in enumerate(names)])
 
 
@@ -139,10 +154,16 @@ def chapter_range(chapters: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def content_hash(spark: SparkSession, path: str) -> str:
-    """One SHA-256 over the paths and contents of files, independent of how they are read."""
-    parts = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.sha2("content", 256).alias("h"))
-    rows = parts.agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "name", "h"))), "\n").alias("all")).first()
-    return hashlib.sha256(rows["all"].encode()).hexdigest()
+    """One SHA-256 over the names and contents of files, independent of their order and of how they are read.
+
+    Each file's digest is cut into four numbers, and the sums of these over all files are hashed: no list of files is
+    ever gathered.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    own = F.sha2(F.concat_ws(":", F.regexp_extract("path", "([^/]+)$", 1), F.sha2("content", 256)), 256)
+    pieces = [F.sum(F.conv(F.substring("own", 16 * i + 1, 15), 16, 10).cast("decimal(38,0)")).alias(f"s{i}") for i in range(4)]
+    sums = files.select(own.alias("own")).agg(F.count("*").alias("n"), *pieces).first()
+    return hashlib.sha256(repr(tuple(str(v) for v in sums)).encode()).hexdigest()
 
 
 def numbered_last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:

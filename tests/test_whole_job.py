@@ -41,13 +41,13 @@ def test_components_over_all_voted_edges(spark):
     edges = voted_edges(spark)
     want = roots(edges)
     assert any(votes <= 60 for *_, votes in edges)
-    assert {(r["node"], r["root"]) for r in queries()["r2_components_all"](spark, DATA).collect()} == set(want.items())
+    assert {(r["node"], r["root"]) for r in queries()["r2_components"](spark, DATA).collect()} == set(want.items())
     size, total = {}, {}
     for root in want.values():
         size[root] = size.get(root, 0) + 1
     for _, a, _, votes in edges:
         total[want[a]] = total.get(want[a], 0) + votes
-    found = queries()["r3_roll_up_all"](spark, DATA).collect()
+    found = queries()["r3_roll_up"](spark, DATA).collect()
     assert {(r["root"], r["size"], r["vote_total"]) for r in found} == {(x, n, total.get(x, 0)) for x, n in size.items()}
     assert [r["root"] for r in sorted(found, key=lambda r: r["number"])] == sorted(size, key=lambda x: (-size[x], x))
 
@@ -56,20 +56,20 @@ def test_ordered_cross_of_windows_of_any_size(spark):
     rows = spark.read.parquet(f"{DATA}/passage_windows.parquet").collect()
     want = sorted((r["passage_id"], a, b) for r in rows for a in r["verse_ids"] or [] for b in r["verse_ids"])
     assert any(len(r["verse_ids"] or []) > 5 for r in rows)
-    assert sorted((r["passage_id"], r["a"], r["b"]) for r in queries()["u7_ordered_cross_all"](spark, DATA).collect()) == want
+    assert sorted((r["passage_id"], r["a"], r["b"]) for r in queries()["u7_ordered_cross"](spark, DATA).collect()) == want
 
 
 def test_nearest_answers_every_question_in_blocks(spark, monkeypatch):
-    whole = sorted(map(tuple, queries()["b16_nearest_all"](spark, DATA).collect()))
+    whole = sorted(map(tuple, queries()["b16_nearest"](spark, DATA).collect()))
     ids = [r["vec_id"] for r in spark.read.parquet(f"{DATA}/embeddings.parquet").select("vec_id").collect()]
     assert {r[0] for r in whole} == {i for i in ids if i % 50 == 0} and len(whole) == 10 * len({r[0] for r in whole})
     monkeypatch.setattr(vectors, "QUESTIONS_A_PASS", 3)
-    assert sorted(map(tuple, queries()["b16_nearest_all"](spark, DATA).collect())) == whole
+    assert sorted(map(tuple, queries()["b16_nearest"](spark, DATA).collect())) == whole
 
 
 def test_every_link_is_inserted(spark):
     rows = spark.read.parquet(f"{DATA}/cross_references.parquet").collect()
-    found = queries()["k6_insert_missing_all"](spark, DATA).collect()
+    found = queries()["k6_insert_missing"](spark, DATA).collect()
     assert {tuple(r) for r in found} == {(r["edge_id"], r["votes"]) for r in rows}
     early = [r["edge_id"] for r in rows if r["loaded_at"].month < 4]
     assert len(found) == len(early) + len({r["edge_id"] for r in rows} - set(early))
@@ -84,4 +84,4 @@ def test_neighbours_of_every_document(spark):
             if at not in latest or (r["loaded_at"], -r["row_id"]) > (latest[at]["loaded_at"], -latest[at]["row_id"]):
                 latest[at] = r
     want = {r["row_id"] for (b, c, v), r in latest.items() if any(f"{b} {c}:{v + d}" in keys for d in (-1, 0, 1))}
-    assert {r["row_id"] for r in queries()["w4_neighbours_all"](spark, DATA).collect()} == want
+    assert {r["row_id"] for r in queries()["w4_neighbours"](spark, DATA).collect()} == want
