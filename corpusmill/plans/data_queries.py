@@ -10,6 +10,7 @@ from corpusmill.functions import questions as qu
 from corpusmill.functions import refs
 from corpusmill.functions import text as tx
 from corpusmill.functions.layers import greek_preview
+from corpusmill.functions import morphology as mo
 from corpusmill.functions.morphology import describe_morphology
 from corpusmill.operators import evaluate as ev
 from corpusmill.operators import graph as gr
@@ -92,13 +93,32 @@ def f16_book_dimension(t):
     return t("verses").select("row_id", refs.book_code(F.col("book")).alias("code"), refs.book_name(code).alias("name"), refs.book_ordinal(code).alias("ordinal"), refs.testament(code).alias("testament"))
 
 
-@query()
+ALIASES = "aliases(alias, code) AS (VALUES " + ", ".join(f"('{a}', '{c}')" for a, c in refs.book_aliases().items()) + ")"
+IN_TEXT = refs.IN_TEXT.replace("'", "''")
+
+
+@query(
+    f"""WITH {ALIASES}, f AS (SELECT doc_id, {", ".join(f"regexp_extract_all(text, '{IN_TEXT}', {g}) AS g{g}" for g in (1, 2, 3, 4))} FROM documents WHERE text IS NOT NULL),
+    r AS (SELECT doc_id, unnest(range(len(g1))) AS pos, unnest(g1) AS b, unnest(g2) AS c, unnest(g3)::INT AS v, try_cast(unnest(g4) AS INT) AS w FROM f),
+    k AS (SELECT doc_id, pos, code || ' ' || c::INT || ':' || unnest(range(v, greatest(v, coalesce(w, v)) + 1)) AS verse, unnest(range(v, greatest(v, coalesce(w, v)) + 1)) AS n FROM r JOIN aliases ON alias = upper(regexp_replace(b, '[\\s.]+', '', 'g'))),
+    o AS (SELECT doc_id, verse, min(struct_pack(p := pos, n := n)) AS first FROM k GROUP BY 1, 2) SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY first) - 1)::INT AS at, verse FROM o"""
+)
 def f14_references_in_text(t):
     rows = t("documents").select("doc_id", refs.references_in(F.col("text")).alias("found"))
     return rows.select("doc_id", F.posexplode(refs.reference_ids(F.col("found"))).alias("at", "verse"))
 
 
-@query()
+def _sql_map(values: dict[str, str]) -> str:
+    return "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in values.items()) + "}"
+
+
+MORPHOLOGY = f"""WITH c AS (SELECT m, count(*) AS n FROM gloss_words WHERE m IS NOT NULL GROUP BY 1), p AS (SELECT m, n, [x FOR x IN string_split(regexp_replace(trim(m), '^[HA]', ''), '/') IF x <> ''] AS parts FROM c)
+    SELECT m, n, nullif(array_to_string([x FOR x IN [CASE WHEN left(s, 1) = 'V' THEN array_to_string([y FOR y IN list_concat(['Verb', {_sql_map(mo.STEMS)}[s[2]], {_sql_map(mo.ASPECTS)}[s[3]]], [{_sql_map(mo.STATES | mo.NUMBERS | mo.GENDERS | mo.PERSONS)}[z] FOR z IN string_split(s[4:], '')]) IF y IS NOT NULL], ', ')
+    WHEN left(s, 1) IN ('N', 'A', 'P') THEN array_to_string([y FOR y IN list_concat([{_sql_map(mo.LABELS)}[s[1]]], [{_sql_map(mo.STATES | mo.NUMBERS | mo.GENDERS | {"c": "Common", "p": "Proper"})}[z] FOR z IN string_split(s[2:], '')]) IF y IS NOT NULL], ', ')
+    WHEN left(s, 1) = 'T' THEN CASE WHEN contains(s, 'd') THEN 'Definite Article' ELSE 'Particle' END ELSE {_sql_map(mo.PLAIN)}[s[1]] END FOR s IN parts] IF x IS NOT NULL], ' / '), '') AS said FROM p"""
+
+
+@query(MORPHOLOGY)
 def f24_morphology(t):
     return t("gloss_words").filter("m is not null").groupBy("m").agg(F.count("*").alias("n")).withColumn("said", describe_morphology(F.col("m")))
 
@@ -307,13 +327,28 @@ def w8_prefix_budget(t):
     return sq.prefix_budget(t("documents"), ["source"], ["doc_id"], "text", 1500).select("doc_id", "source", "tokens", "used")
 
 
-@query()
+#: An ordered fold: the first kept entry that the condition holds for takes the new one in, else it is kept itself.
+FOLD = """list_reduce(l, lambda x, y: CASE WHEN list_position([{met} FOR k IN x], true) IS NULL THEN list_concat(x, y) ELSE [CASE WHEN i = list_position([{met} FOR k IN x], true) THEN {joined} ELSE x[i] END FOR i IN range(1, len(x) + 1)] END)"""
+OVERLAP = "(len(list_intersect(k.ids, y[1].ids)) / greatest(1, len(list_distinct(k.ids)), len(list_distinct(y[1].ids)))::DOUBLE > 0.6)"
+
+
+@query(
+    f"""WITH p AS (SELECT split_part(anchor_verse, ':', 1) AS chapter, passage_id, verse_ids AS ids, len(verse_ids)::DOUBLE AS score FROM passage_windows WHERE anchor_verse IS NOT NULL),
+    g AS (SELECT chapter, list([struct_pack(ids := ids, score := score)] ORDER BY passage_id) AS l FROM p GROUP BY 1),
+    m AS (SELECT chapter, {FOLD.format(met=OVERLAP, joined="struct_pack(ids := CASE WHEN len(y[1].ids) > len(x[i].ids) THEN y[1].ids ELSE x[i].ids END, score := greatest(x[i].score, y[1].score))")} AS kept FROM g),
+    u AS (SELECT chapter, unnest(kept) AS k, unnest(range(len(kept))) AS pos FROM m) SELECT chapter, k.ids AS verse_ids, k.score AS score, row_number() OVER (PARTITION BY chapter ORDER BY k.score DESC, pos)::INT AS rank FROM u"""
+)
 def w9_merge_overlapping(t):
     rows = t("passage_windows").select(F.substring_index("anchor_verse", ":", 1).alias("chapter"), "passage_id", "verse_ids", F.size("verse_ids").cast("double").alias("score")).filter("chapter is not null")
     return sq.merge_overlapping(rows, "chapter", "passage_id", "verse_ids", "score")
 
 
-@query()
+@query(
+    f"""WITH p AS (SELECT upper(split_part(anchor_verse, ' ', 1)) AS book, split_part(split_part(anchor_verse, ' ', 2), ':', 1)::INT AS chapter, split_part(anchor_verse, ':', 2)::INT AS verse, anchor_verse AS who, verse_ids AS ids FROM passage_windows WHERE anchor_verse IS NOT NULL),
+    g AS (SELECT book, chapter, list([struct_pack(who := who, ids := ids)] ORDER BY verse) AS l FROM p GROUP BY 1, 2),
+    m AS (SELECT book, chapter, {FOLD.format(met=f"({OVERLAP} AND (list_contains(k.ids, y[1].who) OR list_contains(y[1].ids, k.who)))", joined="struct_pack(who := x[i].who, ids := list_concat(x[i].ids, [v FOR v IN y[1].ids IF NOT list_contains(x[i].ids, v)]))")} AS kept FROM g)
+    SELECT book, chapter, unnest(kept).ids AS verse_ids FROM m"""
+)
 def w10_merge_windows(t):
     at = refs.parse_verse(F.col("anchor_verse"))
     rows = t("passage_windows").select(at["book"].alias("book"), at["chapter"].alias("chapter"), at["verse"].alias("verse"), "anchor_verse", "verse_ids").filter("book is not null")

@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import answers as an
 from corpusmill.functions import refs
-from corpusmill.operators.lexical import build_index
 from corpusmill.operators.rules import rules_hit, tag_rows
 from corpusmill.plans.data_queries import BSB, TAGS
 from corpusmill.plans.fallback import fallback_retrieve
 from corpusmill.plans.pipeline import Corpus, cluster_signal, link_signal, retrieve, topic_signal, verse_corpus
 from corpusmill.plans.registry import query
+from corpusmill.plans.retrieval_queries import kept_index
 from corpusmill.session import cut_lineage
 
 ASKED = [
@@ -42,7 +42,7 @@ def _corpus(t) -> Corpus:
     others = verse_corpus(t("verses"), "KJV").select("book", "chapter", "verse", "text", "translation")
     guards = t.spark.createDataFrame(GUARDS, "rule int, keywords array<string>, items array<string>, excludes array<string>")
     lists = t.spark.createDataFrame(LISTS, "rule int, keywords array<string>, items array<string>, mode string")
-    return Corpus(verses, build_index(verses, "doc_id", "text", keep=True), links, signals, others, guards, lists)
+    return Corpus(verses, kept_index(t, "verses", verses.select("doc_id", "text"), "doc_id", "text"), links, signals, others, guards, lists)
 
 
 def _retrieved(t):

@@ -14,7 +14,7 @@ ORACLES: dict[str, str] = {}
 
 
 def query(sql: str | None = None) -> Callable[[Callable[..., DataFrame]], Query]:
-    """Registers ``f(t)`` under its own name, where ``t(name)`` reads a table and ``t.spark`` is the session."""
+    """Registers ``f(t)`` under its own name, where ``t(name)`` reads a table, ``t.path(name)`` is its path and ``t.spark`` the session."""
 
     def wrap(f: Callable[..., DataFrame]) -> Query:
         def run(spark: SparkSession, directory: str) -> DataFrame:
@@ -22,6 +22,7 @@ def query(sql: str | None = None) -> Callable[[Callable[..., DataFrame]], Query]
                 return table(spark, directory, name)
 
             read.spark = spark
+            read.path = lambda name: f"{directory}/{name}.parquet"
             return f(read)
 
         run.__name__ = f.__name__
