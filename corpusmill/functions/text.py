@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Words that carry no meaning of their own in a fallback search.
@@ -223,3 +223,19 @@ def client_address(*headers: Column) -> Column:
 def cache_key(*parts: Column) -> Column:
     """The SHA-256 of fields joined by NUL; null fields count as empty."""
     return F.sha2(F.concat_ws("\0", *[F.coalesce(p, F.lit("")) for p in parts]), 256)
+
+
+def hashed_vectors(rows: DataFrame, item: str, text: str, size: int = 384) -> DataFrame:
+    """(item, vector): a vector of counts of hashed words with signs, where no embedding model is at hand.
+
+    A word adds one, or takes one away, at a place that its digest names, so equal texts have equal vectors and texts
+    with the same words similar ones. A text without a word gets no row.
+    """
+    words = rows.select(F.col(item).alias("item"), F.explode(tokens(F.col(text))).alias("word"))
+    digest = F.md5("word")
+    place = F.conv(F.substring(digest, 1, 4), 16, 10).cast("int") % size
+    sign = F.when(F.conv(F.substring(digest, 5, 1), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1)
+    sums = words.groupBy("item", place.alias("at")).agg(F.sum(sign).cast("double").alias("value"))
+    cells = sums.groupBy("item").agg(F.map_from_entries(F.collect_list(F.struct("at", "value"))).alias("cells"))  # at most ``size`` a row
+    vector = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("cells", i), F.lit(0.0)))
+    return cells.select(F.col("item").alias(item), vector.alias("vector"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusmill.plans import data_queries, pipeline_queries, retrieval_queries, source_queries  # noqa: F401
+from corpusmill.plans import data_queries, pipeline_queries, retrieval_queries, source_queries, stream_queries  # noqa: F401
 from corpusmill.plans.registry import ORACLES, QUERIES
 
 

@@ -28,12 +28,15 @@ def first_existing(paths: list[str]) -> str | None:
     return None
 
 
-def json_table(spark: SparkSession, paths: list[str], schema: T.StructType) -> DataFrame:
-    """A JSON table from the first existing path, plain, gzip or any codec Hadoop knows; empty if there is none."""
+def json_table(spark: SparkSession, paths: list[str], schema: T.StructType, lines: bool = False) -> DataFrame:
+    """A JSON table from the first existing path, plain, gzip or any codec Hadoop knows; empty if there is none.
+
+    Files hold one document each, or with ``lines`` one a line.
+    """
     path = first_existing(paths)
     if path is None:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).json(path, multiLine=True)
+    return spark.read.schema(schema).json(path, multiLine=not lines)
 
 
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
