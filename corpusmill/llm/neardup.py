@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from corpusmill.session import cut_lineage, spread
 
 #: A word of more texts than this makes shards only together with a second word.
-COMMON_TEXTS = 512
+COMMON_TEXTS = 128
 #: Words of the fingerprint, 64 bits each.
 FOLD = 4
 #: Rows of a shard's block. A larger shard is split into blocks that meet pairwise.

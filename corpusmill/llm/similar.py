@@ -43,6 +43,7 @@ class ListIndexConfig:
     graph_degree: int = 16
     beam: int = 10
     block_rows: int = 20_000
+    cells_a_task: int = 4
     seed: int = 7
 
 
@@ -487,8 +488,13 @@ def similar_vectors(rows: DataFrame, k: int = 5, least: float | None = None, con
     """
     config = config or ListIndexConfig()
     own = rows.select(F.col("id").cast("string").alias("id"), "embedding").filter(F.col("id").isNotNull())
-    index = own.sparkSession.sparkContext.broadcast(build_index(own, config))
+    spark = own.sparkSession
+    made = build_index(own, config)
+    index = spark.sparkContext.broadcast(made)
+    cells = sum(int((i.blocks * i.parts).sum()) for i in made.values())
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-cells // config.cells_a_task))
     spread = own.mapInArrow(_postings(lambda: index.value, config, k + 1), "dim int, list int, block int, part int, id string, code binary, posted boolean, visits boolean")
+    spread = spread.repartition(tasks, "dim", "list", "block", "part")
     found = spread.groupBy("dim", "list", "block", "part").applyInArrow(_neighbours(k, least), "id string, found array<struct<far:double,other:string>>")
     best = found.groupBy("id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, k).alias("best"))
     out = best.select("id", F.posexplode("best").alias("at", "hit"))
