@@ -4,8 +4,10 @@ Sizes are whole tokens up to the capacity, so a collection of any length is a hi
 Bin completion works on the histogram: the largest size left is completed by the filling with the least waste, found by
 branch and bound over fillings with larger items first (a filling is skipped when one with larger items at the same
 places was tried, which dominates it), with the best-fit filling as incumbent. The filling is used as often as the
-counts allow. Further passes deviate from the first choice at the costliest fillings while the lower bound leaves room;
-the packing with the fewest containers stays. Items are then handed out by their rank within their size.
+counts allow. Since perfect fillings use up small items that later containers need, the whole packing is searched too:
+passes that accept the incumbent filling from some waste on, and passes that take another filling at the costliest
+places of the best packing so far. A pass is left as soon as its waste rules out a packing with fewer containers, and
+all end when the lower bound is met. Items are then handed out by their rank within their size.
 """
 
 from __future__ import annotations
@@ -19,9 +21,11 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.tokens import rank_within
 
-#: Nodes of one filling's search, and passes over the whole histogram.
+#: Nodes of one filling's search, and passes over the whole histogram that take another filling somewhere.
 NODES = 600
-PASSES = 4
+PASSES = 32
+#: Tokens of waste from which on a pass takes the incumbent filling without a search.
+ACCEPTED = (0, 1, 2, 3, 5, 8, 13, 21)
 
 Run = tuple[int, dict[int, int]]
 
@@ -50,10 +54,11 @@ def dominated(use: dict[int, int], left: int, counts: dict[int, int], open_sizes
     return bool((several | more) & open_sizes)
 
 
-def fillings(sizes: list[int], counts: dict[int, int], room: int, nodes: int = NODES) -> list[tuple[int, dict[int, int]]]:
+def fillings(sizes: list[int], counts: dict[int, int], room: int, nodes: int = NODES, accepted: int = 0) -> list[tuple[int, dict[int, int]]]:
     """The best undominated fillings of ``room``, least waste first: (waste, size to number); at most four.
 
-    A branch is left when all items it may still use would leave more waste than the best filling has.
+    A branch is left when all items it may still use would leave more waste than the best filling has. The best-fit
+    filling is returned alone if it wastes at most ``accepted``.
     """
     greedy: dict[int, int] = {}
     left, at = room, bisect_right(sizes, room) - 1
@@ -65,7 +70,7 @@ def fillings(sizes: list[int], counts: dict[int, int], room: int, nodes: int = N
         at = min(at - 1, bisect_right(sizes, left) - 1)
     found = [(left, greedy)]
     best, spent = left, 0
-    if best == 0 or not sizes:
+    if best <= accepted or not sizes:
         return found
     upto, total = [], 0  # tokens of all items up to each size, as far as they matter
     for size in sizes:
@@ -107,8 +112,8 @@ def fillings(sizes: list[int], counts: dict[int, int], room: int, nodes: int = N
     return found[:4]
 
 
-def complete_bins(histogram: dict[int, int], capacity: int, deviate_at: int = -1, allowed: int | None = None) -> list[Run] | None:
-    """Runs (times, filling) that use up the histogram; at the run ``deviate_at`` the second-best filling is taken.
+def complete_bins(histogram: dict[int, int], capacity: int, deviate_at: int = -1, allowed: int | None = None, accepted: int = 0) -> list[Run] | None:
+    """Runs (times, filling) that use up the histogram; at the run ``deviate_at`` another filling than the first is taken.
 
     None once more than ``allowed`` tokens of room are wasted.
     """
@@ -121,8 +126,11 @@ def complete_bins(histogram: dict[int, int], capacity: int, deviate_at: int = -1
         counts[top] -= 1
         if not counts[top]:
             sizes.pop()
-        options = fillings(sizes, counts, capacity - top)
-        _, chosen = options[1 if len(runs) == deviate_at and len(options) > 1 else 0]
+        if len(runs) == deviate_at:
+            options = fillings(sizes, counts, capacity - top)
+            _, chosen = options[1 if len(options) > 1 else 0]
+        else:
+            _, chosen = fillings(sizes, counts, capacity - top, NODES, accepted)[0]
         counts[top] += 1
         if counts[top] == 1:
             sizes.append(top)
@@ -172,17 +180,25 @@ def plan_packing(histogram: dict[int, int], capacity: int) -> list[Run]:
         return []
     tokens = sum(s * n for s, n in histogram.items())
     bound = -(-tokens // capacity)
-    best = complete_bins(histogram, capacity)
-    rival = best_fit_decreasing(histogram, capacity)
-    best = rival if containers(rival) < containers(best) else best
-    for i in range(PASSES - 1):
-        if containers(best) <= bound:
+    best, accepted = best_fit_decreasing(histogram, capacity), ACCEPTED[0]
+
+    def fewer(deviate_at: int, accept: int) -> list[Run] | None:
+        return complete_bins(histogram, capacity, deviate_at, (containers(best) - 1) * capacity - tokens, accept)  # within the waste of one container less
+
+    for accept in ACCEPTED:
+        while containers(best) > bound and (again := fewer(-1, accept)) is not None:
+            best, accepted = again, accept
+    tried = 0
+    while containers(best) > bound and tried < PASSES:
+        waste = np.array([times * (capacity - sum(s * n for s, n in use.items())) for times, use in best[:-1]])
+        for at in np.argsort(-waste, kind="stable")[: PASSES - tried]:
+            tried += 1
+            again = fewer(int(at), accepted)
+            if again is not None:
+                best = again
+                break
+        else:
             break
-        waste = [times * (capacity - sum(s * n for s, n in use.items())) for times, use in best[:-1]]
-        if not waste:
-            break
-        again = complete_bins(histogram, capacity, int(np.argsort(waste)[::-1][min(i, len(waste) - 1)]), (containers(best) - 1) * capacity - tokens)
-        best = best if again is None else again  # within the waste of one container less
     return best
 
 

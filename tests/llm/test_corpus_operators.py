@@ -203,7 +203,7 @@ def test_packing_searches_histograms_of_any_size(monkeypatch):
     monkeypatch.setattr(packing, "complete_bins", lambda *a: tried.append(a) or real(*a))
     runs = packing.plan_packing(histogram, 2_048)
     bound = -(-sum(s * n for s, n in histogram.items()) // 2_048)
-    assert len(tried) == packing.PASSES or packing.containers(runs) == bound
+    assert len(tried) >= len(packing.ACCEPTED) or packing.containers(runs) == bound
     left = dict(histogram)
     for times, use in runs:
         assert sum(s * n for s, n in use.items()) <= 2_048
