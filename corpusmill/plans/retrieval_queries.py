@@ -9,14 +9,16 @@ from corpusmill.functions.text import coverage, dot, fallback_tokens, phrase_tex
 from corpusmill.operators import evaluate as ev
 from corpusmill.operators import fusion as fu
 from corpusmill.operators.lexical import Index, build_index, load_index, save_index, search
+from corpusmill.operators.ranking import place_in_parts
 from corpusmill.operators.rules import detect_topics
 from corpusmill.operators.vectors import LexicalStore, nearest
 from corpusmill.plans.registry import query
 from corpusmill.session import scratch
 
-#: A fixed batch of questions; the fourth repeats a word, the fifth is a phrase of more than five characters.
+#: Some fixed questions, before one for the label of every cluster; the fourth repeats a word, the fifth is a phrase of more than five characters.
 QUESTIONS = [(1, "faithful covenant of the king"), (2, "the shepherd and the river"), (3, "wisdom"), (4, "king king bread"), (5, "see v. 24"), (6, "zzz nothing here"), (7, "el rey y el pan"), (8, "eternal judgment, remnant & promise!")]
-ASKED = "asked(query_id, text) AS (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in QUESTIONS) + ")"
+FIRST_LABEL = 101
+ASKED = "asked(query_id, text) AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in QUESTIONS) + f") UNION ALL SELECT (row_number() OVER (ORDER BY cluster_id) + {FIRST_LABEL - 1})::INT, cluster_label FROM tsk_clusters)"
 TOKENS = "[x FOR x IN string_split_regex(regexp_replace(lower({0}), '[^\\w\\s]', ' ', 'g'), '\\s+') IF x <> '']"
 INDEX = f"""
     toks AS (SELECT doc_id, unnest({TOKENS.format("text")}) AS term FROM documents WHERE text IS NOT NULL),
@@ -43,7 +45,9 @@ NORM = f"""{BOOSTED},
 
 
 def _asked(t) -> DataFrame:
-    return t.spark.createDataFrame(QUESTIONS, "query_id int, text string")
+    """The fixed questions, and every cluster's label under its place by id."""
+    labels = place_in_parts(t("tsk_clusters").select("cluster_id", F.col("cluster_label").alias("text"), F.lit(0).alias("all")), ["all"], [(F.substring("cluster_id", 1, 12), False)], [F.col("cluster_id")])
+    return t.spark.createDataFrame(QUESTIONS, "query_id int, text string").unionByName(labels.select((F.col("place") + FIRST_LABEL - 1).cast("int").alias("query_id"), "text"))
 
 
 def _docs(t) -> DataFrame:
@@ -85,7 +89,8 @@ def _vectors(t) -> DataFrame:
 
 def _question_vectors(t) -> DataFrame:
     """Each question's vector is the one of its number."""
-    return t("embeddings").filter(F.col("vec_id").isin([i for i, _ in QUESTIONS])).select(F.col("vec_id").cast("int").alias("query_id"), F.col("embedding").alias("query_vector"))
+    rows = t("embeddings").select("vec_id", F.col("embedding").alias("query_vector"))
+    return _asked(t).select("query_id").join(rows, F.col("query_id") == F.col("vec_id")).select("query_id", "query_vector")
 
 
 @query(f"SELECT doc_id, len(t)::INT AS n_tokens, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {TOKENS.format('text')} AS t FROM documents WHERE text IS NOT NULL)")
@@ -230,7 +235,7 @@ def g17_ranking_metrics(t):
     s AS (SELECT *, sum(norm) OVER (PARTITION BY query_id) AS total FROM norm),
     e AS (SELECT query_id, count(*) AS n, max(CASE WHEN rank = 1 THEN norm END) AS top1, arg_max(norm, CASE WHEN rank <= 5 THEN rank END) AS fifth,
           coalesce(sum(CASE WHEN total > 0 AND norm > 0 THEN -(norm / total) * log2(norm / total) END), 0) AS bits FROM s GROUP BY 1)
-    SELECT query_id, n, round(top1, 5) AS top1, round(top1 - fifth, 5) AS lead5, round(CASE WHEN n > 1 THEN bits / log2(greatest(n, 2)) ELSE 0 END, 5) AS entropy FROM e"""
+    SELECT query_id, n, round(round(top1, 6), 5) AS top1, round(round(top1 - fifth, 6), 5) AS lead5, round(round(CASE WHEN n > 1 THEN bits / log2(greatest(n, 2)) ELSE 0 END, 6), 5) AS entropy FROM e"""
 )
 def g10_diagnostics(t):
     norm = fu.min_max(_top(t)).select("query_id", "doc_id", F.col("norm").alias("score"), "rank")
