@@ -123,9 +123,42 @@ def f24_morphology(t):
     return t("gloss_words").filter("m is not null").groupBy("m").agg(F.count("*").alias("n")).withColumn("said", describe_morphology(F.col("m")))
 
 
-@query()
+def _sql_has(text: str, keyword: str) -> str:
+    return f"contains({text}, '{keyword}')" if " " in keyword else f"regexp_matches({text}, '\\b{keyword}\\b')"
+
+
+def _sql_list(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]::VARCHAR[]"
+
+
+def _sql_additions(domain: str) -> str:
+    """The terms of the first rule of a domain whose trigger is in the question, at most two."""
+    return "CASE " + " ".join(f"WHEN {_sql_has('low', t)} THEN {_sql_list(added[:2])}" for t, added in qu.EXPANSIONS[domain]) + " ELSE [] END"
+
+
+def _sql_without_phrases() -> str:
+    out = "low"
+    for phrase in qu.PHRASES:
+        out = f"replace({out}, '{phrase}', ' ')"
+    return out
+
+
+UNDERSTOOD = f"""WITH q AS (SELECT cluster_id, trim(regexp_replace(regexp_replace('What does the Bible say about ' || cluster_label || '?', '(?i)^(?:{"|".join(qu.FILLERS)})\\b[\\s,:-]*', ''), '\\s+', ' ', 'g')) AS normalized FROM tsk_clusters WHERE cluster_label IS NOT NULL),
+    d AS (SELECT *, lower(normalized) AS low, CASE {" ".join("WHEN " + " OR ".join(_sql_has("lower(normalized)", k) for k in words) + f" THEN '{name}'" for name, words in qu.DOMAINS)} ELSE 'general' END AS domain FROM q),
+    p AS (SELECT *, [x FOR x IN {_sql_list(qu.PHRASES)} IF contains(low, x)] AS phrases FROM d),
+    w AS (SELECT *, [x FOR x IN string_split_regex(regexp_replace({_sql_without_phrases()}, '[^a-z0-9_:\\- ]', ' ', 'g'), '\\s+') IF x <> '' AND NOT list_contains({_sql_list(qu.LOW_VALUE)}, x)] AS words FROM p),
+    c AS (SELECT *, array_to_string([words[i] FOR i IN range(1, len(words) + 1) IF list_position(words, words[i]) = i], ' ') AS cleaned, ['"' || x || '"' FOR x IN phrases] AS quoted FROM w),
+    b AS (SELECT *, list_concat([CASE WHEN cleaned <> '' THEN cleaned WHEN len(phrases) > 0 THEN array_to_string(quoted, ' ') ELSE normalized END], quoted,
+        [x FOR x IN CASE domain {" ".join(f"WHEN '{name}' THEN {_sql_additions(name)}" for name in qu.EXPANSIONS)} ELSE [] END IF NOT contains(low, lower(x))]) AS parts FROM c),
+    e AS (SELECT *, array_to_string([parts[i] FOR i IN range(1, len(parts) + 1) IF list_position(parts, parts[i]) = i], ' ') AS expanded FROM b),
+    s AS (SELECT *, flatten([list_concat([x], coalesce({"MAP {" + ", ".join(f"'{k}': {_sql_list(v[:2])}" for k, v in qu.SYNONYMS.items()) + "}"}[x], [])) FOR x IN string_split_regex(lower(expanded), '\\s+')]) AS found FROM e),
+    f AS (SELECT *, list_concat(found, {", ".join(f"CASE WHEN contains(lower(expanded), '{phrase}') AND NOT list_contains(found, '{mark}') THEN {_sql_list(added[:2])} ELSE [] END" for phrase, added, mark in qu.PHRASE_SYNONYMS)}) AS every FROM s)
+    SELECT cluster_id, domain, 'TOPICAL_QUERY' AS intent, normalized, expanded, array_to_string([every[i] FOR i IN range(1, len(every) + 1) IF list_position(every, every[i]) = i], ' ') AS searched FROM f"""
+
+
+@query(UNDERSTOOD)
 def f13_understand(t):
-    asked = t("tsk_clusters").select("cluster_id", F.concat(F.lit("What does the Bible say about "), "cluster_label", F.lit("?")).alias("question"))
+    asked = t("tsk_clusters").filter("cluster_label is not null").select("cluster_id", F.concat(F.lit("What does the Bible say about "), "cluster_label", F.lit("?")).alias("question"))
     return qu.understand(asked, "question").select("cluster_id", "domain", "intent", "normalized", "expanded", qu.add_synonyms(F.col("expanded"), F.size("negations") > 0, 2).alias("searched"))
 
 

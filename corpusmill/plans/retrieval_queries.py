@@ -235,11 +235,11 @@ def g17_ranking_metrics(t):
     s AS (SELECT *, sum(norm) OVER (PARTITION BY query_id) AS total FROM norm),
     e AS (SELECT query_id, count(*) AS n, max(CASE WHEN rank = 1 THEN norm END) AS top1, arg_max(norm, CASE WHEN rank <= 5 THEN rank END) AS fifth,
           coalesce(sum(CASE WHEN total > 0 AND norm > 0 THEN -(norm / total) * log2(norm / total) END), 0) AS bits FROM s GROUP BY 1)
-    SELECT query_id, n, round(round(top1, 6), 5) AS top1, round(round(top1 - fifth, 6), 5) AS lead5, round(round(CASE WHEN n > 1 THEN bits / log2(greatest(n, 2)) ELSE 0 END, 6), 5) AS entropy FROM e"""
+    SELECT query_id, n, round(top1, 6) AS top1, round(top1 - fifth, 6) AS lead5, round(CASE WHEN n > 1 THEN bits / log2(greatest(n, 2)) ELSE 0 END, 6) AS entropy FROM e"""
 )
 def g10_diagnostics(t):
     norm = fu.min_max(_top(t)).select("query_id", "doc_id", F.col("norm").alias("score"), "rank")
-    return fu.diagnostics(norm).select("query_id", "n", *[F.round(c, 5).alias(c) for c in ("top1", "lead5", "entropy")])
+    return fu.diagnostics(norm)
 
 
 @query(f"WITH {ASKED}, {NORM}, m AS (SELECT query_id, avg(norm) AS m FROM norm WHERE rank <= 5 GROUP BY 1) SELECT a.query_id, coalesce(m, 0) < 0.75 AS low FROM asked a LEFT JOIN m USING (query_id)")

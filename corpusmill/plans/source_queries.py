@@ -10,6 +10,7 @@ from corpusmill.functions import citations as ci
 from corpusmill.functions import editions as ed
 from corpusmill.functions import refs
 from corpusmill.functions import text as tx
+from corpusmill.functions.layers import hebrew_preview
 from corpusmill.operators import layers as la
 from corpusmill.operators import lookup as lo
 from corpusmill.operators import rules as ru
@@ -18,7 +19,7 @@ from corpusmill.operators import traces as tr
 from corpusmill.operators.lexical import build_index, load_index, save_index, search
 from corpusmill.plans.data_queries import BSB, LATEST, _bsb, _latest
 from corpusmill.plans.registry import query
-from corpusmill.plans.retrieval_queries import ASKED, INDEX, _asked, _docs
+from corpusmill.plans.retrieval_queries import ASKED, BOOSTED, INDEX, _asked, _docs, kept_index
 from corpusmill.session import scratch
 from corpusmill.sources import readers as rd
 from corpusmill.sources import tables as tb
@@ -448,6 +449,80 @@ def f30_whitelists(t):
     return t("documents").filter("primary_ref is not null").select("doc_id", ci.whitelist(F.array("primary_ref", "primary_ref", F.lit(" "))).alias("allowed"))
 
 
+# ---------------------------------------------------------------- nested values, orders, ranges
+
+
+@query("WITH t AS (SELECT row_id, unnest([x FOR x IN string_split_regex(regexp_replace(lower(text), '[^\\w\\s]', ' ', 'g'), '\\s+') IF x <> '']) AS term FROM verses WHERE text IS NOT NULL) SELECT row_id, term, count(*) AS n FROM t GROUP BY 1, 2")
+def a3_map_entries(t):
+    """Word counts of every verse as a map, and its entries as rows again."""
+    words = t("verses").filter("text is not null").select("row_id", F.explode(tx.tokens(F.col("text"))).alias("term")).groupBy("row_id", "term").agg(F.count("*").alias("n"))
+    maps = words.groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "n"))).alias("counts"))
+    return maps.select("row_id", F.explode(F.map_entries("counts")).alias("e")).select("row_id", F.col("e.key").alias("term"), F.col("e.value").alias("n"))
+
+
+@query(f"WITH {BSB} SELECT doc_id, b.text FROM documents LEFT JOIN bsb b ON upper(split_part(primary_ref, ' ', 1)) = b.book AND split_part(split_part(primary_ref, ' ', 2), ':', 1)::INT = b.chapter AND split_part(primary_ref, ':', 2)::INT = b.verse")
+def a4_nested_lookups(t):
+    """The verse that a document discusses, looked up in its book's map of chapters and verses where there is one."""
+    chapters = _bsb(t).groupBy("book", "chapter").agg(F.map_from_entries(F.collect_list(F.struct("verse", "text"))).alias("verses"))
+    books = chapters.groupBy("book").agg(F.map_from_entries(F.collect_list(F.struct("chapter", "verses"))).alias("chapters"))
+    at = refs.parse_verse(F.col("primary_ref"))
+    rows = t("documents").select("doc_id", at.alias("at")).withColumn("book", F.col("at")["book"]).join(books, "book", "left")
+    return rows.select("doc_id", F.try_element_at(F.try_element_at("chapters", F.col("at")["chapter"]), F.col("at")["verse"]).alias("text"))
+
+
+@query("SELECT passage_id, verse_ids, len(embedding)::INT AS size FROM passage_windows")
+def n1_json_round_trip(t):
+    kind = "struct<verse_ids array<string>, embedding array<float>>"
+    text = t("passage_windows").select("passage_id", F.to_json(F.struct("verse_ids", "embedding"), {"ignoreNullFields": "false"}).alias("body"))
+    back = text.select("passage_id", F.from_json("body", kind, {"allowNonNumericNumbers": "true"}).alias("b"))
+    return back.select("passage_id", "b.verse_ids", F.when(F.col("b.embedding").isNotNull(), F.size("b.embedding")).alias("size"))
+
+
+@query(f"WITH {CHAPTER_RANGES} SELECT passage_id, book || ' ' || chapter || ':' || x AS source, book || ' ' || chapter || ':' || y AS target, hi AS votes FROM k, unnest(range(lo, hi + 1)) AS a(x), unnest(range(lo, hi + 1)) AS b(y)")
+def s9_ranges(t):
+    """Lines with a range on both sides give every pair: S9, U7, R1, F17."""
+    r = _ranges(t)
+    dotted = F.concat("book", F.lit("."), "chapter", F.lit("."), "first", F.lit("-"), "book", F.lit("."), "chapter", F.lit("."), "last")
+    lines = r.select("key_id", F.concat(dotted, F.lit("\t"), dotted, F.lit("\t"), "last", F.lit("x")).alias("value"))
+    parsed = rd.cross_reference_lines(lines.select("value").distinct())
+    ends = parsed.join(r.select("key_id", "book", "chapter", F.col("first").alias("lo"), F.col("last").alias("hi")), (F.split_part("source", F.lit(" "), F.lit(1)) == F.col("book")) & (F.split_part(F.split_part("source", F.lit(" "), F.lit(2)), F.lit(":"), F.lit(1)).cast("int") == F.col("chapter")) & (F.col("votes") == F.col("hi")))
+    verse = [F.split_part(c, F.lit(":"), F.lit(2)).cast("int") for c in ("source", "target")]
+    return ends.filter(verse[0].between(F.col("lo"), F.col("hi")) & verse[1].between(F.col("lo"), F.col("hi"))).select(F.col("key_id").alias("passage_id"), "source", "target", "votes").distinct()
+
+
+@query("SELECT doc_id, source = 'hymn' AS direct, row_number() OVER (PARTITION BY lang ORDER BY coalesce(source = 'hymn', false) DESC, translate(primary_ref, ':', '.'), doc_id)::INT AS place FROM documents WHERE primary_ref IS NOT NULL")
+def t4_direct_first(t):
+    """Direct hits first, then references in the order in which they are listed: T3, T4, P15."""
+    by = Window.partitionBy("lang").orderBy(F.coalesce(F.col("source") == "hymn", F.lit(False)).desc(), refs.locale_key(F.col("primary_ref")), "doc_id")
+    return t("documents").filter("primary_ref is not null").select("doc_id", (F.col("source") == "hymn").alias("direct"), F.row_number().over(by).alias("place"))
+
+
+@query(f"WITH {BSB} SELECT doc_id FROM documents WHERE primary_ref IN (SELECT book || ' ' || chapter || ':' || verse FROM bsb)")
+def j22_prompt_members(t):
+    return t("documents").select("doc_id", F.col("primary_ref").alias("ref")).join(_keyed(_bsb(t)).select("ref"), "ref", "left_semi").select("doc_id")
+
+
+@query(f"WITH {ASKED}, {BOOSTED} SELECT query_id, doc_id, rank::INT AS rank, md5(text) AS digest FROM top JOIN documents USING (doc_id)")
+def b18_lexical_fallback(t):
+    """The best 25 of the lexical search with their texts."""
+    found = search(kept_index(t, "documents", _docs(t), "doc_id", "text"), _asked(t), "query_id", "text", 25, _docs(t))
+    return lo.fetch(found, _docs(t), ["doc_id"]).select("query_id", "doc_id", "rank", F.md5("text").alias("digest"))
+
+
+@query(
+    """WITH v AS (SELECT book, chapter, verse, list(c ORDER BY word_id) FILTER (c <> '') AS cs, list(word_pos ORDER BY word_id) FILTER (md = 'particle') AS ps, list(w || '=' || g ORDER BY word_id) FILTER (length(g) > 2 AND w IS NOT NULL) AS gs FROM gloss_words GROUP BY 1, 2, 3)
+    SELECT book, chapter, verse, concat_ws(' | ', CASE WHEN len(cs) > 0 THEN 'Clauses: ' || array_to_string([cs[i] FOR i IN range(1, len(cs) + 1) IF list_position(cs, cs[i]) = i], ', ') END, CASE WHEN len(ps) > 0 THEN 'Paragraph break at word(s) ' || array_to_string(ps, ', ') END,
+    CASE WHEN len(gs) > 0 THEN 'Glosses: ' || array_to_string(gs[1:3], '; ') END) AS preview FROM v"""
+)
+def f21_hebrew_preview(t):
+    rows = t("gloss_words").groupBy("book", "chapter", "verse").agg(F.array_sort(F.collect_list(F.struct("word_id", "word_pos", "w", "c", "md", "g"))).alias("l"))
+    words = F.transform("l", lambda x: F.struct(x["w"].alias("w"), x["c"].alias("c")))
+    breaks = F.transform(F.filter("l", lambda x: x["md"] == "particle"), lambda x: x["word_pos"])
+    gloss = F.transform(F.filter("l", lambda x: x["w"].isNotNull()), lambda x: F.struct(x["w"].alias("w"), x["g"].alias("g")))
+    none = F.lit(None).cast("array<int>")
+    return rows.select("book", "chapter", "verse", hebrew_preview(words, breaks, none, none, gloss).alias("preview"))
+
+
 # ---------------------------------------------------------------- sequences and rules
 
 
