@@ -30,6 +30,9 @@ from corpusmill.session import cut_lineage, spread
 COMMON_TEXTS = 128
 #: Words of the fingerprint, 64 bits each.
 FOLD = 4
+_FOLDS = ", ".join(f"f{k} long" for k in range(FOLD))
+#: Words whose counts every task holds, 16 bytes each.
+WORDS_HELD = 1 << 20
 #: Rows of a shard's block. A larger shard is split into blocks that meet pairwise.
 BLOCK_ROWS = 4_096
 #: Rows of a tree's leaf, compared directly.
@@ -61,18 +64,63 @@ def _least_shared(size: Column, threshold: float) -> Column:
     return F.ceil(size * threshold - 1e-9).cast("int")
 
 
+def word_counts(classes: DataFrame) -> DataFrame:
+    """(w, n): the exact number of classes that have each word, words of one class alone left out."""
+    return classes.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n")).filter("n > 1")
+
+
 def ordered_words(classes: DataFrame, threshold: float) -> DataFrame:
-    """(class_id, size, start, rare): the rarest words of each set, array<struct<n, w>> by the number of texts n.
+    """(class_id, size, start, rare, f0...): the rarest words of each set, array<struct<n, w>> by the number of texts n,
+    and its fingerprint.
 
-    Words are counted exactly, over all classes. Words of one text alone join nothing and are left out; ``start`` says
-    how many they are, since they hold the first places. One word more is kept than a shard by single words needs.
+    Words of one text alone join nothing and are left out; ``start`` says how many they are, since they hold the first
+    places. One word more is kept than a shard by single words needs. A vocabulary of at most ``WORDS_HELD`` words is
+    sent to all tasks, which order their sets as they are; a larger one is joined. Both give the same rows.
     """
+    counts = cut_lineage(word_counts(classes))
+    if counts.limit(WORDS_HELD + 1).count() <= WORDS_HELD:
+        held = counts.orderBy("w").toArrow()
+        sent = classes.sparkSession.sparkContext.broadcast((np.asarray(held.column("w")), np.asarray(held.column("n"))))
+        return classes.select("class_id", "words").mapInArrow(_ordered(lambda: sent.value, threshold), f"class_id long, size int, start int, rare array<struct<n:long,w:long>>, {_FOLDS}").filter(F.size("rare") > 0)
+    return joined_order(classes, counts, threshold)
+
+
+def joined_order(classes: DataFrame, counts: DataFrame, threshold: float) -> DataFrame:
+    """``ordered_words`` by a join of every word with its count."""
     each = classes.select("class_id", F.size("words").alias("size"), F.explode("words").alias("w"))
-    counts = each.groupBy("w").agg(F.count("*").alias("n")).filter("n > 1")
     kept = each.join(counts, "w").groupBy("class_id", "size").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("rare"))
     start = F.col("size") - F.size("rare")
     reach = F.col("size") - _least_shared(F.col("size"), threshold) + 2 - start
-    return kept.select("class_id", "size", start.alias("start"), F.slice("rare", F.lit(1), F.greatest(F.lit(0), reach)).alias("rare")).filter(F.size("rare") > 0)
+    rows = kept.select("class_id", "size", start.alias("start"), F.slice("rare", F.lit(1), F.greatest(F.lit(0), reach)).alias("rare")).filter(F.size("rare") > 0)
+    return rows.join(classes.select("class_id", "words").mapInArrow(_prints, f"class_id long, {_FOLDS}"), "class_id")
+
+
+def _ordered(counts_value, threshold: float):
+    """A mapper from (class_id, words) to the rows of ``ordered_words``; ``counts_value`` gives words, sorted, and counts."""
+
+    def run(batches):
+        known, often = counts_value()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            column = batch.column("words")
+            size = np.asarray(column.value_lengths(), dtype=np.int64)
+            offsets = np.concatenate([[0], np.cumsum(size)])
+            flat = np.asarray(column.flatten(), dtype=np.int64)
+            at = np.searchsorted(known, flat) if len(known) else np.zeros(len(flat), dtype=np.int64)
+            n = np.where(known[np.minimum(at, len(known) - 1)] == flat, often[np.minimum(at, len(known) - 1)], 1) if len(known) else np.ones(len(flat), dtype=np.int64)
+            row = np.repeat(np.arange(batch.num_rows), size)
+            order = np.lexsort((flat, n, row))
+            alone = np.bincount(row[n == 1], minlength=batch.num_rows)
+            place = np.arange(len(flat)) - np.repeat(offsets[:-1], size)
+            reach = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 2
+            kept = order[(place >= alone[row]) & (place < reach[row])]
+            ends = np.concatenate([[0], np.cumsum(np.bincount(row[kept], minlength=batch.num_rows))]).astype(np.int32)
+            items = pa.StructArray.from_arrays([pa.array(n[kept]), pa.array(flat[kept])], ["n", "w"])
+            prints = fingerprints(flat, offsets).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("class_id"), pa.array(size.astype(np.int32)), pa.array(alone.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), items), *(pa.array(prints[:, k]) for k in range(FOLD))], ["class_id", "size", "start", "rare", *(f"f{k}" for k in range(FOLD))])
+
+    return run
 
 
 def shard_keys(ordered: DataFrame, threshold: float, *further: str) -> DataFrame:
@@ -250,8 +298,7 @@ def _candidates(threshold: float):
 def class_links(classes: DataFrame, threshold: float) -> DataFrame:
     """(a, b, similarity): all pairs of classes, a < b, whose word sets reach the threshold."""
     folds = [f"f{k}" for k in range(FOLD)]
-    prints = classes.select("class_id", "words").mapInArrow(_prints, "class_id long, " + ", ".join(f"{f} long" for f in folds))
-    ordered = cut_lineage(ordered_words(classes, threshold).join(prints, "class_id"))
+    ordered = cut_lineage(ordered_words(classes, threshold))
     large = shard_keys(ordered, threshold).filter("counted").groupBy("shard").agg(F.count("*").alias("rows")).filter(F.col("rows") > BLOCK_ROWS)
     parts = F.coalesce(F.ceil(F.col("rows") / BLOCK_ROWS), F.lit(1)).cast("int")
     rows = shard_keys(ordered, threshold, *folds).join(large, "shard", "left").withColumn("parts", parts).drop("rows", "counted")

@@ -54,6 +54,17 @@ def test_blocks_match_too(spark, monkeypatch):
         assert got == brute(rows, threshold)
 
 
+def test_both_orders_are_the_same(spark, monkeypatch):
+    rows = texts(300, seed=3, vocabulary=60)
+    classes = neardup.text_classes(neardup.word_sets(frame(spark, rows).select("id", "body"), "id", "body")).select("class_id", "words")
+    sent = neardup.ordered_words(classes, 0.6)
+    monkeypatch.setattr(neardup, "WORDS_HELD", 5)
+    joined = neardup.ordered_words(classes, 0.6)
+    assert sorted(map(tuple, sent.collect())) == sorted(tuple(r[c] for c in sent.columns) for r in joined.collect())
+    got = {tuple(r) for r in neardup.near_duplicate_pairs(frame(spark, rows), "id", "body", 0.6).collect()}
+    assert got == brute(rows, 0.6)
+
+
 def test_edges(spark):
     rows = [(1, "A b c"), (2, "c, B! a"), (3, None), (4, ""), (5, "123 †"), (6, "a b c d e"), (7, "Élan vital"), (8, "élan VITAL 7"), (1, "A b c"), (9, "x " * 50_000)]
     got = {tuple(r) for r in neardup.near_duplicate_pairs(frame(spark, rows), "id", "body", 0.6).collect()}
