@@ -14,9 +14,13 @@ from corpusmill.streaming import limits as li
 
 
 def _stream(t, name: str) -> DataFrame:
-    """A table's file as a stream."""
-    folder = t.path(name).rpartition("/")[0]
-    return t.spark.readStream.schema(t(name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    """A table's file, or the files of its folder, as a stream."""
+    path = t.path(name)
+    where = t.spark._jvm.org.apache.hadoop.fs.Path(path)
+    reader = t.spark.readStream.schema(t(name).schema)
+    if where.getFileSystem(t.spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(path.rpartition("/")[0])
 
 
 def _used_up(t, rows: DataFrame, mode: str) -> DataFrame:
