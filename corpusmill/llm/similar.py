@@ -476,6 +476,20 @@ def _neighbours(k: int, least: float | None):
 FOUND = pa.list_(pa.struct([("far", pa.float64()), ("other", pa.string())]))
 
 
+def _best_lists(rows: DataFrame, k: int, least: float | None, config: ListIndexConfig) -> DataFrame:
+    """(id, best): the ``k`` nearest of each row as array<struct<far, other>>, nearest first."""
+    own = rows.select(F.col("id").cast("string").alias("id"), "embedding").filter(F.col("id").isNotNull())
+    spark = own.sparkSession
+    made = build_index(own, config)
+    index = spark.sparkContext.broadcast(made)
+    cells = sum(int((i.blocks * i.parts).sum()) for i in made.values())
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-cells // config.cells_a_task))
+    spread = own.mapInArrow(_postings(lambda: index.value, config, k + 1), "dim int, list int, block int, part int, id string, code binary, posted boolean, visits boolean")
+    spread = spread.repartition(tasks, "dim", "list", "block", "part")
+    found = spread.groupBy("dim", "list", "block", "part").applyInArrow(_neighbours(k, least), "id string, found array<struct<far:double,other:string>>")
+    return found.groupBy("id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, k).alias("best"))
+
+
 def similar_vectors(rows: DataFrame, k: int = 5, least: float | None = None, config: ListIndexConfig | None = None) -> DataFrame:
     """For every usable vector its ``k`` most similar: (id, other, cosine, place), place from 1.
 
@@ -486,17 +500,7 @@ def similar_vectors(rows: DataFrame, k: int = 5, least: float | None = None, con
     any exchange. Of exact copies the ``k + 1`` with the smallest ids are searched, since no other copy can be among
     anyone's ``k``: further copies may get no rows here; ``similar_to_all`` gives them theirs.
     """
-    config = config or ListIndexConfig()
-    own = rows.select(F.col("id").cast("string").alias("id"), "embedding").filter(F.col("id").isNotNull())
-    spark = own.sparkSession
-    made = build_index(own, config)
-    index = spark.sparkContext.broadcast(made)
-    cells = sum(int((i.blocks * i.parts).sum()) for i in made.values())
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-cells // config.cells_a_task))
-    spread = own.mapInArrow(_postings(lambda: index.value, config, k + 1), "dim int, list int, block int, part int, id string, code binary, posted boolean, visits boolean")
-    spread = spread.repartition(tasks, "dim", "list", "block", "part")
-    found = spread.groupBy("dim", "list", "block", "part").applyInArrow(_neighbours(k, least), "id string, found array<struct<far:double,other:string>>")
-    best = found.groupBy("id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, k).alias("best"))
+    best = _best_lists(rows, k, least, config or ListIndexConfig())
     out = best.select("id", F.posexplode("best").alias("at", "hit"))
     out = out.select("id", F.col("hit.other").alias("other"), (-F.col("hit.far")).alias("cosine"), (F.col("at") + 1).alias("place"))
     return out if least is None else out.filter(F.col("cosine") >= least)
@@ -530,14 +534,15 @@ def similar_to_all(rows: DataFrame, k: int = 5, config: ListIndexConfig | None =
     The ``k`` first copies of a class stand before every later one, so all copies from the ``k + 1``-th on have the
     same neighbours: those of the ``k + 1``-th, which is always searched. Classes are found over the whole table.
     """
-    found = similar_vectors(rows, k, None, config)
-    best = cut_lineage(found.groupBy("id").agg(F.collect_list(F.struct((-F.col("cosine")).alias("far"), "other")).alias("best")))
+    best = cut_lineage(_best_lists(rows, k, None, config or ListIndexConfig()))
     marked = cut_lineage(_marks(rows))
     by = Window.partitionBy("mark").orderBy("id")
     last = marked.withColumn("at", F.row_number().over(by)).filter(F.col("at") <= k + 1).filter(F.col("at") == k + 1).select("mark", F.col("id").alias("model"))
     shared = last.join(best.withColumnRenamed("id", "model"), "model").select("mark", "model", "best")
-    further = marked.join(shared, "mark").filter("id > model").select("id", "best")
-    every = best.unionByName(further).groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))).alias("best"))
+    further = cut_lineage(marked.join(shared, "mark").filter("id > model").select("id", "best"))  # empty but for large classes
+    ids = further.select("id")
+    both = best.join(ids, "id", "left_semi").unionByName(further).groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))).alias("best"))
+    every = best.join(ids, "id", "left_anti").unionByName(both)
     every = every.withColumn("best", F.slice(F.filter("best", lambda x: x["other"] != F.col("id")), 1, k))
     out = every.select("id", F.posexplode("best").alias("at", "hit"))
     return out.select("id", F.col("hit.other").alias("other"), (-F.col("hit.far")).alias("cosine"), (F.col("at") + 1).alias("place"))
