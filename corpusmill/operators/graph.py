@@ -35,8 +35,13 @@ def strongest_links(edges: DataFrame, source: str, target: str, votes: str, limi
 
 def expand_links(primary: DataFrame, edges: DataFrame, within: str, item: str, source: str, target: str, votes: str, limit: int = 3) -> DataFrame:
     """(within, target, votes, place): for each group of primary items the best targets that aren't among them."""
+    own = primary.select(within, F.col(item).alias(source)).distinct()
     strong = edges.filter(votes_above(F.col(votes))).groupBy(source, target).agg(F.max(votes).alias(votes))
-    found = primary.select(within, F.col(item).alias(source)).distinct().join(strong, source)
+    # of a source's targets, only so many can be among a group's best: others' places are taken by better ones or by the group's own items
+    most = own.groupBy(within).agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    first = Window.partitionBy(source).orderBy(F.col(votes).desc(), F.col(target))
+    strong = strong.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= limit + most).drop("place")
+    found = own.join(strong, source)
     best = found.groupBy(within, target).agg(F.max(votes).alias(votes))
     best = best.join(primary.select(within, F.col(item).alias(target)), [within, target], "left_anti")
     by = Window.partitionBy(within).orderBy(F.col(votes).desc(), F.col(target))
