@@ -58,20 +58,27 @@ def _index(t):
     return build_index(_docs(t), "doc_id", "text", keep=True)
 
 
-_KEPT: dict[tuple, str] = {}
+_KEPT: dict[tuple, Index] = {}
 
 
 def kept_index(t, name: str, docs: DataFrame, doc_id: str, text: str) -> Index:
-    """The stored index of a table's documents: built and written once for a state of the table, read by every search."""
+    """The stored index of a table's documents: built and written once for a state of the table, read by every search.
+
+    The searches ask a question for every label of a table, so the index is kept as documents with their terms; where ids
+    repeat, it is stored by terms.
+    """
     path = t.path(name)
     where = t.spark._jvm.org.apache.hadoop.fs.Path(path)
     state = where.getFileSystem(t.spark._jsc.hadoopConfiguration()).getFileStatus(where)
     key = (t.spark.sparkContext.applicationId, path, docs.columns[0], state.getModificationTime(), state.getLen())
     if key not in _KEPT:
-        folder = scratch(t.spark, f"index-{name}")
-        save_index(build_index(docs, doc_id, text, keep=True), folder)
-        _KEPT[key] = folder
-    return load_index(t.spark, _KEPT[key])
+        index = build_index(docs, doc_id, text, keep=True)
+        if index.documents is None:
+            folder = scratch(t.spark, f"index-{name}")
+            save_index(index, folder)
+            index = load_index(t.spark, folder)
+        _KEPT[key] = index
+    return _KEPT[key]
 
 
 def _stored(t) -> Index:
