@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.text import clamp01, dot, has_any, has_keyword_column, tokens, topic_tokens
 from corpusmill.operators.sets import prepend
-from corpusmill.session import spread
+from corpusmill.session import cut_lineage, spread
 
 TOPIC_LEAST, TOPICS_PER_ITEM = 0.4, 3
 #: A rule table is broadcast up to this many rows; a longer one is refused, since every row meets every rule.
@@ -103,7 +103,7 @@ def guard(questions: DataFrame, retrieved: DataFrame, rules: DataFrame) -> DataF
     items, excludes): a rule matches a question that contains any keyword; its items come first in rule order (``rule``)
     and rows whose text contains any of its excludes are dropped, unless they are priority items.
     """
-    hit = rules_hit(questions, rules)
+    hit = cut_lineage(rules_hit(questions, rules))  # a row for each rule that a question meets, read three times
     first = hit.select("query_id", "rule", F.posexplode("items").alias("at", "item")).groupBy("query_id", "item").agg(F.min(F.struct("rule", "at")).alias("first_"))
     first = first.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("first_"))).drop("first_")
     parts = hit.select("query_id", F.explode("excludes").alias("part")).distinct()
@@ -118,6 +118,7 @@ def curated(questions: DataFrame, retrieved: DataFrame, rules: DataFrame) -> Dat
     """
     hit = rules_hit(questions, rules)
     chosen = hit.groupBy("query_id").agg(F.min_by(F.struct("items", "mode"), "rule").alias("list"))
+    chosen = cut_lineage(chosen)  # at most a row for each question, read three times
     first = chosen.select("query_id", F.posexplode("list.items").alias("place", "item"))
     kept = retrieved.join(chosen.filter("list.mode = 'replace'"), "query_id", "left_anti")
     return prepend(first, kept, "query_id", "item", "place")

@@ -24,6 +24,7 @@ def fallback_retrieve(questions: DataFrame, corpus: Corpus, lists: DataFrame | N
     place. Questions with fewer than ``ENOUGH`` of these get the best of the lexical search after them. The corpus's
     guards and curated lists are applied to the result. Items that the corpus lacks are dropped.
     """
+    questions = cut_lineage(questions)  # read by every rule
     parts = []
     for number, rules in enumerate((lists, priorities)):
         if rules is not None:
@@ -42,6 +43,8 @@ def fallback_retrieve(questions: DataFrame, corpus: Corpus, lists: DataFrame | N
     rows = first.unionByName(found.select("query_id", F.col("doc_id").alias("item"), F.lit(3).alias("list"), F.lit(0).alias("rule"), F.col("rank").alias("at")))
     once = rows.groupBy("query_id", "item").agg(F.min(F.struct("list", "rule", "at")).alias("first_"))
     listed = once.select("query_id", "item", F.row_number().over(Window.partitionBy("query_id").orderBy("first_", "item")).alias("place"))
+    if corpus.guards is not None or corpus.lists is not None:
+        listed = cut_lineage(listed)  # a few rows per question, read by the guards and the lists
     if corpus.guards is not None:
         texts = corpus.verses.select(F.col("doc_id").alias("item"), "text")
         listed = guard(questions, listed.join(texts, "item").select("query_id", "item", "place", "text"), corpus.guards)

@@ -62,9 +62,11 @@ def scratch(spark: SparkSession, name: str) -> str:
 SPREAD_BYTES = 64 << 20
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, derived: bool = False) -> DataFrame:
     """``df`` over all cores where its files are too few to occupy them and small; otherwise as it is.
 
+    With ``derived`` a small input without files, such as one whose lineage was cut, is spread too.
+
     A file's row group is read by one task, so a small table in one file would keep one core busy with work that
     should be shared. Result rows are the same either way. A large input is told by the plan's statistics, which the
     scan has already; only a small one's files are listed.
@@ -73,4 +75,5 @@ def spread(df: DataFrame) -> DataFrame:
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size >= cores * SPREAD_BYTES or size >= 2 * cores * int(df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()):
         return df
-    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+    files = len(df.inputFiles())
+    return df.repartition(cores) if 0 < files < cores or derived and not files else df
