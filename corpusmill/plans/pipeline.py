@@ -56,7 +56,8 @@ def retrieve(questions: DataFrame, corpus: Corpus, top_k: int | None = None, rea
     marked related. Guards and curated lists apply where given, then neighbouring verses are merged.
     """
     k = clamp_top_k(top_k)
-    asked = understand(questions, "text")
+    asked = cut_lineage(understand(questions, "text"))  # questions are understood once, however many stages read them
+    questions = asked.select(*questions.columns)
     direct = asked.select("query_id", "intent", F.posexplode(reference_ids(references_in(F.col("normalized")))).alias("ord", "doc_id"))
     known = corpus.verses.select("doc_id")
     direct = direct.join(known, "doc_id", "left_semi")
@@ -72,6 +73,8 @@ def retrieve(questions: DataFrame, corpus: Corpus, top_k: int | None = None, rea
         listed = guard(questions, listed.join(texts, "doc_id").select("query_id", F.col("doc_id").alias("item"), "place", "text"), corpus.guards).withColumnRenamed("item", "doc_id")
     if corpus.lists is not None:
         listed = curated(questions, listed.withColumnRenamed("doc_id", "item"), corpus.lists).withColumnRenamed("item", "doc_id")
+    if corpus.guards is not None or corpus.lists is not None:
+        listed = cut_lineage(listed)  # read by the neighbours and the links
     at = parse_verse(F.col("doc_id"))
     keys = listed.join(asked.select("query_id", "intent"), "query_id").withColumn("p", at)
     width = F.when((F.col("place") <= 3) & (F.col("intent") == "TOPICAL_QUERY"), reach).otherwise(0)

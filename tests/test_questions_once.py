@@ -5,11 +5,11 @@ from pyspark.sql import functions as F
 
 from corpusmill.operators import lexical
 from corpusmill.plans.fallback import fallback_retrieve
-from corpusmill.plans.pipeline import Corpus
+from corpusmill.plans.pipeline import Corpus, retrieve
 from corpusmill.session import cut_lineage, spread
 
 
-@pytest.mark.parametrize("plan", [fallback_retrieve])
+@pytest.mark.parametrize("plan", [retrieve, fallback_retrieve])
 def test_questions_are_read_once(spark, plan):
     seen = spark.sparkContext.accumulator(0)
 
