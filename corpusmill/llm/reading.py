@@ -29,15 +29,19 @@ from corpusmill.session import spread
 
 SENTENCE = re.compile(r"[^.!?…\n]+")
 WORD = re.compile(r"\w+|[,;:]")
+#: Documents whose sentences are scored at once.
+SCORED_AT_ONCE = 256
+#: Labelled items up to which their ids are sent to the texts.
+BROADCAST_LABELS = 500_000
 
 
 @dataclass(frozen=True)
 class ReadingConfig:
-    """``labelled_rows`` and ``labelled_chars`` bound the sample that a task trains on; ``vocabulary``, ``two_words`` and
-    ``three_words`` the models that the driver and each task hold."""
+    """``labelled_rows`` and ``labelled_chars`` bound the labelled documents that a task trains on, by default all;
+    ``vocabulary``, ``two_words`` and ``three_words`` bound the models that the driver and each task hold."""
 
-    labelled_rows: int = 3_000
-    labelled_chars: int = 20_000_000
+    labelled_rows: int | None = None
+    labelled_chars: int | None = None
     vocabulary: int = 30_000
     two_words: int = 400_000
     three_words: int = 200_000
@@ -149,7 +153,9 @@ def train(documents: list[tuple[list[list[str]], int]], config: ReadingConfig, r
         for half in (0, 1):
             held = range(half, len(documents), 2)
             rest = [documents[i] for i in range(1 - half, len(documents), 2)]
-            missed[half::2] = likeliest([documents[i][0] for i in held], train(rest, config, False)) != [documents[i][1] for i in held]
+            model = train(rest, config, False)
+            found = [likeliest([documents[i][0] for i in held[at : at + SCORED_AT_ONCE]], model) for at in range(0, len(held), SCORED_AT_ONCE)]
+            missed[half::2] = np.concatenate(found) != [documents[i][1] for i in held]
     bands = sorted({b for _, b in documents})
     words: Counter[str] = Counter()
     for sentences, _ in documents:
@@ -311,19 +317,25 @@ def fold_scores(documents: list[tuple[list[list[str]], float]], fold: int, confi
     rest = [(s, int(b + 0.5)) for i, (s, b) in enumerate(documents) if i % config.folds != fold]
     if not held or not rest:
         return [], np.array([])
-    return held, difficulties([documents[i][0] for i in held], train(rest, config), {})[:, 1]
+    return held, _scores([documents[i][0] for i in held], train(rest, config))
+
+
+def _scores(texts: list[list[list[str]]], model: BandModels) -> np.ndarray:
+    """``difficulties`` alone, some documents at a time."""
+    return np.concatenate([difficulties(texts[at : at + SCORED_AT_ONCE], model, {})[:, 1] for at in range(0, len(texts), SCORED_AT_ONCE)])
 
 
 def fit(sample: DataFrame, config: ReadingConfig) -> ReadingModel | None:
-    """The model of a bounded sample (order, text, band); None without a usable label.
+    """The model of labelled documents (order, item, text, band); None without a usable label.
 
-    Every fold and the final model is a task that reads the whole sample; the driver sees scores and the model alone.
+    Every fold and the final model is a task that reads all of them; the driver sees scores and the model alone.
     """
     tasks = config.folds + 1
 
     def work(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["order", "item"], kind="stable")
-        documents = [(token_sentences(t), b) for t, b in zip(part["text"], part["band"], strict=True)]
+        words: dict[str, str] = {}  # a word is held once, however often it occurs
+        documents = [([[words.setdefault(w, w) for w in s] for s in token_sentences(t)], b) for t, b in zip(part["text"], part["band"], strict=True)]
         documents = [(s, b) for s, b in documents if s]
         task = int(part["task"].iloc[0])
         if not documents:
@@ -332,7 +344,7 @@ def fit(sample: DataFrame, config: ReadingConfig) -> ReadingModel | None:
             held, scores = fold_scores(documents, task, config)
             return pd.DataFrame({"at": held, "score": scores, "band": [documents[i][1] for i in held], "model": [None] * len(held)})
         model = train([(s, int(b + 0.5)) for s, b in documents], config)
-        own = difficulties([s for s, _ in documents], model, {})[:, 1] if len(documents) < 2 * config.folds else None
+        own = _scores([s for s, _ in documents], model) if len(documents) < 2 * config.folds else None
         rows = [(i, float(own[i]), documents[i][1], None) for i in range(len(documents))] if own is not None else []
         return pd.DataFrame([*rows, (-1, 0.0, 0.0, pickle.dumps(model))], columns=["at", "score", "band", "model"])
 
@@ -353,19 +365,23 @@ def reading_levels(docs: DataFrame, item: str, text: str, labels: DataFrame, con
     band; ``hardest_share`` the share of the text that the highest band's model explains; ``bits`` the surprisal per
     token under the best band. A null or empty text, or one without a word, has zero words and nulls. Equal texts get
     equal results; a repeated item gets a row each time. Without usable labels all results but the words are null.
-    Whole texts are scored. Other columns are ignored, whatever their names. Empty tables give an empty result. At
-    most ``labelled_rows`` labelled documents, whole, in the order of a hash of their ids and as long as they have
-    ``labelled_chars`` together, are trained on.
+    Whole texts are scored. Other columns are ignored, whatever their names. Empty tables give an empty result. All
+    labelled documents, whole, are trained on; where ``labelled_rows`` or ``labelled_chars`` are given, so many in the
+    order of a hash of their ids.
     """
     config = config or ReadingConfig()
     rows = docs.select(F.col(item).alias("item"), F.col(text).alias("text"))
     judged = labels.select(F.col(item).alias("item"), F.col("band").cast("double").alias("band"), "rater").dropna(subset=["item", "band"]).distinct()
     judged = judged.groupBy("item").agg(F.avg("band").alias("band"))
-    chosen = judged.orderBy(F.xxhash64("item"), "item").limit(config.labelled_rows)
-    usable = rows.filter(F.length(F.trim("text")) > 0).join(F.broadcast(chosen), "item").dropDuplicates(["item"])  # at most labelled_rows rows
-    upto = Window.orderBy("order", "item").rowsBetween(Window.unboundedPreceding, 0)
-    usable = usable.withColumn("order", F.xxhash64("item")).withColumn("upto", F.sum(F.length("text")).over(upto))
-    sample = usable.filter(F.col("upto") <= config.labelled_chars).select("order", "item", "text", "band")
+    if config.labelled_rows is not None:
+        judged = judged.orderBy(F.xxhash64("item"), "item").limit(config.labelled_rows)
+    if judged.count() <= BROADCAST_LABELS:
+        judged = F.broadcast(judged)  # counted; else texts and labels meet by an exchange of both
+    usable = rows.filter(F.length(F.trim("text")) > 0).join(judged, "item").dropDuplicates(["item"]).withColumn("order", F.xxhash64("item"))
+    if config.labelled_chars is not None:
+        upto = Window.orderBy("order", "item").rowsBetween(Window.unboundedPreceding, 0)
+        usable = usable.withColumn("upto", F.sum(F.length("text")).over(upto)).filter(F.col("upto") <= config.labelled_chars)
+    sample = usable.select("order", "item", "text", "band")
     model = docs.sparkSession.sparkContext.broadcast(fit(sample, config))
 
     def score(batches):
