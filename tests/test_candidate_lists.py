@@ -42,3 +42,11 @@ def test_lists_are_ranked_as_rows_are(spark, kind, batch):
         assert got.count() == want.count() and dict(got.dtypes)["doc_id"] == kind
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_kept_terms_are_one_string_a_document(spark):
+    docs = spark.createDataFrame([(1, "Ship, ship of the king"), (2, "…"), (3, None), (4, "")], "doc_id int, text string")
+    kept = lexical.build_index(docs, "doc_id", "text", keep=True).documents
+    assert dict(kept.dtypes)["words"] == "string"
+    held = {r["doc_id"]: (r["words"] and dict(zip(r["words"].split(" "), r["tfs"], strict=True)), r["dl"]) for r in kept.collect()}
+    assert held == {1: ({"ship": 2, "of": 1, "the": 1, "king": 1}, 5), 2: (None, 0), 3: (None, 0), 4: (None, 0)}
