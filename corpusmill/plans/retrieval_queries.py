@@ -13,7 +13,7 @@ from corpusmill.operators.ranking import place_in_parts
 from corpusmill.operators.rules import detect_topics
 from corpusmill.operators.vectors import LexicalStore, nearest
 from corpusmill.plans.registry import query
-from corpusmill.session import scratch
+from corpusmill.session import cut_lineage, scratch
 
 #: Some fixed questions, before one for the label of every cluster; the fourth repeats a word, the fifth is a phrase of more than five characters.
 QUESTIONS = [(1, "faithful covenant of the king"), (2, "the shepherd and the river"), (3, "wisdom"), (4, "king king bread"), (5, "see v. 24"), (6, "zzz nothing here"), (7, "el rey y el pan"), (8, "eternal judgment, remnant & promise!")]
@@ -94,10 +94,18 @@ def _vectors(t) -> DataFrame:
     return t("embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("doc_vector"))
 
 
-def _question_vectors(t) -> DataFrame:
+def _question_vectors(t, asked: DataFrame | None = None) -> DataFrame:
     """Each question's vector is the one of its number."""
     rows = t("embeddings").select("vec_id", F.col("embedding").alias("query_vector"))
-    return _asked(t).select("query_id").join(rows, F.col("query_id") == F.col("vec_id")).select("query_id", "query_vector")
+    return (_asked(t) if asked is None else asked).select("query_id").join(rows, F.col("query_id") == F.col("vec_id")).select("query_id", "query_vector")
+
+
+def _semantic(t) -> DataFrame:
+    """Candidates with both ranks, of the questions that have a vector: others would lose their candidates, so they aren't searched."""
+    rows = t("embeddings").select("vec_id")
+    asked = cut_lineage(_asked(t).join(rows, F.col("query_id") == F.col("vec_id"), "left_semi"))
+    top = search(_stored(t), asked, "query_id", "text", 25, _docs(t))
+    return fu.semantic_rank(top, _question_vectors(t, asked), _vectors(t))
 
 
 @query(f"SELECT doc_id, len(t)::INT AS n_tokens, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {TOKENS.format('text')} AS t FROM documents WHERE text IS NOT NULL)")
@@ -159,13 +167,13 @@ SEMANTIC = f"""{NORM},
 
 @query(f"WITH {ASKED}, {SEMANTIC} SELECT query_id, doc_id, rank::INT AS rank, rank_sem::INT AS rank_sem, round(similarity, 6) AS similarity FROM semr")
 def b11_semantic_rank(t):
-    near = fu.semantic_rank(_top(t), _question_vectors(t), _vectors(t))
+    near = _semantic(t)
     return near.select("query_id", "doc_id", "rank", "rank_sem", F.round("similarity", 6).alias("similarity"))
 
 
 @query(f"WITH {ASKED}, {SEMANTIC} SELECT query_id, doc_id, round(1.0::DOUBLE / (60 + rank) + 1.0::DOUBLE / (60 + rank_sem), 9) AS score FROM semr")
 def b12_rrf(t):
-    near = fu.semantic_rank(_top(t), _question_vectors(t), _vectors(t))
+    near = _semantic(t)
     return near.select("query_id", "doc_id", F.round(fu.rrf(F.col("rank"), F.col("rank_sem")), 9).alias("score"))
 
 
