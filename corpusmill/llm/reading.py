@@ -16,8 +16,12 @@ from __future__ import annotations
 import math
 import pickle
 import re
+import sys
 from collections import Counter
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
+from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -27,8 +31,11 @@ from pyspark.sql import functions as F
 
 from corpusmill.session import spread
 
-SENTENCE = re.compile(r"[^.!?…\n]+")
-WORD = re.compile(r"\w+|[,;:]")
+#: Words and inner marks, and the marks between sentences.
+PIECE = re.compile(r"\w+|[,;:]|[.!?…\n]+")
+BETWEEN = frozenset(".!?…\n")
+#: Words whose numbers a task holds.
+HELD_WORDS = 200_000
 #: Documents whose sentences are scored at once.
 SCORED_AT_ONCE = 256
 #: Labelled items up to which their ids are sent to the texts.
@@ -54,12 +61,6 @@ class ReadingConfig:
     evidence: float = 1.0
 
 
-def token_sentences(text: str) -> list[list[str]]:
-    """Words and inner marks of each sentence, without empty sentences."""
-    found = (WORD.findall(s) for s in SENTENCE.findall(text))
-    return [s for s in found if s]
-
-
 def word_class(word: str) -> str:
     """The class that stands for a rare word."""
     if word[:1].isdigit():
@@ -69,6 +70,148 @@ def word_class(word: str) -> str:
     return f"<{word[-3:].lower()} {min(len(word) // 4, 5)}>"
 
 
+class Numbers(dict):
+    """The numbers of pieces: ``number(word)``, asked once for each of at most ``most`` distinct ones, and -1 between sentences."""
+
+    def __init__(self, number: Callable[[str], int], most: int = HELD_WORDS):
+        self.number, self.most = number, most
+
+    def __missing__(self, piece: str) -> int:
+        found = -1 if piece[0] in BETWEEN else self.number(piece)
+        if len(self) < self.most:
+            self[piece] = found
+        return found
+
+
+@dataclass
+class Texts:
+    """Documents as numbers of words: sentence i is ``words[starts[i]:starts[i + 1]]``, none is empty, and document i has the sentences from ``docs[i]`` to ``docs[i + 1]``."""
+
+    words: np.ndarray
+    starts: np.ndarray
+    docs: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.docs) - 1
+
+    def take(self, which: np.ndarray) -> Texts:
+        """The documents at these places."""
+        which = np.asarray(which, dtype=np.int64)
+        sentences, docs = _stretches(self.docs, which)
+        words, starts = _stretches(self.starts, sentences)
+        return Texts(self.words[words], starts, docs)
+
+    def parts(self):
+        """The documents, ``SCORED_AT_ONCE`` at a time."""
+        return (self.take(np.arange(at, min(at + SCORED_AT_ONCE, len(self)))) for at in range(0, len(self), SCORED_AT_ONCE))
+
+
+def _stretches(bounds: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places within the stretches ``which`` of those that ``bounds`` separate, and the bounds of them in a row."""
+    sizes = bounds[which + 1] - bounds[which]
+    out = np.concatenate([[0], np.cumsum(sizes)])
+    return np.arange(out[-1]) + np.repeat(bounds[which] - out[:-1], sizes), out
+
+
+def numbered(texts: list[str | None], numbers: Numbers) -> Texts:
+    """The words and inner marks of each sentence of each text, as numbers."""
+    found = [PIECE.findall(t) if t else [] for t in texts]
+    owner = np.repeat(np.arange(len(found)), [len(f) for f in found])
+    flat = np.fromiter(map(numbers.__getitem__, chain.from_iterable(found)), np.int64, len(owner))
+    word = flat >= 0
+    begins = word.copy()
+    begins[1:] &= ~word[:-1] | (owner[1:] != owner[:-1])
+    begins = np.flatnonzero(begins)
+    before = np.cumsum(word)
+    starts = np.append(before[begins] - 1, before[-1:] if len(before) else 0)
+    return Texts(flat[word], starts, np.concatenate([[0], np.cumsum(np.bincount(owner[begins], minlength=len(found)))]))
+
+
+def _joined(parts: list[Texts]) -> Texts:
+    """Documents one after another."""
+    words, sentences = (np.cumsum([0, *sizes]) for sizes in ([len(p.words) for p in parts], [len(p.starts) - 1 for p in parts]))
+    starts = [p.starts[:-1] + n for p, n in zip(parts, words, strict=False)]
+    docs = [p.docs[:-1] + n for p, n in zip(parts, sentences, strict=False)]
+    return Texts(np.concatenate([np.zeros(0, np.int64), *(p.words for p in parts)]), np.append(np.concatenate([np.zeros(0, np.int64), *starts]), words[-1]), np.append(np.concatenate([np.zeros(0, np.int64), *docs]), sentences[-1]))
+
+
+@dataclass
+class Corpus:
+    """Labelled documents whose words are numbers of ``names``, the distinct words."""
+
+    texts: Texts
+    names: list[str]
+    classes: list[str]
+    lower: np.ndarray  # the place of a name's lower case in ``lowers``
+    lowers: list[str]
+
+    def __len__(self) -> int:
+        return len(self.texts)
+
+    def take(self, which: np.ndarray) -> Corpus:
+        return replace(self, texts=self.texts.take(which))
+
+
+def _named(cut: Callable[[Numbers], Texts]) -> Corpus:
+    names: list[str] = []
+    numbers = Numbers(lambda word: names.append(word) or len(names) - 1, sys.maxsize)
+    texts = cut(numbers)
+    lowers: dict[str, int] = {}
+    lower = np.array([lowers.setdefault(w.lower(), len(lowers)) for w in names], dtype=np.int64)
+    return Corpus(texts, names, [word_class(w) for w in names], lower, list(lowers))
+
+
+def corpus_of(texts: list[str]) -> Corpus:
+    """The corpus of whole texts, some at a time."""
+    return _named(lambda numbers: _joined([numbered(texts[at : at + SCORED_AT_ONCE], numbers) for at in range(0, len(texts), SCORED_AT_ONCE)]))
+
+
+def corpus_of_sentences(documents: list[list[list[str]]]) -> Corpus:
+    """The corpus of documents that are cut into sentences and words already."""
+    sentences = [s for d in documents for s in d if s]
+
+    def cut(numbers: Numbers) -> Texts:
+        words = np.array([numbers[w] for s in sentences for w in s], dtype=np.int64)
+        return Texts(words, np.cumsum([0, *map(len, sentences)]), np.cumsum([0, *(sum(map(bool, d)) for d in documents)]))
+
+    return _named(cut)
+
+
+def length_class(words: int) -> str:
+    """The class of a sentence's length."""
+    return f"<length {int(2 * math.log2(words))}>"
+
+
+class Places:
+    """The places of distinct keys, none of which is negative, found by hashing: a binary search among many is slower."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.append(keys, -1)  # the place of a key that isn't there
+        self.bits = max(2 * len(keys), 2).bit_length()
+        self.slots = np.full(1 << self.bits, len(keys), dtype=np.int32)
+        todo = np.arange(len(keys))
+        slot = self._slot(keys)
+        while len(todo):
+            free = self.slots[slot] == len(keys)
+            self.slots[slot[free]] = todo[free]
+            left = self.slots[slot] != todo
+            todo, slot = todo[left], (slot[left] + 1) % len(self.slots)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        slot = self._slot(keys)
+        found = np.take(self.slots, slot)
+        none = len(self.keys) - 1
+        wrong = np.flatnonzero((np.take(self.keys, found) != keys) & (found < none))
+        while len(wrong):
+            slot[wrong] = (slot[wrong] + 1) % len(self.slots)
+            found[wrong] = self.slots[slot[wrong]]
+            wrong = wrong[(self.keys[found[wrong]] != keys[wrong]) & (found[wrong] < none)]
+        return found
+
+
 @dataclass
 class BandModels:
     """Interpolated n-gram models of all bands over one vocabulary."""
@@ -78,40 +221,71 @@ class BandModels:
     known: dict[str, int] = field(default_factory=dict)
     one: np.ndarray | None = None  # weighted probabilities with the uniform part, word x component
     keys: np.ndarray | None = None  # sorted two-word keys
-    two: np.ndarray | None = None  # weighted probabilities after the first word, key x component
+    two: np.ndarray | None = None  # weighted probabilities after the first word, key x component, and zeros for other keys
     long_keys: np.ndarray | None = None  # sorted three-word keys
-    three: np.ndarray | None = None  # weighted probabilities after the first two words, key x component
+    three: np.ndarray | None = None  # weighted probabilities after the first two words, key x component, and zeros for other keys
     weights: tuple[float, float, float] = (0.37, 0.6, 0.0)  # of one, two and three words
     config: ReadingConfig = field(default_factory=ReadingConfig)
 
-    def ids(self, sentence: list[str], cache: dict[str, int]) -> list[int]:
-        out = [self.known.get(f"<length {int(2 * math.log2(len(sentence)))}>", 0)]
-        for w in sentence:
-            i = cache.get(w)
-            if i is None:
-                i = self.known.get(w.lower())
-                if i is None:
-                    i = self.known.get(word_class(w), 0)
-                if len(cache) < 200_000:
-                    cache[w] = i
-            out.append(i)
-        return out
+    def __getstate__(self) -> dict:
+        """Without the zeros of the large tables, which are nearly all of them, and without what is made again."""
+        state = {k: v for k, v in self.__dict__.items() if k != "places"}
+        for name in ("two", "three"):
+            table = state[name]
+            if table is not None:
+                at = np.flatnonzero(table)
+                state[name] = table.shape, at.astype(np.uint32 if table.size < 1 << 32 else np.int64), table.ravel()[at]
+        return state
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        for name in ("two", "three"):
+            if state[name] is not None:
+                shape, at, values = state[name]
+                table = np.zeros(shape, dtype=np.float32)
+                table.ravel()[at] = values
+                self.__dict__[name] = table
+
+    def number(self, word: str) -> int:
+        found = self.known.get(word.lower())
+        return self.known.get(word_class(word), 0) if found is None else found
+
+    def own_numbers(self, corpus: Corpus) -> Texts:
+        """The documents of a corpus in the model's numbers."""
+        known = self.known.get
+        lowers = np.array([known(w, -1) for w in corpus.lowers], dtype=np.int64)[corpus.lower]
+        classes = np.array([known(c, 0) for c in corpus.classes], dtype=np.int64)
+        return replace(corpus.texts, words=np.where(lowers < 0, classes, lowers)[corpus.texts.words])
+
+    def with_lengths(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """All words in a row, each sentence after the number of its length, and where sentences begin."""
+        sizes, own = np.unique(np.diff(texts.starts), return_inverse=True)
+        starts = texts.starts[:-1] + np.arange(len(own))
+        flat = np.empty(len(texts.words) + len(own), dtype=np.int64)
+        rest = np.ones(len(flat), dtype=bool)
+        rest[starts] = False
+        flat[rest] = texts.words
+        flat[starts] = np.array([self.known.get(length_class(n), 0) for n in sizes], dtype=np.int64)[own]
+        return flat, starts
+
+    @cached_property
+    def places(self) -> tuple[Places, Places]:
+        return Places(self.keys), Places(self.long_keys)
 
     def surprisal(self, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Bits of each sentence under each component; ``flat`` holds ids, sentences begin at ``starts``."""
         size = len(self.known)
         before, further = _before(flat, starts)
-        p = self.one[flat]
-        at = np.arange(len(flat))
-        for keys, table, key in ((self.keys, self.two, before * size + flat), (self.long_keys, self.three, (further * size + before) * size + flat)):
-            if not len(keys):
-                break
-            place = np.searchsorted(keys, key[at])
-            place[place == len(keys)] = 0
-            hit = keys[place] == key[at]
-            at, place = at[hit], place[hit]  # three words are known only where the last two are
-            p[at] += table[place]
-        return np.add.reduceat(-np.log2(p), starts, axis=0)
+        p = np.take(self.one, flat, axis=0)
+        pair, triple = self.places
+        found = pair.of(before * size + flat)
+        p += np.take(self.two, found, axis=0)
+        if len(self.long_keys):
+            at = np.flatnonzero(found < len(self.keys))  # three words are known only where the last two are
+            long = np.full(len(flat), len(self.long_keys))
+            long[at] = triple.of(((further * size + before) * size + flat)[at])
+            p += np.take(self.three, long, axis=0)
+        return -np.add.reduceat(np.log2(p, out=p), starts, axis=0)
 
 
 def _before(flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,12 +299,6 @@ def _before(flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return before, further
 
 
-def _cells(keys: np.ndarray, column: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (key, column) pairs as one number, their counts, and the place of each row's."""
-    names, where, often = np.unique(keys * width + column, return_inverse=True, return_counts=True)
-    return names, often, where
-
-
 def fitted_weights(one: np.ndarray, two: np.ndarray, three: np.ndarray, after_one: np.ndarray, after_two: np.ndarray, total: np.ndarray, often: np.ndarray) -> tuple[float, float, float]:
     """Weights of one-, two- and three-word parts: the share of words that each predicts best when left out.
 
@@ -148,60 +316,63 @@ def fitted_weights(one: np.ndarray, two: np.ndarray, three: np.ndarray, after_on
 
 def train(documents: list[tuple[list[list[str]], int]], config: ReadingConfig, residual: bool = True) -> BandModels:
     """Models of the bands found among (sentences, band)."""
-    missed = np.zeros(len(documents), dtype=bool)
-    if residual and len(documents) >= 2 * config.residual_documents:
+    return train_corpus(corpus_of_sentences([s for s, _ in documents]), np.array([b for _, b in documents]), config, residual)
+
+
+def train_corpus(corpus: Corpus, own_bands: np.ndarray, config: ReadingConfig, residual: bool = True) -> BandModels:
+    """Models of the bands of a corpus' documents, none of which is without words."""
+    missed = np.zeros(len(corpus), dtype=bool)
+    if residual and len(corpus) >= 2 * config.residual_documents:
         for half in (0, 1):
-            held = range(half, len(documents), 2)
-            rest = [documents[i] for i in range(1 - half, len(documents), 2)]
-            model = train(rest, config, False)
-            found = [likeliest([documents[i][0] for i in held[at : at + SCORED_AT_ONCE]], model) for at in range(0, len(held), SCORED_AT_ONCE)]
-            missed[half::2] = np.concatenate(found) != [documents[i][1] for i in held]
-    bands = sorted({b for _, b in documents})
-    words: Counter[str] = Counter()
-    for sentences, _ in documents:
-        for s in sentences:
-            words.update(w.lower() for w in s)
-    frequent = [w for w, n in sorted(words.items(), key=lambda x: (-x[1], x[0]))[: config.vocabulary] if n >= config.least_count]
+            held, rest = np.arange(half, len(corpus), 2), np.arange(1 - half, len(corpus), 2)
+            model = train_corpus(corpus.take(rest), own_bands[rest], config, False)
+            missed[held] = likeliest(model.own_numbers(corpus.take(held)), model) != own_bands[held]
+    bands = sorted({int(b) for b in own_bands})
+    often = np.bincount(corpus.texts.words, minlength=len(corpus.names))
+    lower_often = np.bincount(corpus.lower, weights=often, minlength=len(corpus.lowers)).astype(np.int64)
+    words = [(corpus.lowers[i], int(lower_often[i])) for i in np.flatnonzero(lower_often >= max(config.least_count, 1))]
+    frequent = [w for w, _ in sorted(words, key=lambda x: (-x[1], x[0]))[: config.vocabulary]]
     model = BandModels(bands, known={"<other>": 0} | {w: i + 1 for i, w in enumerate(frequent)}, config=config)
     classes: Counter[str] = Counter()
-    for sentences, _ in documents:
-        for s in sentences:
-            classes[f"<length {int(2 * math.log2(len(s)))}>"] += 1
-            classes.update(word_class(w) for w in s if w.lower() not in model.known)
+    for size, n in zip(*np.unique(np.diff(corpus.texts.starts), return_counts=True), strict=True):
+        classes[length_class(size)] += int(n)
+    known = np.array([w in model.known for w in corpus.lowers], dtype=bool)[corpus.lower]
+    for i in np.flatnonzero((often > 0) & ~known):
+        classes[corpus.classes[i]] += int(often[i])
     for c, _ in sorted(classes.items(), key=lambda x: (-x[1], x[0]))[: config.vocabulary]:
         model.known.setdefault(c, len(model.known))
     size = len(model.known)
-    cache: dict[str, int] = {}
-    texts = [[np.array(model.ids(s, cache), dtype=np.int64) for s in sentences] for sentences, _ in documents]
-    column = np.zeros(len(documents), dtype=np.int64)
+    texts = model.own_numbers(corpus)
+    flat, starts = model.with_lengths(texts)
+    owner = np.repeat(np.arange(len(corpus)), np.diff(np.append(starts, len(flat))[texts.docs]))
+    column = np.zeros(len(corpus), dtype=np.int64)
     for band in bands:
-        members = np.array([i for i, (_, b) in enumerate(documents) if b == band])
+        members = np.flatnonzero(own_bands == band)
         odd = members[missed[members]]
         if config.residual_documents <= len(odd) < len(members):
             column[odd] = len(model.columns)
             model.columns.append(band)
             members = members[~missed[members]]
-        kinds = _kinds([np.concatenate(texts[i]) for i in members], size, max(1, min(config.components, len(members) // config.component_documents)))
+        kinds = _kinds(flat, owner, members, len(corpus), size, max(1, min(config.components, len(members) // config.component_documents)))
         column[members] = len(model.columns) + kinds
         model.columns += [band] * (int(kinds.max()) + 1)
     width = len(model.columns)
-    sentences = [ids for text in texts for ids in text]
-    flat = np.concatenate(sentences)
-    starts = np.cumsum([0, *(len(ids) for ids in sentences[:-1])])
     before, further = _before(flat, starts)
-    where_to = np.repeat(column, [sum(len(ids) for ids in text) for text in texts])
+    where_to = column[owner]
     one = np.bincount(flat * width + where_to, minlength=size * width).reshape(size, width)
     firsts = np.bincount(before * width + where_to, minlength=size * width).reshape(size, width)
-    pair, triple = before * size + flat, (further * size + before) * size + flat
-    _, pairs, at_pair = _cells(pair, where_to, width)
-    _, heads, at_head = _cells(further * size + before, where_to, width)
-    names, triples, at_triple = _cells(triple, where_to, width)
-    some = np.zeros(len(names), dtype=np.int64)
-    some[at_triple] = np.arange(len(flat))  # a row of each three-word cell
-    shares = fitted_weights(one[flat[some], where_to[some]], pairs[at_pair[some]], triples, firsts[before[some], where_to[some]], heads[at_head[some]], one.sum(axis=0)[where_to[some]], triples)
+    # (key, column) pairs as one number, and how often they are there
+    pair, pairs = np.unique((before * size + flat) * width + where_to, return_counts=True)
+    head, heads = np.unique((further * size + before) * width + where_to, return_counts=True)
+    triple, triples = np.unique(((further * size + before) * size + flat) * width + where_to, return_counts=True)
+    key, at = np.divmod(triple, width)
+    rest, last = np.divmod(key, size)
+    middle = rest % size
+    after_two = heads[np.searchsorted(head, rest * width + at)]
+    shares = fitted_weights(one[last, at], pairs[np.searchsorted(pair, (middle * size + last) * width + at)], triples, firsts[middle, at], after_two, one.sum(axis=0)[at], triples)
     model.weights = tuple(x * (1 - config.weight_uniform) for x in shares)
-    model.keys, model.two = _table(pair, where_to, width, firsts[before, where_to], config.two_words, 1)
-    model.long_keys, model.three = _table(triple, where_to, width, heads[at_head], config.three_words, 2)
+    model.keys, model.two = _table(pair, pairs, firsts[pair // width // size, pair % width], width, config.two_words, 1)
+    model.long_keys, model.three = _table(triple, triples, after_two, width, config.three_words, 2)
     one = one + 0.1
     model.one = (model.weights[0] * one / one.sum(axis=0) + config.weight_uniform / size).astype(np.float32)
     model.two *= np.float32(model.weights[1])
@@ -209,83 +380,85 @@ def train(documents: list[tuple[list[list[str]], int]], config: ReadingConfig, r
     return model
 
 
-def _table(keys: np.ndarray, column: np.ndarray, width: int, context: np.ndarray, most: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent keys, sorted, and per component their counts over those of their contexts."""
-    names, where, often = np.unique(keys, return_inverse=True, return_counts=True)
-    keep = often >= least
+def _table(cells: np.ndarray, often: np.ndarray, context: np.ndarray, width: int, most: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent keys, sorted, and per component their counts over those of their contexts, before a row of zeros.
+
+    ``cells`` are the distinct keys times ``width`` plus the component, sorted.
+    """
+    key, column = np.divmod(cells, width)
+    begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    total = np.add.reduceat(often, begins)
+    keep = total >= least
     if keep.sum() > most:
-        keep = np.zeros(len(names), dtype=bool)
-        keep[np.argsort(-often, kind="stable")[:most]] = True
-    at = np.cumsum(keep)[where] - 1
-    use = np.flatnonzero(keep[where])
-    out = np.bincount(at[use] * width + column[use], weights=1 / np.maximum(context[use], 1), minlength=int(keep.sum()) * width)
-    return names[keep], out.reshape(-1, width).astype(np.float32)
+        keep = np.zeros(len(begins), dtype=bool)
+        keep[np.argsort(-total, kind="stable")[:most]] = True
+    sizes = np.diff(np.append(begins, len(key)))
+    row, use = np.repeat(np.cumsum(keep) - 1, sizes), np.repeat(keep, sizes)
+    out = np.zeros((int(keep.sum()) + 1, width), dtype=np.float32)
+    out[row[use], column[use]] = often[use] / context[use]
+    return key[begins][keep], out
 
 
-def _kinds(texts: list[np.ndarray], size: int, kinds: int, rounds: int = 8) -> np.ndarray:
-    """A kind from 0 for each text, by means of its most frequent words."""
+def _kinds(flat: np.ndarray, owner: np.ndarray, members: np.ndarray, documents: int, size: int, kinds: int, rounds: int = 8) -> np.ndarray:
+    """A kind from 0 for each member among the documents, by means of their most frequent words."""
     if kinds <= 1:
-        return np.zeros(len(texts), dtype=np.int64)
-    common = np.argsort(-np.bincount(np.concatenate(texts), minlength=size), kind="stable")[:600]
+        return np.zeros(len(members), dtype=np.int64)
+    place = np.full(documents, -1)
+    place[members] = np.arange(len(members))
+    row = place[owner]
+    flat, row = flat[row >= 0], row[row >= 0]
+    common = np.argsort(-np.bincount(flat, minlength=size), kind="stable")[:600]
     slot = np.full(size, -1)
     slot[common] = np.arange(len(common))
-    rows = np.stack([np.bincount(slot[t][slot[t] >= 0], minlength=len(common)) for t in texts]).astype(float)
+    slot = slot[flat]
+    rows = np.bincount(row[slot >= 0] * len(common) + slot[slot >= 0], minlength=len(members) * len(common)).reshape(len(members), len(common)).astype(float)
     rows = np.sqrt(rows / np.maximum(rows.sum(axis=1, keepdims=True), 1))
     middles = [rows[0]]
     while len(middles) < kinds:  # the text farthest from those chosen
         middles.append(rows[np.argmin(np.max(rows @ np.array(middles).T, axis=1))])
-    own = np.zeros(len(texts), dtype=np.int64)
+    own = np.zeros(len(rows), dtype=np.int64)
     for _ in range(rounds):
         own = (rows @ np.array(middles).T).argmax(axis=1)
         middles = [m / max(np.sqrt(m @ m), 1e-9) for m in (rows[own == k].sum(axis=0) if (own == k).any() else middles[k] for k in range(kinds))]
     return np.unique(own, return_inverse=True)[1]
 
 
-def likeliest(texts: list[list[list[str]]], model: BandModels) -> np.ndarray:
+def likeliest(texts: Texts, model: BandModels) -> np.ndarray:
     """The band whose best component explains each whole text in the fewest bits."""
-    cache: dict[str, int] = {}
-    sentences = [model.ids(s, cache) for text in texts for s in text]
-    starts = np.cumsum([0, *(len(s) for s in sentences[:-1])])
-    bits = model.surprisal(np.array([i for s in sentences for i in s], dtype=np.int64), starts)
-    bits = np.add.reduceat(bits, np.cumsum([0, *(len(t) for t in texts[:-1])]), axis=0)
-    return np.array(model.columns)[bits.argmin(axis=1)]
+    found = []
+    for part in texts.parts():
+        bits = np.add.reduceat(model.surprisal(*model.with_lengths(part)), part.docs[:-1], axis=0)
+        found.append(np.array(model.columns)[bits.argmin(axis=1)])
+    return np.concatenate(found)
 
 
-def difficulties(texts: list[list[list[str]]], model: BandModels, cache: dict[str, int]) -> np.ndarray:
+def difficulties(texts: Texts, model: BandModels) -> np.ndarray:
     """Per document: words, difficulty, share of its text in the highest band, bits per token.
 
-    A document without words has zero words and NaN elsewhere.
+    ``texts`` has the model's numbers. A document without words has zero words and NaN elsewhere.
     """
     out = np.full((len(texts), 4), np.nan)
     out[:, 0] = 0
-    flat: list[int] = []
-    starts, weights, owner = [], [], []
-    for d, sentences in enumerate(texts):
-        for s in sentences:
-            starts.append(len(flat))
-            flat += model.ids(s, cache)
-            weights.append(len(s))
-            owner.append(d)
-    if not flat:
+    if not len(texts.words):
         return out
-    lengths = np.diff([*starts, len(flat)])
-    bits = model.surprisal(np.array(flat, dtype=np.int64), np.array(starts))
+    bits = model.surprisal(*model.with_lengths(texts))
     columns = np.array(model.columns)
     bits = np.stack([bits[:, columns == b].min(axis=1) for b in model.bands], axis=1)
-    share = np.exp2(model.config.evidence * (bits.min(axis=1, keepdims=True) - bits))
+    least = bits.min(axis=1)
+    share = np.exp2(model.config.evidence * (least[:, None] - bits))
     share /= share.sum(axis=1, keepdims=True)
     level = share @ np.array(model.bands, dtype=float)
-    weights, owner = np.array(weights, dtype=float), np.array(owner)
-    ends = np.flatnonzero(np.concatenate([owner[1:] != owner[:-1], [True]]))
-    begin = 0
-    for end in ends:
-        part = slice(begin, end + 1)
-        w, x = weights[part], level[part]
-        order = np.argsort(x, kind="stable")
-        upto = np.cumsum(w[order]) / w.sum()
-        middle = x[order][np.searchsorted(upto, [0.4, 0.5, 0.6])].mean()
-        out[owner[begin]] = [w.sum(), 0.75 * middle + 0.25 * (w @ x) / w.sum(), w @ share[part, -1] / w.sum(), bits[part].min(axis=1).sum() / lengths[part].sum()]
-        begin = end + 1
+    size = np.diff(texts.docs)
+    some = np.flatnonzero(size)  # documents with words, and where their sentences begin
+    first, owner = texts.docs[some], np.repeat(np.arange(len(some)), size[some])
+    weights = np.diff(texts.starts).astype(float)
+    total = np.add.reduceat(weights, first)
+    order = np.lexsort((level, owner))
+    upto = np.cumsum(weights[order])
+    upto = (upto - (np.cumsum(total) - total)[owner]) / total[owner]
+    middle = sum(level[order][first + np.add.reduceat((upto < q).astype(np.int64), first)] for q in (0.4, 0.5, 0.6)) / 3
+    mean, hardest, all_bits = (np.add.reduceat(x, first) for x in (weights * level, weights * share[:, -1], least.astype(float)))
+    out[some] = np.stack([total, 0.75 * middle + 0.25 * mean / total, hardest / total, all_bits / (total + size[some])], axis=1)
     return out
 
 
@@ -304,25 +477,37 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class ReadingModel:
-    models: BandModels
+    """``packed`` models, which the driver hands on as they are."""
+
+    packed: bytes
     knots: tuple[np.ndarray, np.ndarray]
 
+    @cached_property
+    def models(self) -> BandModels:
+        return pickle.loads(self.packed)
+
     def grade(self, difficulty: np.ndarray) -> np.ndarray:
         return np.interp(difficulty, *self.knots)
 
 
-def fold_scores(documents: list[tuple[list[list[str]], float]], fold: int, config: ReadingConfig) -> tuple[list[int], np.ndarray]:
+def fold_scores(corpus: Corpus, bands: np.ndarray, fold: int, config: ReadingConfig) -> tuple[np.ndarray, np.ndarray]:
     """The documents of a fold and their difficulties under models trained on the others."""
-    held = [i for i in range(len(documents)) if i % config.folds == fold]
-    rest = [(s, int(b + 0.5)) for i, (s, b) in enumerate(documents) if i % config.folds != fold]
-    if not held or not rest:
-        return [], np.array([])
-    return held, _scores([documents[i][0] for i in held], train(rest, config))
+    own = np.arange(len(corpus)) % config.folds == fold
+    held, rest = np.flatnonzero(own), np.flatnonzero(~own)
+    if not len(held) or not len(rest):
+        return held[:0], np.array([])
+    return held, _scores(corpus.take(held), train_corpus(corpus.take(rest), _whole(bands[rest]), config))
+
+
+def _whole(bands: np.ndarray) -> np.ndarray:
+    """The nearest whole bands."""
+    return np.trunc(bands + 0.5).astype(np.int64)
 
 
-def _scores(texts: list[list[list[str]]], model: BandModels) -> np.ndarray:
+def _scores(corpus: Corpus | list[list[list[str]]], model: BandModels) -> np.ndarray:
     """``difficulties`` alone, some documents at a time."""
-    return np.concatenate([difficulties(texts[at : at + SCORED_AT_ONCE], model, {})[:, 1] for at in range(0, len(texts), SCORED_AT_ONCE)])
+    corpus = corpus if isinstance(corpus, Corpus) else corpus_of_sentences(corpus)
+    return np.concatenate([difficulties(part, model)[:, 1] for part in model.own_numbers(corpus).parts()])
 
 
 def fit(sample: DataFrame, config: ReadingConfig) -> ReadingModel | None:
@@ -334,18 +519,18 @@ def fit(sample: DataFrame, config: ReadingConfig) -> ReadingModel | None:
 
     def work(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["order", "item"], kind="stable")
-        words: dict[str, str] = {}  # a word is held once, however often it occurs
-        documents = [([[words.setdefault(w, w) for w in s] for s in token_sentences(t)], b) for t, b in zip(part["text"], part["band"], strict=True)]
-        documents = [(s, b) for s, b in documents if s]
+        corpus, bands = corpus_of(part["text"].tolist()), part["band"].to_numpy(dtype=float)
+        some = np.flatnonzero(np.diff(corpus.texts.docs))
+        corpus, bands = corpus.take(some), bands[some]
         task = int(part["task"].iloc[0])
-        if not documents:
+        if not len(corpus):
             return pd.DataFrame({"at": [], "score": [], "band": [], "model": []})
         if task < config.folds:
-            held, scores = fold_scores(documents, task, config)
-            return pd.DataFrame({"at": held, "score": scores, "band": [documents[i][1] for i in held], "model": [None] * len(held)})
-        model = train([(s, int(b + 0.5)) for s, b in documents], config)
-        own = _scores([s for s, _ in documents], model) if len(documents) < 2 * config.folds else None
-        rows = [(i, float(own[i]), documents[i][1], None) for i in range(len(documents))] if own is not None else []
+            held, scores = fold_scores(corpus, bands, task, config)
+            return pd.DataFrame({"at": held, "score": scores, "band": bands[held], "model": [None] * len(held)})
+        model = train_corpus(corpus, _whole(bands), config)
+        own = _scores(corpus, model) if len(corpus) < 2 * config.folds else None
+        rows = [(i, float(own[i]), bands[i], None) for i in range(len(corpus))] if own is not None else []
         return pd.DataFrame([*rows, (-1, 0.0, 0.0, pickle.dumps(model))], columns=["at", "score", "band", "model"])
 
     spread_ = sample.withColumn("task", F.explode(F.array(*[F.lit(i) for i in range(tasks)]))).repartitionByRange(tasks, "task")
@@ -354,7 +539,7 @@ def fit(sample: DataFrame, config: ReadingConfig) -> ReadingModel | None:
     if not len(models):
         return None
     scored = found[(found["at"] >= 0) & found["score"].notna()].sort_values(["at"], kind="stable")
-    return ReadingModel(pickle.loads(models["model"].iloc[0]), isotonic(scored["score"].to_numpy(), scored["band"].to_numpy()))
+    return ReadingModel(bytes(models["model"].iloc[0]), isotonic(scored["score"].to_numpy(), scored["band"].to_numpy()))
 
 
 def reading_levels(docs: DataFrame, item: str, text: str, labels: DataFrame, config: ReadingConfig | None = None) -> DataFrame:
@@ -386,16 +571,16 @@ def reading_levels(docs: DataFrame, item: str, text: str, labels: DataFrame, con
 
     def score(batches):
         own = model.value
-        cache: dict[str, int] = {}
+        numbers = Numbers(own.models.number) if own is not None else None
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
+            for i in range(0, batch.num_rows, SCORED_AT_ONCE):
+                part = batch.slice(i, SCORED_AT_ONCE)
                 texts = part.column("text").to_pylist()
                 words = [len(t.split()) if t else 0 for t in texts]
                 if own is None:
                     found = np.full((len(texts), 4), np.nan)
                 else:
-                    found = difficulties([token_sentences(t) if t else [] for t in texts], own.models, cache)
+                    found = difficulties(numbered(texts, numbers), own.models)
                 grade = own.grade(found[:, 1]) if own is not None else found[:, 1]
                 empty = np.isnan(found[:, 1])
                 band = pa.array(np.where(empty, 0, np.floor(grade + 0.5)).astype(np.int32), mask=empty)
