@@ -36,8 +36,8 @@ PIECE = re.compile(r"\w+|[,;:]|[.!?…\n]+")
 BETWEEN = frozenset(".!?…\n")
 #: Words whose numbers a task holds.
 HELD_WORDS = 200_000
-#: Documents whose sentences are scored at once.
-SCORED_AT_ONCE = 256
+#: Documents whose sentences are scored at once, and whose word sequences are counted at once.
+SCORED_AT_ONCE, COUNTED_AT_ONCE = 256, 4_096
 #: Labelled items up to which their ids are sent to the texts.
 BROADCAST_LABELS = 500_000
 
@@ -96,21 +96,18 @@ class Texts:
 
     def take(self, which: np.ndarray) -> Texts:
         """The documents at these places."""
-        which = np.asarray(which, dtype=np.int64)
-        sentences, docs = _stretches(self.docs, which)
-        words, starts = _stretches(self.starts, sentences)
-        return Texts(self.words[words], starts, docs)
+        sizes, docs = np.diff(self.starts), [(self.docs[i], self.docs[i + 1]) for i in which]
+        words = np.concatenate([self.words[:0], *(self.words[self.starts[a] : self.starts[b]] for a, b in docs)])
+        sizes = np.concatenate([sizes[:0], *(sizes[a:b] for a, b in docs)])
+        return Texts(words, np.concatenate([[0], np.cumsum(sizes)]), np.concatenate([[0], np.cumsum([b - a for a, b in docs], dtype=np.int64)]))
 
-    def parts(self):
-        """The documents, ``SCORED_AT_ONCE`` at a time."""
-        return (self.take(np.arange(at, min(at + SCORED_AT_ONCE, len(self)))) for at in range(0, len(self), SCORED_AT_ONCE))
-
-
-def _stretches(bounds: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The places within the stretches ``which`` of those that ``bounds`` separate, and the bounds of them in a row."""
-    sizes = bounds[which + 1] - bounds[which]
-    out = np.concatenate([[0], np.cumsum(sizes)])
-    return np.arange(out[-1]) + np.repeat(bounds[which] - out[:-1], sizes), out
+    def parts(self, at_once: int | None = None):
+        """The documents, ``SCORED_AT_ONCE`` at a time unless told otherwise."""
+        step = at_once or SCORED_AT_ONCE
+        for at in range(0, len(self), step):
+            docs = self.docs[at : at + step + 1]
+            starts = self.starts[docs[0] : docs[-1] + 1]
+            yield Texts(self.words[starts[0] : starts[-1]], starts - starts[0], docs - docs[0])
 
 
 def numbered(texts: list[str | None], numbers: Numbers) -> Texts:
@@ -124,7 +121,7 @@ def numbered(texts: list[str | None], numbers: Numbers) -> Texts:
     begins = np.flatnonzero(begins)
     before = np.cumsum(word)
     starts = np.append(before[begins] - 1, before[-1:] if len(before) else 0)
-    return Texts(flat[word], starts, np.concatenate([[0], np.cumsum(np.bincount(owner[begins], minlength=len(found)))]))
+    return Texts(flat[word].astype(np.int32), starts, np.concatenate([[0], np.cumsum(np.bincount(owner[begins], minlength=len(found)))]))
 
 
 def _joined(parts: list[Texts]) -> Texts:
@@ -132,7 +129,7 @@ def _joined(parts: list[Texts]) -> Texts:
     words, sentences = (np.cumsum([0, *sizes]) for sizes in ([len(p.words) for p in parts], [len(p.starts) - 1 for p in parts]))
     starts = [p.starts[:-1] + n for p, n in zip(parts, words, strict=False)]
     docs = [p.docs[:-1] + n for p, n in zip(parts, sentences, strict=False)]
-    return Texts(np.concatenate([np.zeros(0, np.int64), *(p.words for p in parts)]), np.append(np.concatenate([np.zeros(0, np.int64), *starts]), words[-1]), np.append(np.concatenate([np.zeros(0, np.int64), *docs]), sentences[-1]))
+    return Texts(np.concatenate([np.zeros(0, np.int32), *(p.words for p in parts)]), np.append(np.concatenate([np.zeros(0, np.int64), *starts]), words[-1]), np.append(np.concatenate([np.zeros(0, np.int64), *docs]), sentences[-1]))
 
 
 @dataclass
@@ -171,7 +168,7 @@ def corpus_of_sentences(documents: list[list[list[str]]]) -> Corpus:
     sentences = [s for d in documents for s in d if s]
 
     def cut(numbers: Numbers) -> Texts:
-        words = np.array([numbers[w] for s in sentences for w in s], dtype=np.int64)
+        words = np.array([numbers[w] for s in sentences for w in s], dtype=np.int32)
         return Texts(words, np.cumsum([0, *map(len, sentences)]), np.cumsum([0, *(sum(map(bool, d)) for d in documents)]))
 
     return _named(cut)
@@ -253,8 +250,8 @@ class BandModels:
     def own_numbers(self, corpus: Corpus) -> Texts:
         """The documents of a corpus in the model's numbers."""
         known = self.known.get
-        lowers = np.array([known(w, -1) for w in corpus.lowers], dtype=np.int64)[corpus.lower]
-        classes = np.array([known(c, 0) for c in corpus.classes], dtype=np.int64)
+        lowers = np.array([known(w, -1) for w in corpus.lowers], dtype=np.int32)[corpus.lower]
+        classes = np.array([known(c, 0) for c in corpus.classes], dtype=np.int32)
         return replace(corpus.texts, words=np.where(lowers < 0, classes, lowers)[corpus.texts.words])
 
     def with_lengths(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -343,8 +340,6 @@ def train_corpus(corpus: Corpus, own_bands: np.ndarray, config: ReadingConfig, r
         model.known.setdefault(c, len(model.known))
     size = len(model.known)
     texts = model.own_numbers(corpus)
-    flat, starts = model.with_lengths(texts)
-    owner = np.repeat(np.arange(len(corpus)), np.diff(np.append(starts, len(flat))[texts.docs]))
     column = np.zeros(len(corpus), dtype=np.int64)
     for band in bands:
         members = np.flatnonzero(own_bands == band)
@@ -353,18 +348,22 @@ def train_corpus(corpus: Corpus, own_bands: np.ndarray, config: ReadingConfig, r
             column[odd] = len(model.columns)
             model.columns.append(band)
             members = members[~missed[members]]
-        kinds = _kinds(flat, owner, members, len(corpus), size, max(1, min(config.components, len(members) // config.component_documents)))
+        kinds = _kinds(texts.take(members), model, max(1, min(config.components, len(members) // config.component_documents)))
         column[members] = len(model.columns) + kinds
         model.columns += [band] * (int(kinds.max()) + 1)
     width = len(model.columns)
-    before, further = _before(flat, starts)
-    where_to = column[owner]
-    one = np.bincount(flat * width + where_to, minlength=size * width).reshape(size, width)
-    firsts = np.bincount(before * width + where_to, minlength=size * width).reshape(size, width)
-    # (key, column) pairs as one number, and how often they are there
-    pair, pairs = np.unique((before * size + flat) * width + where_to, return_counts=True)
-    head, heads = np.unique((further * size + before) * width + where_to, return_counts=True)
-    triple, triples = np.unique(((further * size + before) * size + flat) * width + where_to, return_counts=True)
+    one, firsts = np.zeros(size * width, dtype=np.int64), np.zeros(size * width, dtype=np.int64)
+    cells = Cells(), Cells(), Cells()  # of two words, of the two before a third, of three
+    for i, part in enumerate(texts.parts(COUNTED_AT_ONCE)):
+        flat, starts = model.with_lengths(part)
+        before, further = _before(flat, starts)
+        where_to = column[i * COUNTED_AT_ONCE + _owners(part, starts, len(flat))]
+        one += np.bincount(flat * width + where_to, minlength=size * width)
+        firsts += np.bincount(before * width + where_to, minlength=size * width)
+        for own, keys in zip(cells, (before * size + flat, further * size + before, (further * size + before) * size + flat), strict=True):
+            own.add(keys * width + where_to)
+    one, firsts = one.reshape(size, width), firsts.reshape(size, width)
+    (pair, pairs), (head, heads), (triple, triples) = (x.together() for x in cells)
     key, at = np.divmod(triple, width)
     rest, last = np.divmod(key, size)
     middle = rest % size
@@ -399,20 +398,50 @@ def _table(cells: np.ndarray, often: np.ndarray, context: np.ndarray, width: int
     return key[begins][keep], out
 
 
-def _kinds(flat: np.ndarray, owner: np.ndarray, members: np.ndarray, documents: int, size: int, kinds: int, rounds: int = 8) -> np.ndarray:
-    """A kind from 0 for each member among the documents, by means of their most frequent words."""
+class Cells:
+    """Distinct numbers, sorted, and how often they are there."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, cells: np.ndarray) -> None:
+        self.parts.append(np.unique(cells, return_counts=True))
+        while len(self.parts) > 1 and len(self.parts[-2][0]) < 2 * len(self.parts[-1][0]):
+            self._join()
+
+    def _join(self) -> None:
+        cells, often = (np.concatenate(x) for x in zip(*(self.parts.pop() for _ in range(2)), strict=True))
+        order = np.argsort(cells, kind="stable")
+        cells, often = cells[order], often[order]
+        begins = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
+        self.parts.append((cells[begins], np.add.reduceat(often, begins)))
+
+    def together(self) -> tuple[np.ndarray, np.ndarray]:
+        while len(self.parts) > 1:
+            self._join()
+        return self.parts[0]
+
+
+def _owners(texts: Texts, starts: np.ndarray, length: int) -> np.ndarray:
+    """The document of each word that ``with_lengths`` gives."""
+    return np.repeat(np.arange(len(texts)), np.diff(np.append(starts, length)[texts.docs]))
+
+
+def _kinds(texts: Texts, model: BandModels, kinds: int, rounds: int = 8) -> np.ndarray:
+    """A kind from 0 for each text, by means of their most frequent words."""
     if kinds <= 1:
-        return np.zeros(len(members), dtype=np.int64)
-    place = np.full(documents, -1)
-    place[members] = np.arange(len(members))
-    row = place[owner]
-    flat, row = flat[row >= 0], row[row >= 0]
-    common = np.argsort(-np.bincount(flat, minlength=size), kind="stable")[:600]
+        return np.zeros(len(texts), dtype=np.int64)
+    size = len(model.known)
+    common = np.argsort(-sum(np.bincount(model.with_lengths(part)[0], minlength=size) for part in texts.parts()), kind="stable")[:600]
     slot = np.full(size, -1)
     slot[common] = np.arange(len(common))
-    slot = slot[flat]
-    rows = np.bincount(row[slot >= 0] * len(common) + slot[slot >= 0], minlength=len(members) * len(common)).reshape(len(members), len(common)).astype(float)
-    rows = np.sqrt(rows / np.maximum(rows.sum(axis=1, keepdims=True), 1))
+    rows = np.zeros((len(texts), len(common)))
+    for i, part in enumerate(texts.parts()):
+        flat, starts = model.with_lengths(part)
+        at, row = slot[flat], _owners(part, starts, len(flat))
+        rows[i * SCORED_AT_ONCE :][: len(part)] = np.bincount(row[at >= 0] * len(common) + at[at >= 0], minlength=len(part) * len(common)).reshape(len(part), -1)
+    rows /= np.maximum(rows.sum(axis=1, keepdims=True), 1)
+    np.sqrt(rows, out=rows)
     middles = [rows[0]]
     while len(middles) < kinds:  # the text farthest from those chosen
         middles.append(rows[np.argmin(np.max(rows @ np.array(middles).T, axis=1))])

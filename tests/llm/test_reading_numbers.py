@@ -108,3 +108,18 @@ def test_a_model_travels_without_its_zeros():
     again = pickle.loads(packed)
     assert "places" not in again.__dict__ and (again.two == model.two).all() and (again.three == model.three).all()
     assert (reading._scores([plain(t) for t, _ in documents], again) == want).all()
+
+
+def test_training_counts_documents_by_parts(monkeypatch):
+    """The words of all labelled documents are never widened at once, and the model doesn't depend on the parts."""
+    documents = [(plain(t), b) for t, b in labelled()]
+    whole = reading.train(documents, reading.ReadingConfig())
+    seen = []
+    real = reading.BandModels.with_lengths
+    monkeypatch.setattr(reading.BandModels, "with_lengths", lambda model, texts: seen.append(len(texts)) or real(model, texts))
+    monkeypatch.setattr(reading, "COUNTED_AT_ONCE", 7)
+    monkeypatch.setattr(reading, "SCORED_AT_ONCE", 5)
+    parts = reading.train(documents, reading.ReadingConfig())
+    assert max(seen) == 7
+    assert parts.known == whole.known and parts.weights == whole.weights and parts.columns == whole.columns
+    assert all((getattr(parts, n) == getattr(whole, n)).all() for n in ("one", "keys", "two", "long_keys", "three"))
